@@ -88,11 +88,15 @@ def key_facts(cleaned: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- ledger
 
 def entry_order(commit_seq: Column, file_seq: Column, row_no: Column) -> Column:
-    """Ledger age as one sortable decimal: commit, file in it, row in that."""
+    """Ledger age as one sortable decimal: commit, file in it, row in that.
+
+    8, 17 and 13 digits. A decimal is a fixed-width aggregation buffer, where
+    a struct would force a sort-based aggregate.
+    """
     wide = lambda c, p: F.coalesce(c, F.lit(0)).cast(f"decimal({p},0)")
-    return (wide(commit_seq, 10) * F.lit(Decimal(10**27))
-            + wide(file_seq, 10) * F.lit(Decimal(10**17))
-            + wide(row_no, 17)).cast("decimal(38,0)")
+    return (wide(commit_seq, 8) * F.lit(Decimal(10**30))
+            + wide(file_seq, 17) * F.lit(Decimal(10**13))
+            + wide(row_no, 13)).cast("decimal(38,0)")
 
 
 def ledger_columns(entries: DataFrame) -> DataFrame:
