@@ -71,3 +71,77 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("ts").cast("timestamp").alias("created_at"),
         )
     )
+
+
+
+def orders_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an old settlement sheet: numeric ids, amounts and status words."""
+    o = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(38,2)").cast("string")
+    return table(spark, sf_dir, "orders").select(
+        F.lit("history/orders.csv").alias("source_file"),
+        (o + 2).alias("row_no"),
+        F.when(o % 31 == 0, F.lit(None).cast("bigint")).otherwise(F.col("o_custkey")).alias("uid"),
+        F.when(o % 17 == 0, F.lit("-")).when(o % 5 == 0, F.concat(F.lit("$"), price, F.lit("5")))
+        .otherwise(price).alias("amount"),
+        F.when(o % 6 != 0, F.concat(F.lit(" ORD-"), o.cast("string"))).alias("order_no"),
+        F.when(F.col("o_orderstatus") == "F", "完成").when(F.col("o_orderstatus") == "O", " QUOTE ")
+        .when(o % 2 == 0, "未结算").alias("status"))
+
+
+# Header rows put into the documents, by doc_id % 5; the last shows no field.
+HEADERS = ("UID,昵称,订单号,结算金额,日期,状态",
+           "主订单编号,子订单编号,选购商品,订单应付金额,达人ID,达人昵称,订单状态,售后状态",
+           " ＵＩＤ , Amount ,Order , DATE ",
+           "Member,佣金,周期",
+           "remark,note")
+
+
+def document_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a sheet: its lines are rows, cut at commas into cells.
+
+    A header row is put in after the first doc_id % 18 lines, so some headers
+    lie too deep to be found.
+    """
+    lines = F.split("text", "\n")
+    above = (F.col("doc_id") % 18).cast("int")
+    header = F.get(F.lit(list(HEADERS)), (F.col("doc_id") % 5).cast("int"))
+    rows = F.concat(F.slice("lines", F.lit(1), above), F.array(header),
+                    F.slice("lines", above + 1, F.greatest(F.size("lines") - above, F.lit(0))))
+    exploded = (table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+                .select("doc_id", F.posexplode(rows).alias("row_idx", "row")))
+    cells = F.transform(F.split("row", ","), lambda c: F.struct(
+        F.lit("s").alias("kind"), c.alias("text")))
+    return exploded.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+                           .alias("source_file"), F.col("row_idx").cast("bigint").alias("row_idx"),
+                           cells.alias("cells"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as inbox files: a name, a format and a content hash."""
+    p = F.col("page_id")
+    suffix = F.when(p % 7 == 0, ".xls").when(p % 2 == 0, ".csv").otherwise(".xlsx")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lpad(p.cast("string"), 8, "0"), suffix).alias("name"),
+        suffix.alias("format"), F.octet_length("html").alias("length"),
+        F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+
+
+def pages_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents settled before: those of every third page, each once."""
+    return (page_files(spark, sf_dir).filter(F.col("page_id") % 3 == 0)
+            .groupBy("sha256").agg(F.min("page_id").alias("first"))
+            .select("sha256", F.concat(F.lit("batch-"), F.col("first").cast("string"))
+                    .alias("batch_id"),
+                    F.lit("2024-01-01 00:00:00").cast("timestamp").alias("processed_at")))
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log line per event, some blank and some not JSON."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        e.alias("line_no"),
+        F.when(e % 10 == 4, "  ").when(e % 10 == 7, F.concat(F.lit("oops "), e.cast("string")))
+        .otherwise(F.concat(F.lit('{"ts": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+                            F.lit('", "action": "'), F.col("event_type"),
+                            F.lit('", "props": '), F.col("props"), F.lit("}"))).alias("value"))
