@@ -43,11 +43,29 @@ def folded_cells(cells: Column) -> Column:
         fold(F.when(c["kind"] != "null", c["text"])), F.lit("")))
 
 
-def header_score(folded: Column) -> Column:
-    """How many of the fields have a keyword in some cell."""
+def shortest_words(words: list[str]) -> list[str]:
+    """Words without those that contain another one: they add no match."""
+    return [w for w in words if not any(o != w and o in w for o in words)]
+
+
+def row_line(cells: Column) -> Column:
+    """All cells of a row folded as one string, cells apart by a line end."""
+    texts = F.transform(cells, lambda c: F.when(c["kind"] != "null", c["text"]))
+    return fold(F.array_join(texts, "\n"))
+
+
+def header_score(line: Column) -> Column:
+    """How many of the fields have a keyword in some cell of a ``row_line``.
+
+    No keyword holds a line end, so looking through the whole line at once
+    finds the same keywords as looking at each cell.
+    """
     def has(field: str) -> Column:
-        pattern = regex_any(FIELD_KEYWORDS[field])
-        return F.exists(folded, lambda c: c.rlike(pattern)).cast("int")
+        first, *others = shortest_words(FIELD_KEYWORDS[field])
+        found = line.contains(first)
+        for word in others:
+            found = found | line.contains(word)
+        return found.cast("int")
 
     score = has(FIELDS[0])
     for field in FIELDS[1:]:
@@ -60,15 +78,16 @@ def detect_headers(sheets: DataFrame) -> DataFrame:
 
     Files without a row that shows at least two fields are absent.
     """
-    early = sheets.filter(F.col("row_idx") < HEADER_SCAN_ROWS).withColumn(
-        "folded", folded_cells(F.col("cells")))
-    scored = early.withColumn("score", header_score(F.col("folded"))).filter(
-        F.col("score") >= MIN_HEADER_FIELDS)
-    best = F.max_by(F.struct("row_idx", "score", "cells", "folded"),
+    early = sheets.filter(F.col("row_idx") < HEADER_SCAN_ROWS)
+    scored = (early.withColumn("line", row_line(F.col("cells")))
+              .withColumn("score", header_score(F.col("line"))).drop("line")
+              .filter(F.col("score") >= MIN_HEADER_FIELDS))
+    best = F.max_by(F.struct("row_idx", "score", "cells"),
                     F.col("score") * HEADER_SCAN_ROWS - F.col("row_idx"))
-    return scored.groupBy("source_file").agg(best.alias("h")).select(
+    found = scored.groupBy("source_file").agg(best.alias("h"))
+    return found.select(
         "source_file", F.col("h.row_idx").alias("header_idx"), F.col("h.score").alias("score"),
-        F.col("h.cells").alias("header"), F.col("h.folded").alias("folded"))
+        F.col("h.cells").alias("header"), folded_cells(F.col("h.cells")).alias("folded"))
 
 
 def suggest_mapping(headers: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from tallybook.operators.classify import (attach_ledger, bucket_items, clean_rec
                                           key_facts, reconcile, reconcile_summary, summarize)
 from tallybook.operators.sheets import (apply_mapping, detect_headers, resolve_columns,
                                         suggest_mapping)
-from tallybook.plans.pipelines import apply_report, folder_records, history_entries
+from tallybook.plans.pipelines import (apply_report, folder_records, history_entries,
+                                          store_report)
 from tallybook.rules import Rules
 from tallybook.schemas import FIELDS, MISSING_UID
 from tallybook.session import materialize, scratch_path
@@ -283,8 +284,7 @@ def _applied(spark, sf, force: bool) -> DataFrame:
     ledger.append("import", "history", _entries(spark, sf), at=RUN_AT)
     path = scratch_path(spark, "report")
     items = reconcile(_batch(spark, sf), ledger.entries())
-    write_report(Report(items, summarize(items).join(_files(spark, sf), "source_file")), path)
-    report = read_report(spark, path)
+    report = store_report(spark, items, _files(spark, sf), path)
     for _ in range(2):
         apply_report(report, ledger, confirmed=True, force=force, on_processed="skip",
                      applied_at=RUN_AT)
