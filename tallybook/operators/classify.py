@@ -175,6 +175,21 @@ def attach_ledger(keys: DataFrame, entries: DataFrame, *,
                        ref.alias("ref"))
 
 
+def relevant_entries(cleaned: DataFrame, entries: DataFrame, *,
+                     policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Entries that can matter to this batch.
+
+    A day's batch against years of ledger: when the batch is small beside the
+    ledger, its distinct ids, counted first, filter the ledger scan, so that
+    the rest of the ledger is neither aggregated nor shuffled.
+    """
+    uids = materialize(
+        cleaned.filter(F.col("uid").isNotNull()).select("uid").distinct(), "batch-uids")
+    if uids.count() > policy.broadcast_uids:
+        return entries
+    return entries.join(F.broadcast(uids), "uid", "left_semi")
+
+
 # ------------------------------------------------------------------ buckets
 
 def exceeds(amount: Column, ref: Column, rules: Rules) -> Column:
@@ -237,6 +252,9 @@ def reconcile(records: DataFrame, entries: DataFrame, rules: Rules = Rules(), *,
               policy: SkewPolicy = SkewPolicy(), split_hot: bool | None = None) -> DataFrame:
     """Items: every record with its bucket, reason and reference amount.
 
+    ``row_no`` must be unique within a ``source_file`` (sheet rows are); it
+    decides which of several equal rows is the first.
+
     ``split_hot`` None decides by the size of the input. When hot keys are
     split off, the key table is written once to the shared folder and read
     back, so that neither the lookups nor the aggregate run twice.
@@ -244,6 +262,8 @@ def reconcile(records: DataFrame, entries: DataFrame, rules: Rules = Rules(), *,
     if split_hot is None:
         split_hot = policy.needed_for(records, entries)
     cleaned = clean_records(records, rules)
+    if policy.ledger_dwarfs(records, entries):
+        entries = relevant_entries(cleaned, entries, policy=policy)
     with_uid = cleaned.filter(F.col("uid").isNotNull())
     keys = classified_keys(with_uid, entries, rules, policy=policy, split_hot=split_hot)
     facts = keys.select(*KEY, "first_row", "n_rows", "settled", "ref")
@@ -292,8 +312,10 @@ def reconcile_summary(records: DataFrame, entries: DataFrame, rules: Rules = Rul
     """
     if split_hot is None:
         split_hot = policy.needed_for(records, entries)
-    keys = classified_keys(clean_records(records, rules), entries, rules,
-                           policy=policy, split_hot=split_hot)
+    cleaned = clean_records(records, rules)
+    if policy.ledger_dwarfs(records, entries):
+        entries = relevant_entries(cleaned, entries, policy=policy)
+    keys = classified_keys(cleaned, entries, rules, policy=policy, split_hot=split_hot)
     known = F.col("uid").isNotNull()
     first_in = lambda b: F.count_if(F.col("bucket") == b).alias(b)
     columns = {

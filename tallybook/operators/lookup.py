@@ -27,17 +27,29 @@ class SkewPolicy:
     among the hottest ``hot_keys`` holds at most 1/hot_keys of the rows, so
     what remains for the shuffled join is spread evenly enough. Inputs below
     ``small_input`` bytes fit one task whole and skip the extra work.
+
+    ``broadcast_bytes`` bounds the stored size of a broadcast per-file table,
+    ``broadcast_uids`` the number of ids sent to filter a large ledger, which
+    is done when the batch takes less than 1/``ledger_ratio`` of its bytes.
     """
 
     hot_keys: int = 1024
     hot_rows: int = 1_000_000
     small_input: int = 1 << 30
     salts: int = 64
+    broadcast_bytes: int = 64 << 20
+    broadcast_uids: int = 2_000_000
+    ledger_ratio: int = 20
 
     def needed_for(self, *inputs: DataFrame) -> bool:
         sizes = [input_bytes(df) for df in inputs]
         return any(s is None or s >= self.small_input for s in sizes)
 
+    def ledger_dwarfs(self, records: DataFrame, entries: DataFrame) -> bool:
+        batch, ledger = input_bytes(records), input_bytes(entries)
+        return (batch is not None and ledger is not None and ledger >= self.small_input
+                and batch * self.ledger_ratio <= ledger)
+
 
 def spread_key(*cols: Column) -> Column:
     """A filler that matches nothing and spreads rows without a real key."""
@@ -99,14 +111,14 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *,
                   how: str = "left") -> DataFrame:
     """Join ``left`` with a side of one row per file.
 
-    Spark broadcasts ``right`` while its size allows. Beyond that each of its
-    rows is copied ``salts`` times, so even one file with a third of all rows
-    is read by ``salts`` tasks.
+    A side whose tables take at most ``broadcast_bytes`` travels by broadcast
+    and ``left`` is not moved at all. Beyond that each right row is copied
+    ``salts`` times, so even one file with a third of all rows is read by
+    ``salts`` tasks.
     """
     size = input_bytes(right)
-    limit = left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if size is not None and size <= limit:
-        return left.join(right, list(on), how)
+    if size is not None and size <= policy.broadcast_bytes:
+        return left.join(F.broadcast(right), list(on), how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(policy.salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(policy.salts - 1))))
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

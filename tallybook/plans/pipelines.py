@@ -20,7 +20,7 @@ from ..operators.sheets import (apply_mapping, detect_headers, load_mapping, res
                                 sheet_status, suggest_mapping, validate_mapping)
 from ..rules import Rules
 from ..schemas import TO_SETTLE
-from ..session import materialize
+from ..session import materialize, size_shuffles
 from ..sources.audit import append_audit, audit_tail
 from ..sources.inbox import content_hashes, inbox_totals, scan_inbox
 from ..sources.ledger import (Commit, Ledger, ledger_stats, payable_entries, processed_lookup,
@@ -90,7 +90,9 @@ def reconcile_folder(spark: SparkSession, folder: str, ledger: Ledger, report_pa
     found = folder_records(read_sheets(spark, folder), mapping)
     if found.records.isEmpty():
         raise NoData(f"no data rows below any header in {folder}")
-    items = reconcile(found.records, ledger.entries(), rules, policy=policy)
+    entries = ledger.entries()
+    size_shuffles(spark, found.records, entries)
+    items = reconcile(found.records, entries, rules, policy=policy)
     when = F.lit(run_at.isoformat(sep=" ", timespec="seconds")).cast("timestamp")
     files = content_hashes(spark, folder, has_large=True).select(
         F.col("path").alias("source_file"), F.col("sha256").alias("file_sha256"),

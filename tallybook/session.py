@@ -32,6 +32,26 @@ def build_session(app: str = "tallybook", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+# One shuffle partition per this many input bytes; AQE merges small ones.
+SHUFFLE_BYTES = 128 << 20
+MAX_SHUFFLE_PARTITIONS = 200_000
+
+
+def size_shuffles(spark: SparkSession, *inputs: DataFrame) -> int:
+    """Start shuffles with enough partitions for the inputs, never fewer than set.
+
+    The default of 200 would make partitions of half a terabyte out of 100 TB.
+    Adaptive execution merges what turns out small, so a high start is cheap.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    now = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    need = sum(input_bytes(df) or 0 for df in inputs) // SHUFFLE_BYTES
+    wanted = max(now, min(need, MAX_SHUFFLE_PARTITIONS))
+    if wanted > now:
+        spark.conf.set(key, str(wanted))
+    return wanted
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage, as the session names it.
 

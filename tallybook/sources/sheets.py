@@ -53,9 +53,8 @@ def read_sheets(spark: SparkSession, folder: str, *, sheet: str | None = None,
         F.when(F.col("format") == ".xlsx", "xlsx").alias("encoding"))
     if text is not None:
         known = text.files.withColumnRenamed("encoding", "text_encoding")
-        empty = F.when(F.col("seen").isNull(), "utf-8")  # no line at all
-        files = files.join(known.withColumn("seen", F.lit(True)), "source_file", "left").select(
-            "source_file", F.coalesce("encoding", "text_encoding", empty).alias("encoding"))
+        files = files.join(known, "source_file", "left").select(
+            "source_file", F.coalesce("encoding", "text_encoding").alias("encoding"))
     files = files.join(broken, "source_file", "left").select(
         "source_file", F.when(F.col("broken").isNull(), F.col("encoding")).alias("encoding"))
     return SheetScan(staged.filter(F.col("row_idx") != ERROR_ROW), files)

@@ -182,14 +182,43 @@ def test_hot_key_does_not_reach_one_task(spark):
     assert items.count() == 3000
 
 
-def test_salted_lookup_beyond_broadcast(spark, conf):
-    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_salted_lookup_beyond_broadcast(spark):
     left = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     right = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, v string")
-    got = salted_lookup(left, right, ["k"], spread_by=["id"], policy=SkewPolicy(salts=7))
-    assert got.columns == ["k", "id", "v"]
-    assert {(r["k"], r["v"]): r["count"] for r in got.groupBy("k", "v").count().collect()} == {
-        (0, "a"): 500, (1, "b"): 500}
+    for policy in (SkewPolicy(salts=7, broadcast_bytes=-1), SkewPolicy()):
+        got = salted_lookup(left, right, ["k"], spread_by=["id"], policy=policy)
+        assert got.columns == ["k", "id", "v"]
+        assert {(r["k"], r["v"]): r["count"] for r in got.groupBy("k", "v").count().collect()} == {
+            (0, "a"): 500, (1, "b"): 500}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_small_batch_filters_a_large_ledger(spark, tmp_path, limit):
+    rows, ledger = random_case(3)
+    batch = [r for r in rows if r[1] in ("2", "3", None)]
+    entries(spark, ledger).write.parquet(str(tmp_path / "l"))
+    big = spark.read.parquet(str(tmp_path / "l"))
+    policy = SkewPolicy(small_input=1, ledger_ratio=0, broadcast_uids=limit)
+    rules = Rules(anomaly_status_keywords=["冻结"])
+    assert policy.ledger_dwarfs(records(spark, batch), big)
+    items = reconcile(records(spark, batch), big, rules, policy=policy)
+    got = {(i["source_file"], i["row_no"]): (i["bucket"], i["ref_amount"], i["first_row"])
+           for i in items.collect()}
+    assert got == model(batch, ledger, rules)
+    direct = reconcile_summary(records(spark, batch), big, rules, policy=policy)
+    assert sorted(direct.collect()) == sorted(summarize(items, rules).collect())
+
+
+def test_shuffles_grow_with_the_input(spark, conf, monkeypatch):
+    from tallybook import session
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf(key, "4")
+    df = spark.range(10)
+    assert session.size_shuffles(spark, df) == 4
+    monkeypatch.setattr(session, "input_bytes", lambda df: 100 << 40)
+    assert session.size_shuffles(spark, df) == session.MAX_SHUFFLE_PARTITIONS
+    assert spark.conf.get(key) == str(session.MAX_SHUFFLE_PARTITIONS)
 
 
 def test_bucket_helpers(spark):

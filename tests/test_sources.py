@@ -121,14 +121,14 @@ def test_folder_of_both_kinds(spark, tmp_path):
     (tmp_path / "a.CSV").write_text("uid,金额\n1,2\n")
     (tmp_path / "b.xlsx").write_bytes(workbook_bytes([["uid", "金额"], [3, 4.5]]))
     (tmp_path / "bad.xlsx").write_bytes(b"zip?")
-    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n")
     (tmp_path / "old.xls").write_bytes(b"\xd0\xcf")
     scan = read_sheets(spark, str(tmp_path))
     got = rows_of(scan.sheets)
     assert got == {"a.CSV": {0: ["uid", "金额"], 1: ["1", "2"]},
-                   "b.xlsx": {0: ["uid", "金额"], 1: ["3", "4.5"]}}
+                   "b.xlsx": {0: ["uid", "金额"], 1: ["3", "4.5"]}, "blank.csv": {0: []}}
     kinds = {r["source_file"].rsplit("/", 1)[-1]: r["encoding"] for r in scan.files.collect()}
-    assert kinds == {"a.CSV": "utf-8", "b.xlsx": "xlsx", "bad.xlsx": None, "empty.csv": "utf-8"}
+    assert kinds == {"a.CSV": "utf-8", "b.xlsx": "xlsx", "bad.xlsx": None, "blank.csv": "utf-8"}
     with pytest.raises(UnsupportedFormat, match="old.xls"):
         read_sheets(spark, str(tmp_path), fail_on_unsupported=True)
 
