@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR picks the tables (default /root/testdata/sf0.1), BENCH_CPUS the
 local cores. Every query runs whole into a no-op sink; its value is the best of
-BENCH_RUNS runs (default 2), so that the figure is not one of class loading.
+BENCH_RUNS runs (default 3), so that the figure is not one of class loading.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ HEADLINE = ("q_reconcile_batch_summary", "q_reconcile_items", "q_reconcile_linei
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
@@ -17,12 +18,12 @@ from ..functions.money import parse_amount
 from ..operators.classify import reconcile, summarize
 from ..operators.lookup import SkewPolicy, salted_lookup
 from ..operators.sheets import (apply_mapping, detect_headers, load_mapping, resolve_columns,
-                                sheet_status, suggest_mapping, validate_mapping)
+                                save_mapping, sheet_status, suggest_mapping, validate_mapping)
 from ..rules import Rules
 from ..schemas import TO_SETTLE
 from ..session import materialize, size_shuffles
 from ..sources.audit import append_audit, audit_tail
-from ..sources.inbox import content_hashes, inbox_totals, scan_inbox
+from ..sources.inbox import content_hashes, inbox_totals, pending_files, scan_inbox
 from ..sources.ledger import (Commit, Ledger, ledger_stats, payable_entries, processed_lookup,
                               query_ledger)
 from ..sources.report import Report, batch_id, read_report
@@ -56,6 +57,23 @@ def suggest(spark: SparkSession, folder: str) -> DataFrame:
     return suggest_mapping(detect_headers(read_sheets(spark, folder).sheets))
 
 
+def remember_mapping(spark: SparkSession, path: str, *, mapping: Mapping | str | None = None,
+                     sheet_file: str | None = None, profile: str = "default",
+                     audit_path: str | None = None) -> dict[str, dict]:
+    """Store a given mapping, or the one suggested by a sheet, under a profile."""
+    if mapping is None:
+        if sheet_file is None:
+            raise NoMapping("give a mapping or a sheet to take one from")
+        hint = suggest(spark, sheet_file).first()
+        if hint is None:
+            raise NoMapping(f"no header found in {sheet_file}; give a mapping")
+        mapping = {f: v.asDict() for f, v in hint["mapping"].items()}
+    stored = save_mapping(spark, path, mapping, profile)
+    if audit_path:
+        append_audit(spark, audit_path, "mapping_saved", mapping=stored)
+    return stored
+
+
 @dataclass(frozen=True)
 class FolderRecords:
     """Records of all files of a folder, and what became of each file."""
@@ -94,9 +112,12 @@ def reconcile_folder(spark: SparkSession, folder: str, ledger: Ledger, report_pa
     size_shuffles(spark, found.records, entries)
     items = reconcile(found.records, entries, rules, policy=policy)
     when = F.lit(run_at.isoformat(sep=" ", timespec="seconds")).cast("timestamp")
-    files = content_hashes(spark, folder, has_large=True).select(
+    known = json.dumps(mapping, ensure_ascii=False) if isinstance(mapping, Mapping) else None
+    files = processed_lookup(content_hashes(spark, folder), ledger.processed()).select(
         F.col("path").alias("source_file"), F.col("sha256").alias("file_sha256"),
-        batch_id(when, F.col("sha256")).alias("batch_id"), when.alias("generated_at"))
+        batch_id(when, F.col("sha256")).alias("batch_id"), when.alias("generated_at"),
+        F.col("processed").alias("already_processed"),
+        F.lit(known).cast("string").alias("mapping"))
     return store_report(spark, items, files, report_path, rules=rules, audit_path=audit_path)
 
 
@@ -252,18 +273,26 @@ def ledger_view(ledger: Ledger, uid: str | None = None, limit: int = 50) -> tupl
     return query_ledger(entries, uid, limit), ledger_stats(entries, ledger.processed(upto))
 
 
+@dataclass(frozen=True)
+class Status:
+    """``overview`` is one row of totals; ``pending`` the files still to do;
+    ``recent`` the last three audit events."""
+
+    overview: DataFrame
+    pending: DataFrame
+    recent: DataFrame | None
+
+
 def status_overview(spark: SparkSession, folder: str, ledger: Ledger, *,
                     mapping_path: str | None = None, profile: str = "default",
-                    audit_path: str | None = None) -> DataFrame:
-    """One row: mapping set?, inbox totals, ledger totals, last three events."""
+                    audit_path: str | None = None) -> Status:
+    """Is a mapping stored, what waits in the inbox, what is in the ledger."""
     upto = ledger.last_commit()
     stats = ledger_stats(ledger.entries(upto), ledger.processed(upto)).first().asDict()
-    inbox = inbox_totals(scan_inbox(spark, folder, ledger.processed(upto))).first().asDict()
+    scanned = scan_inbox(spark, folder, ledger.processed(upto))
     ready = bool(mapping_path and load_mapping(spark, mapping_path, profile))
-    recent = [f"[{r['ts'] or '?'}] {r['action'] or '?'}" if r["raw"] is None else r["raw"]
-              for r in audit_tail(spark, audit_path, 3).collect()] if audit_path else []
-    row = {"mapping_ready": ready, **inbox, **stats, "recent_audit": recent}
-    return spark.createDataFrame([row], "mapping_ready boolean, inbox_total long, "
-                                 "inbox_pending long, pending_files array<string>, entries long, "
-                                 "settled long, settled_amount decimal(38,2), "
-                                 "processed_files long, recent_audit array<string>")
+    overview = inbox_totals(scanned).select(
+        F.lit(ready).alias("mapping_ready"), "*",
+        *[F.lit(value).alias(name) for name, value in stats.items()])
+    recent = audit_tail(spark, audit_path, 3) if audit_path else None
+    return Status(overview, pending_files(scanned), recent)

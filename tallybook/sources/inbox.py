@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank_to_null
 from .ledger import processed_lookup
 from .lines import count_blocks, number_lines, raw_lines
 from .tables import read_or_empty
@@ -45,8 +44,7 @@ def list_inbox(spark: SparkSession, folder: str) -> DataFrame:
                 F.col("format").isin(*READABLE).alias("supported")))
 
 
-def content_hashes(spark: SparkSession, paths, *, max_whole: int = MAX_WHOLE_FILE,
-                   has_large: bool = False) -> DataFrame:
+def content_hashes(spark: SparkSession, paths, *, max_whole: int = MAX_WHOLE_FILE) -> DataFrame:
     """(path, sha256): the hex SHA-256 of each file's bytes.
 
     A digest of that kind is one sequential pass, so a file too large for one
@@ -54,20 +52,17 @@ def content_hashes(spark: SparkSession, paths, *, max_whole: int = MAX_WHOLE_FIL
     with its number and the digests are added up, which any number of tasks
     can do in any order (``sum:`` marks such a key).
     """
-    small = (read_or_empty(spark, paths, FILE_FACTS, "binaryFile")
-             .filter(F.col("length") <= max_whole)
-             .select("path", F.sha2("content", 256).alias("sha256")))
-    if not has_large:
+    listed = read_or_empty(spark, paths, FILE_FACTS, "binaryFile")
+    small = listed.filter(F.col("length") <= max_whole).select(
+        "path", F.sha2("content", 256).alias("sha256"))
+    if listed.filter(F.col("length") > max_whole).select("path").isEmpty():
         return small
-    sizes = read_or_empty(spark, paths, FILE_FACTS, "binaryFile").select("path", "length").filter(
-        F.col("length") > max_whole)
-    large = [r["path"] for r in sizes.select("path").toLocalIterator()]
-    return small.unionByName(large_file_keys(spark, large)) if large else small
+    return small.unionByName(large_file_keys(spark, paths, max_whole))
 
 
-def large_file_keys(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Order-aware additive content keys of large text files."""
-    lines = raw_lines(spark, paths)
+def large_file_keys(spark: SparkSession, paths, larger_than: int = 0) -> DataFrame:
+    """Order-aware additive content keys of the large files among ``paths``."""
+    lines = raw_lines(spark, paths, larger_than=larger_than)
     numbered = number_lines(lines, count_blocks(lines))
     digest = F.sha2(F.concat(F.col("line_no").cast("string").cast("binary"),
                              F.lit(":").cast("binary"), F.col("value").cast("binary")), 256)
@@ -86,8 +81,7 @@ def scan_inbox(spark: SparkSession, folder: str, processed: DataFrame, *,
     Files in the old format are listed with a warning and never hashed.
     """
     files = list_inbox(spark, folder)
-    has_large = not files.filter(F.col("supported") & (F.col("length") > max_whole)).isEmpty()
-    hashes = content_hashes(spark, folder, max_whole=max_whole, has_large=has_large)
+    hashes = content_hashes(spark, folder, max_whole=max_whole)
     hashed = files.join(hashes, "path", "left").withColumn(
         "sha256", F.when(F.col("supported"), F.col("sha256")))
     return processed_lookup(hashed, processed).select(
@@ -97,18 +91,13 @@ def scan_inbox(spark: SparkSession, folder: str, processed: DataFrame, *,
 
 
 def pending_files(scanned: DataFrame) -> DataFrame:
-    """Readable files whose content was not settled yet."""
-    return scanned.filter(F.col("format").isin(*READABLE) & ~F.col("processed"))
+    """Readable files whose content was not settled yet, in order."""
+    return scanned.filter(F.col("format").isin(*READABLE) & ~F.col("processed")).orderBy("name")
 
 
 def inbox_totals(scanned: DataFrame) -> DataFrame:
-    """One row: readable files, pending ones, and the pending names in order.
-
-    The names are file listing entries, which the driver holds anyway.
-    """
+    """One row: how many readable files there are, and how many are pending."""
     readable = F.col("format").isin(*READABLE)
-    waiting = readable & ~F.col("processed")
     return scanned.agg(
-        F.count_if(readable).alias("inbox_total"), F.count_if(waiting).alias("inbox_pending"),
-        F.sort_array(F.collect_list(blank_to_null(F.when(waiting, F.col("name")))))
-        .alias("pending_files"))
+        F.count_if(readable).alias("inbox_total"),
+        F.count_if(readable & ~F.col("processed")).alias("inbox_pending"))

@@ -26,12 +26,19 @@ def plain_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def raw_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
-    """Lines split at \\n only; ``value`` holds the file's bytes unchecked."""
+def raw_lines(spark: SparkSession, paths, glob: str | None = None,
+              larger_than: int | None = None) -> DataFrame:
+    """Lines split at \\n only; ``value`` holds the file's bytes unchecked.
+
+    ``larger_than`` keeps files above that size; it prunes files, not lines.
+    """
     reader = spark.read.option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(
+    lines = reader.text(paths)
+    if larger_than is not None:
+        lines = lines.filter(F.col("_metadata.file_size") > larger_than)
+    return lines.select(
         plain_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),

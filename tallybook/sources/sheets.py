@@ -23,7 +23,8 @@ class UnsupportedFormat(ValueError):
 class SheetScan:
     """``sheets`` is written once to the shared folder: text is parsed once and
     the header search, which filters on row_idx, skips most of the table.
-    ``files`` has (source_file, encoding); no encoding means unreadable."""
+    ``files`` has (source_file, supported, encoding); a supported file without
+    an encoding could not be read."""
 
     sheets: DataFrame
     files: DataFrame
@@ -48,13 +49,14 @@ def read_sheets(spark: SparkSession, folder: str, *, sheet: str | None = None,
     staged = materialize(rows, "sheets")
     broken = staged.filter(F.col("row_idx") == ERROR_ROW).select(
         F.col("source_file"), F.lit(True).alias("broken"))
-    files = listed.filter("supported").select(
-        F.col("path").alias("source_file"),
+    files = listed.select(
+        F.col("path").alias("source_file"), "supported",
         F.when(F.col("format") == ".xlsx", "xlsx").alias("encoding"))
     if text is not None:
         known = text.files.withColumnRenamed("encoding", "text_encoding")
         files = files.join(known, "source_file", "left").select(
-            "source_file", F.coalesce("encoding", "text_encoding").alias("encoding"))
+            "source_file", "supported", F.coalesce("encoding", "text_encoding").alias("encoding"))
     files = files.join(broken, "source_file", "left").select(
-        "source_file", F.when(F.col("broken").isNull(), F.col("encoding")).alias("encoding"))
+        "source_file", "supported",
+        F.when(F.col("broken").isNull(), F.col("encoding")).alias("encoding"))
     return SheetScan(staged.filter(F.col("row_idx") != ERROR_ROW), files)

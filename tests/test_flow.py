@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from tallybook import Rules
 from tallybook.plans.pipelines import (AlreadyProcessed, ConfirmationRequired, NoData, NoMapping,
                                        apply_report, import_folder, ledger_view, reconcile_folder,
-                                       scan, status_overview, store_report, suggest)
-from tallybook.operators.sheets import save_mapping
+                                       remember_mapping, scan, status_overview, store_report, suggest)
 from tallybook.sources.audit import audit_tail
 from tallybook.sources.ledger import Ledger, query_ledger
 from tallybook.sources.report import (NotAReport, in_report_order, read_report, review_extract,
@@ -99,14 +98,20 @@ def test_golden_flow(spark, world):
 
     assert scan(spark, str(world.inbox), world.ledger).first()["processed_batch"] == s["batch_id"]
     again = reconcile_folder(spark, str(world.inbox), world.ledger, world.report, mapping=MAPPING)
+    assert not s["already_processed"] and again.summary.first()["already_processed"]
     assert again.summary.first()["to_settle"] == 0
     assert again.summary.first()["already_settled"] == 7
-    save_mapping(spark, world.maps, MAPPING)
-    st = status_overview(spark, str(world.inbox), world.ledger, mapping_path=world.maps,
-                         audit_path=world.audit).first()
+    kept = remember_mapping(spark, world.maps, sheet_file=str(world.inbox / "raw_2026-07-23.xlsx"),
+                            audit_path=world.audit)
+    assert kept["uid"] == {"column": 0, "header": "UID"} and set(kept) == set(MAPPING)
+    status = status_overview(spark, str(world.inbox), world.ledger, mapping_path=world.maps,
+                             audit_path=world.audit)
+    st = status.overview.first()
     assert (st["mapping_ready"], st["inbox_total"], st["inbox_pending"], st["settled"]) == (True, 1, 0, 8)
+    assert str(st["settled_amount"]) == "2237.97" and status.pending.count() == 0
+    assert status.recent.count() == 3
     assert [r["action"] for r in audit_tail(spark, world.audit).collect()] == [
-        "ledger_imported", "reconcile_preview", "apply_settlement"]
+        "ledger_imported", "reconcile_preview", "apply_settlement", "mapping_saved"]
 
 
 def test_force_appends_again_and_keeps_the_register(spark, world):
@@ -165,6 +170,8 @@ def test_csv_flow_with_an_extra_keyword(spark, world):
 def test_refusals(spark, world):
     with pytest.raises(NoMapping):
         reconcile_folder(spark, str(world.inbox), world.ledger, world.report)
+    with pytest.raises(NoMapping):
+        remember_mapping(spark, world.maps)
     with pytest.raises(ValueError, match="amount"):
         reconcile_folder(spark, str(world.inbox), world.ledger, world.report, mapping={"uid": "UID"})
     with pytest.raises(ValueError, match="amount"):

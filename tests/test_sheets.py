@@ -155,4 +155,4 @@ def test_file_status(spark):
     got = {r["source_file"]: (r["status"], r["n_rows"])
            for r in sheet_status(listed, headers, records).collect()}
     assert got == {"ok": ("ok", 2), "none": ("no_header", 0), "empty": ("no_data", 0),
-                   "bad": ("unreadable_text", 0)}
+                   "bad": ("unreadable", 0)}

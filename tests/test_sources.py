@@ -8,9 +8,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.operators.sheets import (apply_mapping, detect_headers, resolve_columns,
+                                        sheet_status)
 from tallybook.sources.audit import append_audit, audit_tail
 from tallybook.sources.delimited import read_delimited
-from tallybook.sources.inbox import content_hashes, inbox_totals, large_file_keys, scan_inbox
+from tallybook.sources.inbox import content_hashes, inbox_totals, large_file_keys, pending_files, scan_inbox
 from tallybook.sources.ledger import Ledger
 from tallybook.sources.lines import count_blocks, number_lines, raw_lines
 from tallybook.sources.sheets import UnsupportedFormat, read_sheets
@@ -128,7 +130,14 @@ def test_folder_of_both_kinds(spark, tmp_path):
     assert got == {"a.CSV": {0: ["uid", "金额"], 1: ["1", "2"]},
                    "b.xlsx": {0: ["uid", "金额"], 1: ["3", "4.5"]}, "blank.csv": {0: []}}
     kinds = {r["source_file"].rsplit("/", 1)[-1]: r["encoding"] for r in scan.files.collect()}
-    assert kinds == {"a.CSV": "utf-8", "b.xlsx": "xlsx", "bad.xlsx": None, "blank.csv": "utf-8"}
+    assert kinds == {"a.CSV": "utf-8", "b.xlsx": "xlsx", "bad.xlsx": None, "blank.csv": "utf-8",
+                     "old.xls": None}
+    headers = detect_headers(scan.sheets)
+    records = apply_mapping(scan.sheets, resolve_columns(headers, {"uid": "uid", "amount": "金额"}))
+    status = {r["source_file"].rsplit("/", 1)[-1]: r["status"]
+              for r in sheet_status(scan.files, headers, records).collect()}
+    assert status == {"a.CSV": "ok", "b.xlsx": "ok", "bad.xlsx": "unreadable",
+                      "blank.csv": "no_header", "old.xls": "unsupported_format"}
     with pytest.raises(UnsupportedFormat, match="old.xls"):
         read_sheets(spark, str(tmp_path), fail_on_unsupported=True)
 
@@ -149,9 +158,9 @@ def test_inbox_scan(spark, tmp_path):
     assert [r["size_kb"] for r in got] == [1.5, 0.2, 0.0]
     assert got[1]["sha256"] == hashlib.sha256(data).hexdigest() and not got[1]["processed"]
     assert got[2]["sha256"] is None and ".xls" in got[2]["warning"] and got[0]["warning"] is None
-    totals = inbox_totals(scan_inbox(spark, str(inbox), ledger.processed())).first()
-    assert (totals["inbox_total"], totals["inbox_pending"], totals["pending_files"]) == (
-        2, 2, ["a.XLSX", "b.csv"])
+    scanned = scan_inbox(spark, str(inbox), ledger.processed())
+    assert tuple(inbox_totals(scanned).first()) == (2, 2)
+    assert [r["name"] for r in pending_files(scanned).collect()] == ["a.XLSX", "b.csv"]
 
 
 def test_large_files_get_an_order_aware_key(spark, conf, tmp_path):
@@ -164,7 +173,7 @@ def test_large_files_get_an_order_aware_key(spark, conf, tmp_path):
     conf("spark.sql.files.maxPartitionBytes", "2")
     conf("spark.sql.files.openCostInBytes", "1")
     assert key() == one
-    mixed = content_hashes(spark, str(tmp_path), max_whole=1, has_large=True).collect()
+    mixed = content_hashes(spark, str(tmp_path), max_whole=1).collect()
     assert {r["path"][-5]: r["sha256"] for r in mixed} == one
 
 

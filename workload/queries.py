@@ -24,7 +24,7 @@ from tallybook.rules import Rules
 from tallybook.schemas import FIELDS, MISSING_UID
 from tallybook.session import materialize, scratch_path
 from tallybook.sources.audit import tail_of
-from tallybook.sources.inbox import OLD_FORMAT_WARNING, READABLE, inbox_totals
+from tallybook.sources.inbox import OLD_FORMAT_WARNING, READABLE, inbox_totals, pending_files
 from tallybook.sources.ledger import Ledger, ledger_stats, processed_lookup, query_ledger
 from tallybook.sources.report import (Report, batch_id, read_report, review_extract, short_hash,
                                       summary_facts, write_report)
@@ -322,8 +322,7 @@ def processed_files(spark, sf):
 
 
 def inbox_pending(spark, sf):
-    return inbox_totals(_scanned(spark, sf)).select(
-        "inbox_total", "inbox_pending", F.array_join("pending_files", ",").alias("pending_files"))
+    return pending_files(_scanned(spark, sf)).select("name", "format")
 
 
 def status_overview(spark, sf):

@@ -373,10 +373,8 @@ ORACLES = {
       '20240723-' || left(sha256, 8) AS batch_id, round_even(length / 1024, 1) AS size_kb FROM files""",
     "q_processed_files": f"""WITH {_PAGES}
       SELECT page_id, name, processed, processed_batch, warning FROM scanned""",
-    "q_inbox_pending": f"""WITH {_PAGES} SELECT count(*) FILTER (format <> '.xls') AS inbox_total,
-      count(*) FILTER (format <> '.xls' AND NOT processed) AS inbox_pending,
-      string_agg(name, ',' ORDER BY name) FILTER (format <> '.xls' AND NOT processed)
-        AS pending_files FROM scanned""",
+    "q_inbox_pending": f"""WITH {_PAGES} SELECT name, format FROM scanned
+      WHERE format <> '.xls' AND NOT processed""",
     "q_status_overview": f"""WITH {BATCH}, {_PAGES},
       st AS ({_STATS.format("(SELECT count(*) FROM register)", "ledger")}),
       ib AS (SELECT count(*) FILTER (format <> '.xls') AS total,
