@@ -22,6 +22,10 @@ def _is_int(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
+def is_exact_number(dtype: T.DataType) -> bool:
+    return _is_int(dtype) or isinstance(dtype, T.DecimalType)
+
+
 def _is_float(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 
@@ -92,7 +96,7 @@ def cell_text(c: Column, dtype: T.DataType = T.StringType()) -> Column:
         at_midnight = c == F.date_trunc("day", c).cast(dtype)
         return F.coalesce(F.when(at_midnight, day)
                           .otherwise(F.date_format(c, "yyyy-MM-dd HH:mm")), F.lit(""))
-    if isinstance(dtype, (T.StringType, T.BooleanType)) or _is_int(dtype):
+    if isinstance(dtype, T.StringType):
         return F.coalesce(strip_ws(plain_text(c, dtype)), F.lit(""))
     return F.coalesce(plain_text(c, dtype), F.lit(""))
 

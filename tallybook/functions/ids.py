@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..rules import Rules, regex_any
-from .cells import plain_text, value_text
+from .cells import is_exact_number, plain_text, value_text
 from .text import blank_to_null, fold, nfkc, squash_ws, strip_ws
 
 # Texts that mean "no id", and separators dropped from its
@@ -30,9 +30,12 @@ def normalize_uid(c: Column, dtype: T.DataType = T.StringType(), rules: Rules =
     an id like any other. Each step names its input once: an expression that
     repeats its child grows exponentially when such steps are nested.
     """
-    text = strip_ws(value_text(c, dtype))
-    present = F.regexp_replace(text, rf"(?i)\A(?:{'|'.join(NULL_WORDS)})\z", "")
-    folded = F.upper(squash_ws(nfkc(present)))
+    text = value_text(c, dtype)
+    if is_exact_number(dtype):  # plain digits: nothing to fold
+        folded = text
+    else:
+        present = F.regexp_replace(strip_ws(text), rf"(?i)\A(?:{'|'.join(NULL_WORDS)})\z", "")
+        folded = F.upper(squash_ws(nfkc(present)))
     prefix = f"(?:{regex_any(rules.prefixes_upper)})?" if rules.prefixes_upper else ""
     uid = blank_to_null(F.regexp_replace(folded, rf"\A{prefix}[{LEADING_SEPARATORS}]*", ""))
     if rules.uid_full_match:

@@ -145,18 +145,18 @@ def ledger_by_uid(by_order: DataFrame) -> DataFrame:
 
 
 def attach_ledger(keys: DataFrame, entries: DataFrame, *,
-                  policy: SkewPolicy = SkewPolicy(), split_hot: bool = False) -> DataFrame:
+                  hot_uids: DataFrame | None = None) -> DataFrame:
     """``keys`` (uid, order_key, source_file, ...) plus ``settled`` and ``ref``.
 
     An entry without an order number stands for any order of its uid, and a
     record without one is matched by any entry. Written as an OR this is one
     join on uid that fans out; as two lookups it is at most one row per key.
+    ``hot_uids``, a bounded table, are answered by broadcast.
     """
     by_order = ledger_by_order(entries)
     by_uid = ledger_by_uid(by_order)
     hot = None
-    if split_hot:
-        hot_uids = hottest_values(keys, "uid", policy)
+    if hot_uids is not None:
         hot = by_uid.join(F.broadcast(hot_uids), "uid", "left_semi")
     exact = unique_lookup(keys, by_order, ["uid", "order_key"],
                           spread_by=["source_file", "order_key"],
@@ -211,8 +211,12 @@ def bucket_of(*, uid: Column, is_first: Column, settled: Column, amount: Column,
 
 def classified_keys(cleaned: DataFrame, entries: DataFrame, rules: Rules, *,
                     policy: SkewPolicy, split_hot: bool) -> DataFrame:
-    """Key facts plus ledger facts, and the bucket of each key's first row."""
-    known = attach_ledger(key_facts(cleaned), entries, policy=policy, split_hot=split_hot)
+    """Key facts plus ledger facts, and the bucket of each key's first row.
+
+    The sketch of frequent uids reads the one column; it needs no shuffle.
+    """
+    hot_uids = hottest_values(cleaned, "uid", policy) if split_hot else None
+    known = attach_ledger(key_facts(cleaned), entries, hot_uids=hot_uids)
     known = known.withColumn("ref", round_amount(F.col("ref"), rules.amount_places, rules.rounding))
     return known.withColumn("bucket", bucket_of(
         uid=F.col("uid"), is_first=F.lit(True), settled=F.col("settled"),
