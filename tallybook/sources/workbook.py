@@ -9,17 +9,22 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SHEET
 
+# Executors get this module's functions with the job, not by importing it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BATCH_ROWS = 4096
 ERROR_ROW = -1
 

@@ -89,7 +89,8 @@ def orders_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(o % 2 == 0, "未结算").alias("status"))
 
 
-# Header rows put into the documents, by doc_id % 5; the last shows no field.
+# Header rows put into the documents, by doc_id % 5; the last shows
+# no field.
 HEADERS = ("UID,昵称,订单号,结算金额,日期,状态",
            "主订单编号,子订单编号,选购商品,订单应付金额,达人ID,达人昵称,订单状态,售后状态",
            " ＵＩＤ , Amount ,Order , DATE ",

@@ -7,6 +7,7 @@ no NFKC; the derived inputs use only the wide characters translated here.
 
 from __future__ import annotations
 
+# The header rows of derive.HEADERS.
 HEADERS = ("UID,昵称,订单号,结算金额,日期,状态",
            "主订单编号,子订单编号,选购商品,订单应付金额,达人ID,达人昵称,订单状态,售后状态",
            " ＵＩＤ , Amount ,Order , DATE ",
@@ -181,6 +182,7 @@ _STATS = """SELECT count(*) AS entries, count(*) FILTER (status = 'settled') AS
   {} AS processed_files FROM {}"""
 
 # ---- documents as sheets
+# Header keywords per field.
 _KEYWORDS = {
     "uid": ["uid", "用户id", "用户 id", "工会id", "主播id", "账号", "memberid", "member", "编号", "id"],
     "amount": ["结算金额", "应结金额", "金额", "佣金", "分成", "结算", "amount"],

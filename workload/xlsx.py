@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from xml.sax.saxutils import escape
 
+from pyspark import cloudpickle
+
+# Spark tasks call these functions; ship them with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
