@@ -24,7 +24,7 @@ from ..functions.money import parse_amount, round_amount
 from ..functions.text import blank_to_null
 from ..rules import Rules
 from ..schemas import (ALREADY_SETTLED, AMOUNT_MISMATCH, BUCKET_LABELS, BUCKETS,
-                       DUPLICATE_IN_BATCH, FIELDS, MANUAL_REVIEW, MISSING_UID, PARSED,
+                       DUPLICATE_IN_BATCH, MANUAL_REVIEW, MISSING_UID, PARSED,
                        REFERENCE_STATUSES, SETTLED, TO_SETTLE)
 from ..session import materialize
 from .lookup import SkewPolicy, hottest, hottest_values, unique_lookup
