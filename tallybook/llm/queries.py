@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality
+from . import chat, decontaminate, mixing, quality, toxicity
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
@@ -26,6 +26,10 @@ def op3_chat(spark, sf):
     return chat.conversation_digests(chat.format_conversations(rows.union(more)))
 
 
+def op4_toxicity(spark, sf):
+    return toxicity.toxicity_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op6_decontaminate(spark, sf):
     return decontaminate.contamination(_table(spark, sf, "documents"),
                                        _table(spark, sf, "benchmark"))
@@ -35,4 +39,4 @@ def op8_quality(spark, sf):
     return quality.quality_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_chat, op6_decontaminate, op8_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_chat, op4_toxicity, op6_decontaminate, op8_quality)}
