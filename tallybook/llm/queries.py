@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, toxicity
+from . import chat, decontaminate, fingerprints, mixing, quality, toxicity
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
@@ -39,4 +39,9 @@ def op8_quality(spark, sf):
     return quality.quality_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_chat, op4_toxicity, op6_decontaminate, op8_quality)}
+def op10_fingerprints(spark, sf):
+    return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_chat, op4_toxicity, op6_decontaminate, op8_quality,
+                                  op10_fingerprints)}
