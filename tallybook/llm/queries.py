@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, mixing, quality, toxicity
+from . import chat, decontaminate, fingerprints, mixing, quality, substrings, toxicity
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
@@ -30,6 +30,10 @@ def op4_toxicity(spark, sf):
     return toxicity.toxicity_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op5_substrings(spark, sf):
+    return substrings.removal_counts(_table(spark, sf, "documents"))
+
+
 def op6_decontaminate(spark, sf):
     return decontaminate.contamination(_table(spark, sf, "documents"),
                                        _table(spark, sf, "benchmark"))
@@ -43,5 +47,6 @@ def op10_fingerprints(spark, sf):
     return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_chat, op4_toxicity, op6_decontaminate, op8_quality,
-                                  op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (
+    op2_mixing, op3_chat, op4_toxicity, op5_substrings, op6_decontaminate, op8_quality,
+    op10_fingerprints)}
