@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, mixing, quality, substrings, toxicity
+from . import chat, decontaminate, fingerprints, mixing, neardup, quality, substrings, toxicity
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_neardup(spark, sf):
+    return neardup.near_duplicates(_table(spark, sf, "documents"), shingle=3, threshold=(85, 100))
+
+
 def op2_mixing(spark, sf):
     return mixing.mix_counts(mixing.mix_plan(_table(spark, sf, "documents")))
 
@@ -48,5 +52,5 @@ def op10_fingerprints(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_mixing, op3_chat, op4_toxicity, op5_substrings, op6_decontaminate, op8_quality,
-    op10_fingerprints)}
+    op1_neardup, op2_mixing, op3_chat, op4_toxicity, op5_substrings, op6_decontaminate,
+    op8_quality, op10_fingerprints)}
