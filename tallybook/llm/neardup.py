@@ -62,14 +62,15 @@ class ShingleSets:
             row = hashes[words.first[i]:words.first[i + 1]]
             whole.append(gram_hashes(row, len(row))[0] ^ U64(len(row)))
         n = len(words.counts)
-        bits = U64(max(n - 1, 0).bit_length())
-        text = np.concatenate([text, short]).astype(U64)
+        text = np.concatenate([text, short]).astype(np.uint16 if n < 1 << 16 else np.int64)
         values = np.concatenate([values, np.array(whole, U64)])
-        key = np.sort((text << (U64(64) - bits) if bits else text) | (values >> bits))
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        text = key >> (U64(64) - bits) if bits else np.zeros(len(key), U64)
-        self.values = mix(key << bits)  # the bits of the text number are shifted out
-        self.first = np.searchsorted(text, np.arange(n + 1, dtype=U64))
+        order = np.argsort(values)
+        order = order[np.argsort(text[order], kind="stable")]
+        text, values = text[order], values[order]
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+        self.values = values[new]
+        self.first = np.searchsorted(text[new], np.arange(n + 1))
         self.counts = np.diff(self.first)
 
 
