@@ -42,7 +42,7 @@ POSITIONS = 64
 LEAF = 512
 MANY = 16
 DEPTH = 8
-SLACK = 2.8  # standard errors that an estimate may fall short
+SLACK = 3.5  # standard errors that an estimate may fall short
 
 FACTS = "doc_id long, n_shingles long, high long, low long, signature binary"
 
@@ -80,8 +80,10 @@ def signatures(sets: ShingleSets, positions: int = POSITIONS) -> np.ndarray:
     filled = np.flatnonzero(sets.counts)
     if len(filled):
         heads = sets.first[:-1][filled]
-        for j, factor in enumerate((stream(21, positions) | U64(1)).tolist()):
-            row = ((sets.values * U64(factor)) >> U64(32)).astype(np.uint32)
+        for j, (flip, factor) in enumerate(zip(stream(21, positions),
+                                               stream(22, positions) | U64(1))):
+            row = (sets.values ^ flip) * factor
+            row = (((row ^ (row >> U64(32))) * factor) >> U64(32)).astype(np.uint32)
             out[filled, j] = np.minimum.reduceat(row, heads)
     return out
 
