@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, mixing, neardup, quality, substrings, toxicity
+from ..session import scratch_path
+from . import chat, decontaminate, fingerprints, mixing, neardup, quality, substrings, tokens, toxicity
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
 
+def tokenizer_path() -> str:
+    """The word-level vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -47,10 +54,16 @@ def op8_quality(spark, sf):
     return quality.quality_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op9_tokens(spark, sf):
+    frames = tokens.write_frames(_table(spark, sf, "documents"),
+                                 scratch_path(spark, "token-frames"), tokenizer_path())
+    return tokens.read_frames(frames)
+
+
 def op10_fingerprints(spark, sf):
     return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_neardup, op2_mixing, op3_chat, op4_toxicity, op5_substrings, op6_decontaminate,
-    op8_quality, op10_fingerprints)}
+    op8_quality, op9_tokens, op10_fingerprints)}
