@@ -143,7 +143,7 @@ def _deal(leaf):
         for batch in batches:
             node = batch.column("node").to_numpy()
             doc = batch.column("doc_id").to_numpy()
-            blocks = -(-batch.column("n").to_numpy() // (leaf // 4))
+            blocks = -(-batch.column("n").to_numpy() // (leaf // 2))
             own = (mix(doc.view(U64)) % blocks.astype(U64)).astype(np.int64)
             row = np.repeat(np.arange(len(doc)), blocks)
             other = ranges(np.zeros(len(doc), np.int64), blocks)
@@ -323,8 +323,9 @@ def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold:
                 .mapInArrow(_clusters(least), "cluster long, doc_id long"))
     of_doc = stage(clusters.distinct(), "clusters").groupBy("doc_id").agg(
         F.collect_set("cluster").alias("clusters"))
+    # The candidates grow with the input, so they are never broadcast, however few.
     members = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .join(of_doc, "doc_id").mapInArrow(
+               .join(of_doc.hint("merge"), "doc_id").mapInArrow(
                    _sets(shingle), "cluster long, doc_id long, members binary"))
     return stage(members.repartition("cluster").sortWithinPartitions("cluster", "doc_id")
                  .mapInArrow(_confirm(part, whole), "a long, b long"), "confirmed")
