@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import chat, decontaminate, fingerprints, mixing, neardup, quality, substrings, tokens, toxicity
+from . import chat, decontaminate, fingerprints, licenses, mixing, neardup, quality, substrings, tokens, toxicity
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
@@ -50,6 +50,11 @@ def op6_decontaminate(spark, sf):
                                        _table(spark, sf, "benchmark"))
 
 
+def op7_licenses(spark, sf):
+    return licenses.license_matches(_table(spark, sf, "documents"),
+                                    licenses.template_table(spark))
+
+
 def op8_quality(spark, sf):
     return quality.quality_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -66,4 +71,4 @@ def op10_fingerprints(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     op1_neardup, op2_mixing, op3_chat, op4_toxicity, op5_substrings, op6_decontaminate,
-    op8_quality, op9_tokens, op10_fingerprints)}
+    op7_licenses, op8_quality, op9_tokens, op10_fingerprints)}
