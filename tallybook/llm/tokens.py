@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .idcoder import decode_frame, encode_frame
-from .words import NOT_SPACE, Words, pieces, ranges, text_buffers
+from .words import LOWER, NOT_SPACE, Words, pieces, ranges, text_buffers
 
 END_ID = 2
 FRAME_IDS = 2 << 20
@@ -37,18 +37,33 @@ FRAMES = ("shard int, frame int, n_ids long, doc_ids array<long>, doc_sizes arra
 READ = "shard int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-class WordTokenizer:
-    """Whole texts to ids, each spelling of a word encoded once.
+# Signs that may be parted from a letter or digit before them.
+TRAIL = np.zeros(256, bool)
+TRAIL[list(b".,;:!?*#$%&")] = True
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
 
-    For tokenizers that drop white space and never join what it parts, the ids
-    of a text are those of its words one after the other. ``by_word`` probes
-    that; for others whole texts are encoded.
+class WordTokenizer:
+    """Whole texts to ids, each spelling encoded once for many texts.
+
+    Where the tokenizer drops white space, ignores ASCII case and parts letters
+    from signs, the ids of a text are those of its words one after the other,
+    and those of a word are those of its stem and of the signs that trail it.
+    ``by_word`` probes that; for other tokenizers whole texts are encoded.
+    Spellings of letters alone are encoded many in one text, and parted where a
+    token ends a word.
     """
 
+    TOGETHER = 2000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = self.drops_spaces()
+        self.by_word = self.parts_words()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
@@ -57,12 +72,36 @@ class WordTokenizer:
         self.ids = np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def drops_spaces(self) -> bool:
-        probe = "Don't  stop\n\tit 's 12 été!? <|x|> á b"
-        whole, parts = self.encode([probe])[0], self.encode(probe.split())
-        return whole == [i for p in parts for i in p]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts_words(self) -> bool:
+        probe = "Don't  STOP, it\n\t's 12. \u00e9t\u00e9!? <|x|> a\u0301 b***"
+        parts = "don't stop , it 's 12 . \u00e9t\u00e9 !? <|x|> a\u0301 b ***".split()
+        return self.encode([probe])[0] == [i for p in self.encode(parts) for i in p]
+
+    def spellings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        ids, size = [], np.zeros(len(words), np.int64)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        other = [i for i, w in enumerate(words) if not w.isalpha()]
+        for lo in range(0, len(plain), self.TOGETHER):
+            part = plain[lo:lo + self.TOGETHER]
+            row = np.array(self.encode([" ".join([words[i] for i in part])])[0], np.int64)
+            stops = np.flatnonzero(self.ends[row]) + 1
+            if len(stops) != len(part) or (len(row) and stops[-1] != len(row)):
+                other.extend(part)
+                continue
+            size[part] = np.diff(stops, prepend=0)
+            ids.append((part, row))
+        if other:
+            rows = self.encode([words[i] for i in other])
+            size[other] = [len(r) for r in rows]
+            ids.append((other, np.array([i for r in rows for i in r], np.int64)))
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        for part, row in ids:
+            out[ranges(first[part], size[part])] = row
+        return out, size
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text), without end ids."""
@@ -71,27 +110,39 @@ class WordTokenizer:
             first = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
             return np.array([i for r in rows for i in r], np.int64), first
         words = Words(*text_buffers(column), NOT_SPACE)
-        spelled, place, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        data = words.data
+        # Where signs trail a plain letter or digit, they are a word of their own.
+        loose = np.concatenate([[0], np.flatnonzero(~TRAIL[data]) + 1])
+        stem = loose[np.searchsorted(loose, words.ends, "right") - 1]
+        split = (stem > words.starts) & (stem < words.ends)
+        split[split] = PLAIN[data[stem[split] - 1]]
+        at = np.flatnonzero(split)
+        number = np.arange(len(words)) + np.cumsum(split) - split
+        parts = Words.__new__(Words)
+        parts.data = data
+        parts.starts = np.insert(words.starts, at + 1, stem[at])
+        parts.ends = np.insert(words.ends, at, stem[at])
+        first = np.append(number, len(parts.starts))[words.first]
+        spelled, place, which = np.unique(parts.hashes(LOWER), return_index=True,
+                                          return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.clear()
         known = self.known
         slots = np.array([known.get(h, -1) for h in spelled.tolist()], np.int64)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = words.data.tobytes()
-            starts, ends = words.starts[place[new]].tolist(), words.ends[place[new]].tolist()
-            rows = self.encode([raw[a:b].decode() for a, b in zip(starts, ends)])
+            raw = data.tobytes()
+            starts, ends = parts.starts[place[new]].tolist(), parts.ends[place[new]].tolist()
+            ids, size = self.spellings([raw[a:b].decode() for a, b in zip(starts, ends)])
             slots[new] = len(known) + np.arange(len(new))
             known.update(zip(spelled[new].tolist(), slots[new].tolist()))
-            size = np.array([len(r) for r in rows], np.int64)
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, np.array([i for r in rows for i in r],
-                                                          np.int64)])
+            self.ids = np.concatenate([self.ids, ids])
         slot = slots[which]
         size = self.first[slot + 1] - self.first[slot]
         ids = self.ids[ranges(self.first[slot], size)]
         total = np.concatenate([[0], np.cumsum(size)])
-        return ids, total[words.first]
+        return ids, total[first]
 
 
 def _tokenize(path, bounds, end_id):
