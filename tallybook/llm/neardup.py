@@ -343,7 +343,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple =
                                + [facts["doc_id"] == classes["leader"]], "left_semi")
                     .select("doc_id", "signature").distinct(), "leaders")
     links = similar_links(docs, leaders, shingle, threshold, **options)
-    rows = facts.drop("signature").join(classes, sets, "left")
+    rows = (facts.drop("signature").join(classes, sets, "left")
+            .withColumn("leader", F.when(F.col("doc_id").isNotNull(), F.col("leader"))))
     own = (rows.where(F.col("leader").isNotNull() & (F.col("leader") < F.col("doc_id")))
            .select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
     # A repeated id may stand in several classes; through it they are one.
