@@ -68,8 +68,8 @@ class Model:
         row = np.arange(n)
         self.base2, self.base1 = row * ORDER2, row * ORDER1
         self.base_flag = row * STATES
-        self.guess2, self.guess1 = np.zeros(n * ORDER2, np.int64), np.zeros(n * ORDER1, np.int64)
-        self.flags = np.ones((3, n * STATES), np.int64)
+        self.guess2, self.guess1 = np.zeros(n * ORDER2, np.int32), np.zeros(n * ORDER1, np.int32)
+        self.flags = np.ones((3, n * STATES), np.int32)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def predict(self, n: int):

@@ -67,7 +67,9 @@ class WordTokenizer:
         self.clear()
 
     def clear(self):
-        self.known: dict[int, int] = {}
+        # sorted codes of known spellings, ended by one that no slot is asked for
+        self.known = np.array([(1 << 64) - 1], np.uint64)
+        self.slots = np.zeros(1, np.int64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.int64)
 
@@ -123,19 +125,26 @@ class WordTokenizer:
         parts.starts = np.insert(words.starts, at + 1, stem[at])
         parts.ends = np.insert(words.ends, at, stem[at])
         first = np.append(number, len(parts.starts))[words.first]
-        spelled, place, which = np.unique(parts.hashes(LOWER), return_index=True,
-                                          return_inverse=True)
+        codes = parts.hashes(LOWER)
+        order = np.argsort(codes)
+        fresh = np.ones(len(codes), bool)
+        fresh[1:] = codes[order[1:]] != codes[order[:-1]]
+        which = np.empty(len(codes), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        place = order[fresh]
+        spelled = codes[place]
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        known = self.known
-        slots = np.array([known.get(h, -1) for h in spelled.tolist()], np.int64)
-        new = np.flatnonzero(slots < 0)
+        at = np.searchsorted(self.known, spelled)
+        slots = self.slots.take(np.minimum(at, len(self.slots) - 1))
+        new = np.flatnonzero(self.known.take(np.minimum(at, len(self.known) - 1)) != spelled)
         if len(new):
             raw = data.tobytes()
             starts, ends = parts.starts[place[new]].tolist(), parts.ends[place[new]].tolist()
             ids, size = self.spellings([raw[a:b].decode() for a, b in zip(starts, ends)])
-            slots[new] = len(known) + np.arange(len(new))
-            known.update(zip(spelled[new].tolist(), slots[new].tolist()))
+            slots[new] = len(self.first) - 1 + np.arange(len(new))
+            self.known = np.insert(self.known, at[new], spelled[new])
+            self.slots = np.insert(self.slots, at[new], slots[new])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
             self.ids = np.concatenate([self.ids, ids])
         slot = slots[which]
