@@ -23,9 +23,10 @@ from ..session import input_bytes
 class SkewPolicy:
     """When and how hot keys are split off.
 
-    ``hot_keys`` bounds the broadcast side by row count. A key that is not
-    among the hottest ``hot_keys`` holds at most 1/hot_keys of the rows, so
-    what remains for the shuffled join is spread evenly enough. Inputs below
+    A key is hot from ``hot_rows`` rows on, or from a ``hot_share``th of all
+    rows where that is more, so there are at most ``hot_share`` hot keys (or
+    rows / hot_rows) to broadcast, and no other key fills a task. ``hot_keys``
+    is the size of the sketch that finds frequent ids. Inputs below
     ``small_input`` bytes fit one task whole and skip the extra work.
 
     ``broadcast_bytes`` bounds the stored size of a broadcast per-file table,
@@ -35,8 +36,10 @@ class SkewPolicy:
 
     hot_keys: int = 1024
     hot_rows: int = 1_000_000
+    hot_share: int = 1_000_000
     small_input: int = 1 << 30
     salts: int = 64
+    salt_bytes: int = 1 << 30
     broadcast_bytes: int = 64 << 20
     broadcast_uids: int = 2_000_000
     ledger_ratio: int = 20
@@ -62,7 +65,7 @@ def unique_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *,
     """``left`` plus ``values`` of the one ``right`` row with equal ``on``.
 
     The first column of ``on`` is the string key that may be NULL or hot.
-    ``hot`` holds at most ``SkewPolicy.hot_keys`` rows of ``right``; rows it
+    ``hot`` holds the rows of ``right`` with hot keys, a bounded number; rows it
     answers, and rows without a key, take part in the shuffle under a filler.
     """
     key, rest = on[0], list(on[1:])
@@ -88,9 +91,9 @@ def unique_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *,
 
 
 def hottest(df: DataFrame, rows: str, policy: SkewPolicy) -> DataFrame:
-    """The keys of ``df`` that hold at least ``hot_rows`` rows, hottest first."""
-    return (df.filter(F.col(rows) >= policy.hot_rows)
-            .orderBy(F.col(rows).desc()).limit(policy.hot_keys))
+    """All keys of ``df`` that are hot; how many there can be follows from the policy."""
+    total = df.agg(F.sum(rows)).first()[0] or 0
+    return df.filter(F.col(rows) >= max(policy.hot_rows, total // policy.hot_share))
 
 
 def hottest_values(df: DataFrame, column: str, policy: SkewPolicy) -> DataFrame:
@@ -113,12 +116,13 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *,
 
     A side whose tables take at most ``broadcast_bytes`` travels by broadcast
     and ``left`` is not moved at all. Beyond that each right row is copied
-    ``salts`` times, so even one file with a third of all rows is read by
-    ``salts`` tasks.
+    ``salts`` times, or as often as ``left`` has ``salt_bytes``, if that is
+    more, so even one file with a third of all rows fills no task.
     """
     size = input_bytes(right)
     if size is not None and size <= policy.broadcast_bytes:
         return left.join(F.broadcast(right), list(on), how)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(policy.salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(policy.salts - 1))))
+    salts = max(policy.salts, (input_bytes(left) or 0) // policy.salt_bytes)
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

@@ -21,9 +21,10 @@ from ..operators.sheets import (apply_mapping, detect_headers, load_mapping, res
                                 save_mapping, sheet_status, suggest_mapping, validate_mapping)
 from ..rules import Rules
 from ..schemas import TO_SETTLE
-from ..session import materialize, size_shuffles
+from ..session import materialize, sized_shuffles
 from ..sources.audit import append_audit, audit_tail
-from ..sources.inbox import content_hashes, inbox_totals, pending_files, scan_inbox
+from ..sources.inbox import (content_hashes, inbox_totals, list_inbox, pending_files,
+                             scan_inbox)
 from ..sources.ledger import (Commit, Ledger, ledger_stats, payable_entries, processed_lookup,
                               query_ledger)
 from ..sources.report import Report, batch_id, read_report
@@ -46,6 +47,10 @@ class NoData(ValueError):
     """No file gave a single record."""
 
 
+class UnusableFiles(ValueError):
+    """Some file gave no records; the files table of the report says why."""
+
+
 # ---------------------------------------------------------------- scan, map
 
 def scan(spark: SparkSession, folder: str, ledger: Ledger) -> DataFrame:
@@ -93,32 +98,71 @@ def folder_records(scan_: SheetScan, mapping: Mapping | str | DataFrame) -> Fold
 def reconcile_folder(spark: SparkSession, folder: str, ledger: Ledger, report_path: str, *,
                      rules: Rules = Rules(), mapping: Mapping | str | DataFrame | None = None,
                      run_at: datetime | None = None, audit_path: str | None = None,
+                     on_unusable: str = "report",
                      policy: SkewPolicy = SkewPolicy()) -> Report:
     """Classify every record of a folder and store the report.
 
     Reads the ledger, writes only the report (and an audit event). Each file
-    is a batch of its own: repeats are judged within a file.
+    is a batch of its own: repeats are judged within a file. Every file listed
+    gets a row in the report's files table: ``ok``, or why it gave no records.
+    ``on_unusable="raise"`` stops at such files once that table is written.
     """
+    if on_unusable not in ("raise", "report"):
+        raise ValueError("on_unusable is 'raise' or 'report'")
     mapping = mapping if mapping is not None else rules.mapping
     if mapping is None:
         raise NoMapping("give a mapping, or store one with save_mapping")
     if not isinstance(mapping, DataFrame):
         mapping = validate_mapping(mapping)
     run_at = run_at or datetime.now()
+    before = materialize(list_inbox(spark, folder), "listing")
     found = folder_records(read_sheets(spark, folder), mapping)
-    if found.records.isEmpty():
-        raise NoData(f"no data rows below any header in {folder}")
-    entries = ledger.entries()
-    size_shuffles(spark, found.records, entries)
-    items = reconcile(found.records, entries, rules, policy=policy)
     when = F.lit(run_at.isoformat(sep=" ", timespec="seconds")).cast("timestamp")
     known = json.dumps(mapping, ensure_ascii=False) if isinstance(mapping, Mapping) else None
-    files = processed_lookup(content_hashes(spark, folder), ledger.processed()).select(
-        F.col("path").alias("source_file"), F.col("sha256").alias("file_sha256"),
+    files = file_outcomes(spark, folder, before, found.status, ledger).select(
+        "source_file", "status", "n_rows", F.col("sha256").alias("file_sha256"),
         batch_id(when, F.col("sha256")).alias("batch_id"), when.alias("generated_at"),
         F.col("processed").alias("already_processed"),
         F.lit(known).cast("string").alias("mapping"))
-    return store_report(spark, items, files, report_path, rules=rules, audit_path=audit_path)
+    files.write.mode("overwrite").parquet(f"{report_path}/files")
+    files = spark.read.parquet(f"{report_path}/files")
+    if on_unusable == "raise":
+        unusable = files.filter("status <> 'ok'").select("source_file", "status").limit(20)
+        if bad := [tuple(r) for r in unusable.collect()]:
+            raise UnusableFiles(f"no records from {bad}")
+    if files.filter("status = 'ok'").isEmpty():
+        raise NoData(f"no data rows below any header in {folder}")
+    records = found.records
+    changed = files.filter(F.col("status") == CHANGED).select("source_file")
+    if not changed.isEmpty():
+        records = records.join(changed, "source_file", "left_anti")
+    entries = ledger.entries()
+    with sized_shuffles(spark, records, entries):
+        items = reconcile(records, entries, rules, policy=policy)
+        return store_report(spark, items, files.drop("status", "n_rows"), report_path,
+                            rules=rules, audit_path=audit_path)
+
+
+CHANGED = "changed_while_read"
+
+
+def file_outcomes(spark: SparkSession, folder, before: DataFrame, status: DataFrame,
+                  ledger: Ledger) -> DataFrame:
+    """What became of every file, with its hash and whether it was settled before.
+
+    A file that was replaced between its listing and its hash is not the file
+    that was read; its rows must not be settled under the new hash.
+    """
+    hashes = content_hashes(spark, folder).withColumnRenamed("path", "source_file")
+    facts = lambda df: df.select(F.col("path").alias("source_file"),
+                                 F.struct("length", "modified").alias("facts"))
+    after = facts(list_inbox(spark, folder)).withColumnRenamed("facts", "now")
+    seen = (facts(before).join(status, "source_file", "left").join(hashes, "source_file", "left")
+            .join(after, "source_file", "left"))
+    same = F.col("facts").eqNullSafe(F.col("now"))
+    return processed_lookup(seen, ledger.processed()).select(
+        "source_file", F.when(~same, CHANGED).otherwise(F.col("status")).alias("status"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "sha256", "processed")
 
 
 def store_report(spark: SparkSession, items: DataFrame, files: DataFrame, path: str, *,
@@ -129,7 +173,7 @@ def store_report(spark: SparkSession, items: DataFrame, files: DataFrame, path:
     """
     items.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/items")
     stored = spark.read.parquet(f"{path}/items")
-    summary = summarize(stored, rules).join(files, "source_file")
+    summary = summarize(stored, rules).join(files, "source_file", "left")
     summary.write.mode("overwrite").parquet(f"{path}/summary")
     report = read_report(spark, path, places=rules.amount_places)
     if audit_path:

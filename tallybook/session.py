@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,24 +33,46 @@ def build_session(app: str = "tallybook", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, **conf: str):
+    """Set runtime options (dots as ``__``), and put back what was there before."""
+    wanted = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def charset_settings(spark: SparkSession):
+    """The options that reading GBK text needs, for as long as a job runs."""
+    return setting(spark, **{k.replace(".", "__"): v for k, v in CHARSET_CONF.items()})
+
+
 # One shuffle partition per this many input bytes; AQE merges small ones.
 SHUFFLE_BYTES = 128 << 20
-MAX_SHUFFLE_PARTITIONS = 200_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def size_shuffles(spark: SparkSession, *inputs: DataFrame) -> int:
-    """Start shuffles with enough partitions for the inputs, never fewer than set.
+def wanted_partitions(spark: SparkSession, *inputs: DataFrame) -> int:
+    """Shuffle partitions to start with: enough for the inputs, never fewer than set."""
+    now = int(spark.conf.get(INITIAL_PARTITIONS, None)
+              or spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(now, sum(input_bytes(df) or 0 for df in inputs) // SHUFFLE_BYTES)
+
+
+def sized_shuffles(spark: SparkSession, *inputs: DataFrame):
+    """While a job runs, start its shuffles with enough partitions for the inputs.
 
     The default of 200 would make partitions of half a terabyte out of 100 TB.
     Adaptive execution merges what turns out small, so a high start is cheap.
+    The session keeps its own setting afterwards.
     """
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    now = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    need = sum(input_bytes(df) or 0 for df in inputs) // SHUFFLE_BYTES
-    wanted = max(now, min(need, MAX_SHUFFLE_PARTITIONS))
-    if wanted > now:
-        spark.conf.set(key, str(wanted))
-    return wanted
+    key = INITIAL_PARTITIONS.replace(".", "__")
+    return setting(spark, **{key: str(wanted_partitions(spark, *inputs))})
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -88,11 +111,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# What Catalyst says of a relation whose size it does not know.
+UNKNOWN_BYTES = (1 << 63) - 1
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Catalyst's size of everything ``df`` scans; None when it cannot tell."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
-                   for i in range(leaves.size()))
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # no JVM handle (remote session) or no statistics
         return None
+    return None if any(s >= UNKNOWN_BYTES for s in sizes) else sum(sizes)

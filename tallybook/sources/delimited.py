@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import CHARSET_CONF
+from ..session import CHARSET_CONF, materialize
 from .lines import Blocks, count_blocks, number_lines, raw_lines
 
+# Characters of one row over several lines; beyond it a quote was left open.
+MAX_ROW_CHARS = 16 << 20
+
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
 # A line that starts outside quotes and ends inside: whole fields, then an
 # opening quote that nothing closes. A quote inside an unquoted field is text.
@@ -70,8 +73,8 @@ def _decoded(value: Column, encoding: Column) -> Column:
 
 def read_delimited(spark: SparkSession, paths, glob: str | None = None) -> DelimitedScan:
     """Scan comma-separated files. Runs one counting pass at once."""
-    for key, setting in CHARSET_CONF.items():
-        spark.conf.set(key, setting)
+    if any(spark.conf.get(key, None) != value for key, value in CHARSET_CONF.items()):
+        raise RuntimeError(f"reading GBK text needs the session options {CHARSET_CONF}")
     lines = raw_lines(spark, paths, glob).filter(~F.col("source_file").rlike(r"/~\$[^/]*\z"))
     value = F.col("value")
     as_gbk = F.decode(value.cast("binary"), "GBK")
@@ -93,7 +96,10 @@ def read_delimited(spark: SparkSession, paths, glob: str | None = None) -> Delim
         "source_file", F.col("line_no").alias("row_idx"),
         _drop_cr(_decoded(value, F.col("encoding"))).alias("row"))
     if spanning:
-        rows = rows.unionByName(_spanning_rows(numbered.filter("spans")))
+        more, endless = _spanning_rows(numbered.filter("spans"))
+        rows = rows.unionByName(more)
+        files = files.join(endless, "source_file", "left").withColumn(
+            "encoding", F.when(F.col("endless").isNull(), F.col("encoding")))
     sheets = rows.select("source_file", "row_idx", _as_cells(split_fields(F.col("row")))
                          .alias("cells"))
     return DelimitedScan(sheets, files.select("source_file", "encoding"))
@@ -124,8 +130,13 @@ def _resolve(fixed: Column, flipped: Column, start: Column) -> Column:
     return F.coalesce(fixed, F.when(flipped, ~start).otherwise(start))
 
 
-def _spanning_rows(numbered: DataFrame) -> DataFrame:
-    """Rows of files in which some quoted field spans lines."""
+def _spanning_rows(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of files in which some quoted field spans lines, and the files left out.
+
+    A quote that is never closed turns the rest of a file into one row. The
+    size of every row is counted before its lines are gathered; a file with a
+    row above ``MAX_ROW_CHARS`` is unreadable as a whole.
+    """
     text = _decoded(F.col("value"), F.col("encoding"))
     judged = numbered.select(
         "source_file", "block", "line_no", text.alias("line"),
@@ -159,8 +170,13 @@ def _spanning_rows(numbered: DataFrame) -> DataFrame:
         *in_block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"))
     placed = starts.join(before, in_block).withColumn(
         "row_idx", (F.col("rows_before") + F.col("nth") - 1).cast("bigint"))
-    return (
-        placed.groupBy("source_file", "row_idx")
+    sizes = placed.groupBy("source_file", "row_idx").agg(
+        F.sum(F.length("line") + 1).alias("n"))
+    endless = materialize(sizes.filter(F.col("n") > MAX_ROW_CHARS).select(
+        "source_file", F.lit(True).alias("endless")).distinct(), "endless-rows")
+    rows = (
+        placed.join(endless, "source_file", "left_anti").groupBy("source_file", "row_idx")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
         .select("source_file", "row_idx",
                 _drop_cr(F.array_join("parts.line", "\n")).alias("row")))
+    return rows, endless

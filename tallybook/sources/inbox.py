@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ledger import processed_lookup
-from .lines import count_blocks, number_lines, raw_lines
 from .tables import read_or_empty
+from .workbook import as_uri
+
+# Executors get this module's functions with the job, not by importing it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Suffixes the inbox shows; those that can be read; temp-file mark.
 LISTED = (".xlsx", ".csv", ".xls")
@@ -22,14 +31,16 @@ FILE_FACTS = T.StructType([
 
 OLD_FORMAT_WARNING = "old .xls format is not supported; save the file as .xlsx"
 
-# ``binaryFile`` loads a file whole, and no file above 2 GB at all.
-MAX_WHOLE_FILE = 512 * 1024 * 1024
+# ``binaryFile`` loads a file whole, and no file above 2 GB at all. The digest is
+# the same on either side of the line.
+WHOLE_BELOW = 512 << 20
+HASH_CHUNK = 8 << 20
 
 
 def list_inbox(spark: SparkSession, folder: str) -> DataFrame:
     """Facts about the listed files, without opening any.
 
-    (path, name, format, length, size_kb, mtime, supported)
+    (path, name, format, length, size_kb, mtime, modified, supported)
     """
     name = F.regexp_extract("path", r"[^/]+\z", 0)
     suffix = F.lower(F.regexp_extract(F.col("name"), r"(?s).(\.[^.]+)\z", 1))
@@ -41,47 +52,42 @@ def list_inbox(spark: SparkSession, folder: str) -> DataFrame:
         .select("path", "name", "format", "length",
                 F.bround(F.col("length") / 1024, 1).alias("size_kb"),
                 F.date_format("modificationTime", "yyyy-MM-dd HH:mm").alias("mtime"),
+                F.col("modificationTime").alias("modified"),
                 F.col("format").isin(*READABLE).alias("supported")))
 
 
-def content_hashes(spark: SparkSession, paths, *, max_whole: int = MAX_WHOLE_FILE) -> DataFrame:
-    """(path, sha256): the hex SHA-256 of each file's bytes.
+def content_hashes(spark: SparkSession, paths, *, whole_below: int = WHOLE_BELOW) -> DataFrame:
+    """(path, sha256): the hex SHA-256 of each file's bytes, whatever its size.
 
-    A digest of that kind is one sequential pass, so a file too large for one
-    task gets another key of the same width: every line is hashed together
-    with its number and the digests are added up, which any number of tasks
-    can do in any order (``sum:`` marks such a key).
+    Spark loads and hashes files of up to ``whole_below`` bytes. A larger one is
+    streamed through the same digest in chunks by one task: a digest is one
+    sequential pass by nature, and takes no memory to speak of.
     """
     listed = read_or_empty(spark, paths, FILE_FACTS, "binaryFile")
-    small = listed.filter(F.col("length") <= max_whole).select(
+    small = listed.filter(F.col("length") <= whole_below).select(
         "path", F.sha2("content", 256).alias("sha256"))
-    if listed.filter(F.col("length") > max_whole).select("path").isEmpty():
-        return small
-    return small.unionByName(large_file_keys(spark, paths, max_whole))
-
-
-def large_file_keys(spark: SparkSession, paths, larger_than: int = 0) -> DataFrame:
-    """Order-aware additive content keys of the large files among ``paths``."""
-    lines = raw_lines(spark, paths, larger_than=larger_than)
-    numbered = number_lines(lines, count_blocks(lines))
-    digest = F.sha2(F.concat(F.col("line_no").cast("string").cast("binary"),
-                             F.lit(":").cast("binary"), F.col("value").cast("binary")), 256)
-    parts = numbered.select("source_file", digest.alias("d"))
-    words = [F.sum(F.conv(F.substring("d", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)"))
-             .cast("string") for i in range(4)]
-    return parts.groupBy("source_file").agg(
-        F.concat(F.lit("sum:"), F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *words),
-                                       256)).alias("sha256")).withColumnRenamed("source_file", "path")
-
-
-def scan_inbox(spark: SparkSession, folder: str, processed: DataFrame, *,
-               max_whole: int = MAX_WHOLE_FILE) -> DataFrame:
+    large = listed.filter(F.col("length") > whole_below).select("path")
+    return small.unionByName(large.mapInArrow(_stream_hashes, "path string, sha256 string"))
+
+
+def _stream_hashes(batches):
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            system, inner = fs.FileSystem.from_uri(as_uri(path))
+            with system.open_input_stream(inner) as file:
+                while chunk := file.read(HASH_CHUNK):
+                    digest.update(chunk)
+            yield pa.RecordBatch.from_pylist([{"path": path, "sha256": digest.hexdigest()}])
+
+
+def scan_inbox(spark: SparkSession, folder: str, processed: DataFrame) -> DataFrame:
     """Every listed file with its hash and whether it was settled before.
 
     Files in the old format are listed with a warning and never hashed.
     """
     files = list_inbox(spark, folder)
-    hashes = content_hashes(spark, folder, max_whole=max_whole)
+    hashes = content_hashes(spark, folder)
     hashed = files.join(hashes, "path", "left").withColumn(
         "sha256", F.when(F.col("supported"), F.col("sha256")))
     return processed_lookup(hashed, processed).select(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.money import round_amount
 from ..functions.text import strip_ws
 from ..schemas import COMMITS, ENTRIES, MONEY, PROCESSED, SETTLED
-from .tables import read_or_empty
+from .tables import empty_table, read_or_empty
 
 ENTRY_VALUES = [f.name for f in ENTRIES.fields if f.name != "commit_seq"]
 
@@ -56,7 +56,7 @@ class Ledger:
     def _visible(self, table: str, schema, upto: int | None) -> DataFrame:
         last = self.last_commit() if upto is None else upto
         if last == 0:
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
         rows = read_or_empty(self.spark, f"{self.root}/{table}", schema)
         return rows.filter(F.col("commit_seq") <= last)
 

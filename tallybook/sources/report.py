@@ -56,7 +56,7 @@ def write_report(report: Report, path: str, fmt: str = "parquet") -> None:
     """Replace the report at ``path``; items lie in one folder per bucket."""
     items = _as_text(report.items, fmt)
     items.write.mode("overwrite").partitionBy("bucket").format(fmt).save(f"{path}/items")
-    _as_text(report.summary, fmt).coalesce(1).write.mode("overwrite").format(fmt).save(
+    _as_text(report.summary, fmt).write.mode("overwrite").format(fmt).save(
         f"{path}/summary")
 
 

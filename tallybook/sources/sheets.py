@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..schemas import SHEET
+from ..session import charset_settings, materialize
 from .delimited import read_delimited
 from .inbox import list_inbox
+from .tables import empty_table
 from .workbook import ERROR_ROW, read_workbooks
 
 CSV_GLOB = "*.[cC][sS][vV]"
@@ -32,6 +34,11 @@ class SheetScan:
 
 def read_sheets(spark: SparkSession, folder: str, *, sheet: str | None = None,
                 fail_on_unsupported: bool = False) -> SheetScan:
+    with charset_settings(spark):
+        return _read_sheets(spark, folder, sheet, fail_on_unsupported)
+
+
+def _read_sheets(spark, folder, sheet, fail_on_unsupported) -> SheetScan:
     listed = list_inbox(spark, folder)
     if fail_on_unsupported:
         refused = listed.filter(~F.col("supported")).select("name").limit(20).collect()
@@ -43,8 +50,7 @@ def read_sheets(spark: SparkSession, folder: str, *, sheet: str | None = None,
     books = read_workbooks(spark, folder, sheet) if ".xlsx" in kinds else None
     parts = [df for df in (text and text.sheets, books) if df is not None]
     if not parts:
-        parts = [spark.createDataFrame([], "source_file string, row_idx long, "
-                                           "cells array<struct<kind:string,text:string>>")]
+        parts = [empty_table(spark, SHEET)]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     staged = materialize(rows, "sheets")
     broken = staged.filter(F.col("row_idx") == ERROR_ROW).select(
@@ -53,7 +59,7 @@ def read_sheets(spark: SparkSession, folder: str, *, sheet: str | None = None,
         F.col("path").alias("source_file"), "supported",
         F.when(F.col("format") == ".xlsx", "xlsx").alias("encoding"))
     if text is not None:
-        known = text.files.withColumnRenamed("encoding", "text_encoding")
+        known = materialize(text.files, "encodings").withColumnRenamed("encoding", "text_encoding")
         files = files.join(known, "source_file", "left").select(
             "source_file", "supported", F.coalesce("encoding", "text_encoding").alias("encoding"))
     files = files.join(broken, "source_file", "left").select(

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A table without rows whose size Catalyst knows, unlike one made of Python rows."""
+    return spark.range(0).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType,
                   fmt: str = "parquet") -> DataFrame:
     """The table at ``path``, or an empty one of the same shape."""
@@ -15,4 +22,4 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType,
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)

@@ -138,7 +138,10 @@ def _cell(element, shared: list[str], dates: set[int], since_1904: bool) -> tupl
 
 def _column_index(reference: str) -> int:
     index = 0
-    for letter in re.match("[A-Z]+", reference).group():
+    letters = re.match("[A-Za-z]+", reference)
+    if not letters:
+        raise ValueError(f"no cell reference: {reference!r}")
+    for letter in letters.group().upper():
         index = index * 26 + ord(letter) - 64
     return index - 1
 
@@ -171,15 +174,16 @@ def _read_file(path: str, sheet: str | None) -> list[pa.RecordBatch]:
     batches, rows = [], []
     pack = lambda rs: pa.RecordBatch.from_pylist(rs, schema=_ARROW_SHEET)
     try:
-        system, inner = fs.FileSystem.from_uri(_as_uri(path))
+        system, inner = fs.FileSystem.from_uri(as_uri(path))
         with system.open_input_file(inner) as file:
             for at, cells in sheet_rows(file, sheet):
                 rows.append({"source_file": path, "row_idx": at, "cells": cells})
                 if len(rows) == BATCH_ROWS:
                     batches.append(pack(rows))
                     rows = []
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError,
-            StopIteration) as e:
+    except OSError:  # the store, not the file: the task is tried again
+        raise
+    except Exception as e:  # whatever a damaged file leads to, it ends only that file
         error = [{"kind": "error", "text": f"{type(e).__name__}: {e}"}]
         return [pack([{"source_file": path, "row_idx": ERROR_ROW, "cells": error}])]
     return batches + ([pack(rows)] if rows else [])
@@ -191,7 +195,7 @@ def _parse(batches: Iterator[pa.RecordBatch], sheet: str | None) -> Iterator[pa.
             yield from _read_file(path, sheet)
 
 
-def _as_uri(path: str) -> str:
+def as_uri(path: str) -> str:
     """``file:/x`` is Hadoop's spelling of a local path."""
     return path[len("file:"):] if path.startswith("file:") else path
 

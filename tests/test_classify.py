@@ -198,14 +198,16 @@ def test_small_batch_filters_a_large_ledger(spark, tmp_path, limit):
     batch = [r for r in rows if r[1] in ("2", "3", None)]
     entries(spark, ledger).write.parquet(str(tmp_path / "l"))
     big = spark.read.parquet(str(tmp_path / "l"))
+    records(spark, batch).write.parquet(str(tmp_path / "b"))
+    small = spark.read.parquet(str(tmp_path / "b"))
     policy = SkewPolicy(small_input=1, ledger_ratio=0, broadcast_uids=limit)
     rules = Rules(anomaly_status_keywords=["冻结"])
-    assert policy.ledger_dwarfs(records(spark, batch), big)
-    items = reconcile(records(spark, batch), big, rules, policy=policy)
+    assert policy.ledger_dwarfs(small, big)
+    items = reconcile(small, big, rules, policy=policy)
     got = {(i["source_file"], i["row_no"]): (i["bucket"], i["ref_amount"], i["first_row"])
            for i in items.collect()}
     assert got == model(batch, ledger, rules)
-    direct = reconcile_summary(records(spark, batch), big, rules, policy=policy)
+    direct = reconcile_summary(small, big, rules, policy=policy)
     assert sorted(direct.collect()) == sorted(summarize(items, rules).collect())
 
 
@@ -215,10 +217,31 @@ def test_shuffles_grow_with_the_input(spark, conf, monkeypatch):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     conf(key, "4")
     df = spark.range(10)
-    assert session.size_shuffles(spark, df) == 4
+    with session.sized_shuffles(spark, df):
+        assert spark.conf.get(key) == "4"
     monkeypatch.setattr(session, "input_bytes", lambda df: 100 << 40)
-    assert session.size_shuffles(spark, df) == session.MAX_SHUFFLE_PARTITIONS
-    assert spark.conf.get(key) == str(session.MAX_SHUFFLE_PARTITIONS)
+    with session.sized_shuffles(spark, df):
+        assert spark.conf.get(key) == str((100 << 40) // session.SHUFFLE_BYTES)
+    assert spark.conf.get(key) == "4"
+
+
+def test_sizes_that_catalyst_does_not_know(spark, tmp_path):
+    from tallybook import session
+    from tallybook.sources.ledger import Ledger
+
+    assert session.input_bytes(spark.createDataFrame([], RECORD)) is None
+    ledger = Ledger(spark, str(tmp_path / "none"))
+    assert ledger.entries().count() == 0 and session.input_bytes(ledger.entries()) < 1 << 20
+    assert not SkewPolicy().needed_for(ledger.entries(), ledger.processed())
+
+
+def test_every_hot_key_is_split_off(spark):
+    from tallybook.operators.lookup import hottest
+
+    keys = spark.range(3000).selectExpr("id", "if(id < 2000, 50L, 1L) AS n_rows")
+    assert hottest(keys, "n_rows", SkewPolicy(hot_rows=10)).count() == 2000
+    few = SkewPolicy(hot_rows=10, hot_share=1000)  # at most a thousand may be hot
+    assert hottest(keys, "n_rows", few).count() == 0
 
 
 def test_bucket_helpers(spark):

@@ -4,6 +4,7 @@ import csv
 import hashlib
 import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tallybook.operators.sheets import (apply_mapping, detect_headers, resolve_c
                                         sheet_status)
 from tallybook.sources.audit import append_audit, audit_tail
 from tallybook.sources.delimited import read_delimited
-from tallybook.sources.inbox import content_hashes, inbox_totals, large_file_keys, pending_files, scan_inbox
+from tallybook.sources.inbox import content_hashes, inbox_totals, pending_files, scan_inbox
 from tallybook.sources.ledger import Ledger
 from tallybook.sources.lines import count_blocks, number_lines, raw_lines
 from tallybook.sources.sheets import UnsupportedFormat, read_sheets
@@ -67,12 +68,12 @@ def test_csv_matches_the_csv_module(spark, conf, tmp_path, split, seed):
 
 
 def test_csv_encodings(spark, tmp_path):
-    (tmp_path / "bom.csv").write_bytes("主订单,金额\n\"\t9001\",29.90\n".encode("utf-8-sig"))
-    (tmp_path / "gbk.csv").write_bytes("UID,金额\n10001,88.50\n".encode("gbk"))
+    (tmp_path / "bom.csv").write_bytes("单号,金额\n\"\tK-77\",31.05\n".encode("utf-8-sig"))
+    (tmp_path / "gbk.csv").write_bytes("UID,金额\n4711,63.20\n".encode("gbk"))
     (tmp_path / "bad.csv").write_bytes(b"\xff\xff,1\n")
     scan = read_delimited(spark, str(tmp_path))
     got = rows_of(scan.sheets)
-    assert got["bom.csv"] == {0: ["主订单", "金额"], 1: ["\t9001", "29.90"]}
+    assert got["bom.csv"] == {0: ["单号", "金额"], 1: ["\tK-77", "31.05"]}
     assert got["gbk.csv"][0] == ["UID", "金额"] and "bad.csv" not in got
     kinds = {r["source_file"].rsplit("/", 1)[-1]: r["encoding"] for r in scan.files.collect()}
     assert kinds == {"bom.csv": "utf-8", "gbk.csv": "gbk", "bad.csv": None}
@@ -163,20 +164,57 @@ def test_inbox_scan(spark, tmp_path):
     assert [r["name"] for r in pending_files(scanned).collect()] == ["a.XLSX", "b.csv"]
 
 
-def test_large_files_get_an_order_aware_key(spark, conf, tmp_path):
-    lines = [f"line number {i}\n" for i in range(40)]
-    swapped = [lines[1], lines[0], *lines[2:]]
-    for name, text in {"a": lines, "b": swapped, "c": lines}.items():
-        (tmp_path / f"{name}.csv").write_text("".join(text))
-    paths = [str(tmp_path / f"{n}.csv") for n in "abc"]
-    key = lambda: {r["path"][-5]: r["sha256"] for r in large_file_keys(spark, paths).collect()}
-    one = key()
-    assert one["a"] == one["c"] != one["b"] and one["a"].startswith("sum:")
-    conf("spark.sql.files.maxPartitionBytes", "200")
-    conf("spark.sql.files.openCostInBytes", "1")
-    assert key() == one
-    mixed = content_hashes(spark, str(tmp_path), max_whole=1).collect()
-    assert {r["path"][-5]: r["sha256"] for r in mixed} == one
+def test_one_content_has_one_hash_at_any_size(spark, tmp_path):
+    data = {"a": b"one\ntwo\n", "b": b"one\ntwo", "c": b"\xef\xbb\xbfone\ntwo\n", "d": b"one\ntwo\n"}
+    for name, content in data.items():
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    want = {n: hashlib.sha256(c).hexdigest() for n, c in data.items()}
+    for line in (0, 8, 1 << 20):  # streamed, mixed, loaded whole
+        got = content_hashes(spark, str(tmp_path), whole_below=line).collect()
+        assert {r["path"][-5]: r["sha256"] for r in got} == want
+    assert len(set(want.values())) == 3
+
+
+def test_an_open_quote_ends_only_its_file(spark, conf, tmp_path, monkeypatch):
+    monkeypatch.setattr("tallybook.sources.delimited.MAX_ROW_CHARS", 2000)
+    (tmp_path / "open.csv").write_text('uid,金额\n1,"2\n' + "3,4\n" * 2000)
+    (tmp_path / "good.csv").write_text('uid,金额\n1,"2\n3"\n')
+    scan = read_sheets(spark, str(tmp_path))
+    assert rows_of(scan.sheets) == {"good.csv": {0: ["uid", "金额"], 1: ["1", "2\n3"]}}
+    kinds = {r["source_file"].rsplit("/", 1)[-1]: r["encoding"] for r in scan.files.collect()}
+    assert kinds == {"open.csv": None, "good.csv": "utf-8"}
+
+
+def test_a_damaged_workbook_ends_only_itself(spark, tmp_path):
+    good = workbook_bytes([["x", 1]])
+    (tmp_path / "good.xlsx").write_bytes(good)
+    (tmp_path / "lower.xlsx").write_bytes(repacked(good, lambda n, d: d.replace(b'r="A1"', b'r="a1"')))
+    (tmp_path / "odd.xlsx").write_bytes(repacked(good, lambda n, d: d.replace(b'r="A1"', b'r="1"')))
+    locked = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):  # the flag of encrypted members
+        place = locked.find(mark)
+        while place >= 0:
+            locked[place + at] |= 1
+            place = locked.find(mark, place + 4)
+    (tmp_path / "locked.xlsx").write_bytes(bytes(locked))
+    torn = bytearray(repacked(good, lambda n, d: d + b"<!-- " + bytes(range(32, 60)) * 50 + b" -->"))
+    start = torn.find(b"xl/worksheets") + 40
+    torn[start:start + 40] = b"\xff" * 40
+    (tmp_path / "torn.xlsx").write_bytes(bytes(torn))
+    got = rows_of(read_workbooks(spark, str(tmp_path)))
+    assert got["good.xlsx"] == got["lower.xlsx"] == {0: ["x", "1"]}
+    for name in ("odd.xlsx", "locked.xlsx", "torn.xlsx"):
+        assert list(got[name]) == [ERROR_ROW]
+
+
+def repacked(book, change):
+    """The same workbook with each member changed, deflated."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, \
+            zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            new.writestr(name, change(name, old.read(name)))
+    return out.getvalue()
 
 
 def test_audit_log(spark, tmp_path):

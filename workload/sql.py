@@ -9,7 +9,7 @@ from __future__ import annotations
 
 # The header rows of derive.HEADERS.
 HEADERS = ("UID,昵称,订单号,结算金额,日期,状态",
-           "主订单编号,子订单编号,选购商品,订单应付金额,达人ID,达人昵称,订单状态,售后状态",
+           "包裹编号,成交单号,摘要,订单应付金额,会员ID,会员昵称,订单状态,售后",
            " ＵＩＤ , Amount ,Order , DATE ",
            "Member,佣金,周期",
            "remark,note")
@@ -36,14 +36,15 @@ batch AS (
     strftime(ts, '%Y-%m-%d') AS date, props AS name,
     CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '异常-退款' ELSE '正常' END AS status
   FROM ev),
-ledger AS (
+whole_ledger AS (
   SELECT event_id AS row_no, user_id::VARCHAR AS uid,
     CASE WHEN event_id % 20 = 3 THEN '' ELSE ord END AS order_no,
     (value::VARCHAR::DECIMAL(38,2)
        + CASE WHEN event_id % 3 = 0 THEN 0.50 ELSE 0 END)::DECIMAL(38,2) AS amount,
     CASE WHEN event_type IN ('view', 'purchase') THEN 'settled'
          WHEN event_type = 'click' THEN 'pending' ELSE 'quote' END AS status
-  FROM ev WHERE event_id % 10 = 3 AND user_id % 4 <> 0)
+  FROM ev),
+ledger AS (SELECT * FROM whole_ledger WHERE row_no % 10 = 3 AND uid::BIGINT % 4 <> 0)
 """
 
 _NARROW = "translate({}, '０１２３４５６７８９：￥', '0123456789:¥')"
@@ -309,28 +310,35 @@ ORACLES = {
         0, "round_even", "5", prefixes="UID",
         keyword="CASE WHEN status LIKE '%正%' THEN '正' END") + _summary(0),
     "q_reconcile_lineitem": """WITH lines AS (
-      SELECT strftime(l_shipdate, '%Y-%m') AS source_file, l_suppkey::VARCHAR AS uid,
-        l_orderkey::VARCHAR AS ok, min(l_extendedprice)::DECIMAL(38,2) AS amount,
-        min(l_returnflag) AS status FROM lineitem GROUP BY 1, 2, 3),
-      book AS (SELECT (o_custkey % 100)::VARCHAR AS uid, o_totalprice::DECIMAL(38,2) AS amount,
+      SELECT strftime(l_shipdate, '%Y-%m') AS source_file, l_orderkey::VARCHAR AS ok,
+        CASE WHEN l_partkey % 37 <> 0 THEN (l_suppkey % 10)::VARCHAR END AS uid,
+        l_extendedprice::DECIMAL(38,2) AS amount, l_returnflag AS status,
+        ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey
+          AS row_no FROM lineitem),
+      book AS (SELECT (o_custkey % 10)::VARCHAR AS uid, o_totalprice::DECIMAL(38,2) AS amount,
         CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE o_orderkey::VARCHAR END AS order_no,
         o_orderkey AS row_no, o_orderstatus = 'F' AS paid FROM orders),
-      pairs AS (SELECT l.*, b.paid, b.amount AS ref, b.row_no FROM lines l JOIN book b
-        ON b.uid = l.uid AND b.order_no = l.ok
-        UNION ALL SELECT l.*, b.paid, b.amount, b.row_no FROM lines l JOIN book b
-        ON b.uid = l.uid AND b.order_no = ''),
+      keys AS (SELECT source_file, uid, ok, min(row_no) AS first_row FROM lines
+        WHERE uid IS NOT NULL GROUP BY ALL),
+      pairs AS (SELECT k.source_file, k.uid, k.ok, b.paid, b.amount AS ref, b.row_no
+        FROM keys k JOIN book b ON b.uid = k.uid AND b.order_no = k.ok
+        UNION ALL SELECT k.source_file, k.uid, k.ok, b.paid, b.amount, b.row_no
+        FROM keys k JOIN book b ON b.uid = k.uid AND b.order_no = ''),
       facts AS (SELECT source_file, uid, ok, bool_or(paid) AS settled,
         max_by(ref, row_no) FILTER (NOT paid) AS ref FROM pairs GROUP BY ALL),
-      bucketed AS (SELECT l.*, CASE WHEN f.settled THEN 'already_settled'
-          WHEN l.status = 'R' THEN 'manual_review'
+      bucketed AS (SELECT l.*, CASE WHEN l.uid IS NULL THEN 'missing_uid'
+          WHEN l.row_no <> k.first_row THEN 'duplicate_in_batch'
+          WHEN f.settled THEN 'already_settled' WHEN l.status = 'R' THEN 'manual_review'
           WHEN abs(l.amount - f.ref) > 0.01 THEN 'amount_mismatch' ELSE 'to_settle' END AS bucket
-        FROM lines l LEFT JOIN facts f
-          ON f.source_file = l.source_file AND f.uid = l.uid AND f.ok = l.ok)
+        FROM lines l
+        LEFT JOIN keys k ON k.source_file = l.source_file AND k.uid = l.uid AND k.ok = l.ok
+        LEFT JOIN facts f ON f.source_file = l.source_file AND f.uid = l.uid AND f.ok = l.ok)
       SELECT source_file, count(*) AS total_rows,
         count(*) FILTER (bucket = 'to_settle') AS to_settle,
         coalesce(sum(amount) FILTER (bucket = 'to_settle'), 0)::DECIMAL(38,2) AS to_settle_amount,
         count(*) FILTER (bucket = 'already_settled') AS already_settled,
-        0::BIGINT AS duplicate_in_batch, 0::BIGINT AS missing_uid,
+        count(*) FILTER (bucket = 'duplicate_in_batch') AS duplicate_in_batch,
+        count(*) FILTER (bucket = 'missing_uid') AS missing_uid,
         count(*) FILTER (bucket = 'amount_mismatch') AS amount_mismatch,
         count(*) FILTER (bucket = 'manual_review') AS manual_review
       FROM bucketed GROUP BY source_file""",
@@ -364,10 +372,10 @@ ORACLES = {
       SELECT uid IS NOT NULL AND {_amount('amount')} IS NOT NULL AS kept FROM hist)
       SELECT count(*) FILTER (kept) AS imported, count(*) FILTER (NOT kept) AS skipped FROM k""",
     "q_ledger_totals": f"WITH {BATCH}, {_PAGES} "
-                       + _STATS.format("(SELECT count(*) FROM register)", "ledger"),
-    "q_ledger_query_uid": f"""WITH {BATCH} SELECT row_no, uid, order_no, amount, status FROM ledger
+                       + _STATS.format("(SELECT count(*) FROM register)", "whole_ledger"),
+    "q_ledger_query_uid": f"""WITH {BATCH} SELECT row_no, uid, order_no, amount, status FROM whole_ledger
       WHERE uid = '7' ORDER BY row_no DESC LIMIT 50""",
-    "q_ledger_recent": f"""WITH {BATCH} SELECT row_no, uid, order_no, amount, status FROM ledger
+    "q_ledger_recent": f"""WITH {BATCH} SELECT row_no, uid, order_no, amount, status FROM whole_ledger
       ORDER BY row_no DESC LIMIT 50""",
     "q_apply_once": _applied(1),
     "q_apply_force": _applied(2),
