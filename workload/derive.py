@@ -123,21 +123,44 @@ def document_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
                            cells.alias("cells"))
 
 
+PAGES_PER_FILE = 10
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as inbox files: a name, a format and a content hash."""
-    p = F.col("page_id")
+    """Ten pages each as an inbox file: name, format, content and its hash."""
+    p = F.col("file_no")
     suffix = F.when(p % 7 == 0, ".xls").when(p % 2 == 0, ".csv").otherwise(".xlsx")
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.concat(F.lpad(p.cast("string"), 8, "0"), suffix).alias("name"),
-        suffix.alias("format"), F.octet_length("html").alias("length"),
-        F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "page_id", F.coalesce("html", F.lit("")).alias("html")))), lambda r: r["html"]), "\n")
+    return (table(spark, sf_dir, "pages")
+            .groupBy(F.floor(F.col("page_id") / PAGES_PER_FILE).cast("bigint").alias("file_no"))
+            .agg(text.alias("content"))
+            .select("file_no", F.concat(F.lpad(p.cast("string"), 8, "0"), suffix).alias("name"),
+                    F.col("content").cast("binary").alias("content"),
+                    F.sha2(F.col("content").cast("binary"), 256).alias("sha256")))
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as inbox files that are good, lack a header or data, or cannot be read."""
+    p, kind = F.col("file_no"), F.col("file_no") % 5
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")),
+                                     lambda i: F.concat(i.cast("string"), F.lit(",1.5\n"))), "")
+    head = F.when(kind == 1, "remark,note\n").otherwise("uid,金额\n")
+    bad = F.concat(F.lit(bytearray(b"\xff\xff")), F.col("lines").cast("binary"))
+    return (table(spark, sf_dir, "pages")
+            .groupBy(F.floor(F.col("page_id") / PAGES_PER_FILE).cast("bigint").alias("file_no"))
+            .agg(lines.alias("lines"))
+            .select(F.concat(F.lpad(p.cast("string"), 8, "0"),
+                             F.when(kind == 3, ".xls").otherwise(".csv")).alias("name"),
+                    F.when(kind == 2, bad).when(kind == 4, head.cast("binary")).otherwise(
+                        F.concat(head, "lines").cast("binary")).alias("content")))
 
 
 def pages_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents settled before: those of every third page, each once."""
-    return (page_files(spark, sf_dir).filter(F.col("page_id") % 3 == 0)
-            .groupBy("sha256").agg(F.min("page_id").alias("first"))
-            .select("sha256", F.concat(F.lit("batch-"), F.col("first").cast("string"))
+    """Contents settled before: those of every third file, each once."""
+    return (page_files(spark, sf_dir).filter(F.col("file_no") % 3 == 0)
+            .groupBy("sha256").agg(F.min("file_no").alias("first"), F.min("name").alias("filename"))
+            .select("sha256", "filename", F.concat(F.lit("batch-"), F.col("first").cast("string"))
                     .alias("batch_id"),
                     F.lit("2024-01-01 00:00:00").cast("timestamp").alias("processed_at")))
 

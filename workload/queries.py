@@ -18,14 +18,15 @@ from tallybook.operators.classify import (attach_ledger, bucket_items, clean_rec
                                           key_facts, reconcile, reconcile_summary, summarize)
 from tallybook.operators.sheets import (apply_mapping, detect_headers, resolve_columns,
                                         suggest_mapping)
+from tallybook.plans import pipelines
 from tallybook.plans.pipelines import (apply_report, folder_records, history_entries,
-                                          store_report)
+                                       import_history, reconcile_folder, store_report)
 from tallybook.rules import Rules
 from tallybook.schemas import FIELDS, MISSING_UID
 from tallybook.session import materialize, scratch_path
-from tallybook.sources.audit import tail_of
-from tallybook.sources.inbox import OLD_FORMAT_WARNING, READABLE, inbox_totals, pending_files
-from tallybook.sources.ledger import Ledger, ledger_stats, processed_lookup, query_ledger
+from tallybook.sources import audit
+from tallybook.sources.inbox import content_hashes, list_inbox, pending_files, scan_inbox
+from tallybook.sources.ledger import Ledger, ledger_stats, query_ledger
 from tallybook.sources.report import (Report, batch_id, read_report, review_extract, short_hash,
                                       summary_facts, write_report)
 from tallybook.sources.sheets import read_sheets
@@ -260,8 +261,10 @@ def import_rows(spark, sf):
 
 
 def import_counts(spark, sf):
-    rows = history_entries(derive.orders_history(spark, sf))
-    return rows.agg(F.count_if("kept").alias("imported"), F.count_if(~F.col("kept")).alias("skipped"))
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    done = import_history(derive.orders_history(spark, sf), ledger, imported_at=RUN_AT)
+    return ledger.commits().select(F.col("n_entries").alias("imported"),
+                                   F.lit(done.skipped).cast("bigint").alias("skipped"))
 
 
 def ledger_totals(spark, sf):
@@ -301,40 +304,71 @@ def apply_force(spark, sf):
 
 # ------------------------------------------------------------ inbox, sheets
 
+def _write_files(path: str):
+    system, root = fs.FileSystem.from_uri(path[len("file:"):] if path.startswith("file:") else path)
+
+    def write(batches):
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(),
+                                     batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
+
+    return write
+
+
+def _folder(spark, files: DataFrame) -> str:
+    """Write files (name, content) as they are, for the engine to read."""
+    path = scratch_path(spark, "folder")
+    files.select("name", "content").mapInArrow(_write_files(path), "name string").agg(
+        F.count(F.lit(1))).first()
+    return path
+
+
 def file_facts(spark, sf):
+    folder = _folder(spark, derive.page_files(spark, sf))
     when = F.lit(str(RUN_AT)).cast("timestamp")
-    return derive.page_files(spark, sf).select(
-        "page_id", "sha256", short_hash(F.col("sha256")).alias("short_hash"),
-        batch_id(when, F.col("sha256")).alias("batch_id"),
-        F.bround(F.col("length") / 1024, 1).alias("size_kb"))
+    return list_inbox(spark, folder).join(content_hashes(spark, folder), "path").select(
+        "name", "format", "sha256", short_hash(F.col("sha256")).alias("short_hash"),
+        batch_id(when, F.col("sha256")).alias("batch_id"), "size_kb")
 
 
 def _scanned(spark, sf):
-    register = derive.pages_register(spark, sf)
-    files = derive.page_files(spark, sf).withColumn(
-        "sha256", F.when(F.col("format").isin(*READABLE), F.col("sha256")))
-    return processed_lookup(files, register).withColumn(
-        "warning", F.when(~F.col("format").isin(*READABLE), OLD_FORMAT_WARNING))
+    return scan_inbox(spark, _folder(spark, derive.page_files(spark, sf)),
+                      derive.pages_register(spark, sf))
 
 
 def processed_files(spark, sf):
-    return _scanned(spark, sf).select("page_id", "name", "processed", "processed_batch", "warning")
+    return _scanned(spark, sf).select("name", "sha256", "processed", "processed_batch", "warning")
 
 
 def inbox_pending(spark, sf):
     return pending_files(_scanned(spark, sf)).select("name", "format")
 
 
+def file_outcomes(spark, sf):
+    """Every file of a folder with good and unusable ones, as the report lists it."""
+    folder, path = _folder(spark, derive.mixed_files(spark, sf)), scratch_path(spark, "report")
+    reconcile_folder(spark, folder, Ledger(spark, scratch_path(spark, "ledger")), path,
+                     mapping={"uid": "uid", "amount": "金额"}, run_at=RUN_AT)
+    files = spark.read.parquet(f"{path}/files")
+    return files.select(F.regexp_extract("source_file", r"[^/]*\z", 0).alias("name"), "status",
+                        "n_rows", "already_processed")
+
+
 def status_overview(spark, sf):
-    stats = ledger_stats(_entries(spark, sf), derive.pages_register(spark, sf))
-    totals = inbox_totals(_scanned(spark, sf)).select("inbox_total", "inbox_pending")
-    facts = stats.select(F.expr(
-        "stack(4, 'entries', cast(entries as string), 'settled', cast(settled as string), "
-        "'settled_amount', cast(settled_amount as string), "
-        "'processed_files', cast(processed_files as string)) as (fact, value)"))
-    return facts.unionByName(totals.select(F.expr(
-        "stack(2, 'inbox_total', cast(inbox_total as string), "
-        "'inbox_pending', cast(inbox_pending as string)) as (fact, value)")))
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.append("import", "history", derive.events_book(spark, sf), at=RUN_AT,
+                  processed=derive.pages_register(spark, sf))
+    folder = _folder(spark, derive.page_files(spark, sf))
+    status = pipelines.status_overview(spark, folder, ledger)
+    names = ["entries", "settled", "settled_amount", "processed_files", "inbox_total",
+             "inbox_pending"]
+    return status.overview.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("fact"), F.col(n).cast("string").alias("value"))
+        for n in names])))
 
 
 def header_detect(spark, sf):
@@ -369,7 +403,9 @@ def mapping_fixed(spark, sf):
 
 
 def audit_tail(spark, sf):
-    return tail_of(derive.audit_log(spark, sf), 25, ["line_no"])
+    path = scratch_path(spark, "audit")
+    derive.audit_log(spark, sf).orderBy("line_no").select("value").write.text(path)
+    return audit.audit_tail(spark, path, 25).select("ts", "action", "detail", "raw")
 
 
 # ------------------------------------------------------- files end to end
@@ -441,6 +477,7 @@ QUERIES = {f"q_{f.__name__}": f for f in (
     tolerance, missing_uid, reconcile_items, reconcile_batch_summary, reconcile_rules,
     reconcile_lineitem, payable_total, bucket_extract, report_roundtrip, report_roundtrip_json,
     report_summary, import_rows, import_counts, ledger_totals, ledger_query_uid, ledger_recent,
-    apply_once, apply_force, file_facts, processed_files, inbox_pending, status_overview,
+    apply_once, apply_force, file_facts, processed_files, inbox_pending, file_outcomes,
+    status_overview,
     header_detect, mapping_suggest, mapping_apply, mapping_fixed, audit_tail, csv_inbox,
     workbook_inbox, inbox_stream)}

@@ -164,14 +164,16 @@ _MOMENT_TEXT = ("CASE WHEN {0} = date_trunc('day', {0}) THEN strftime({0}, '%Y-%
 # ---- pages as inbox files
 _PAGES = """
 files AS (
-  SELECT page_id, html,
-    CASE WHEN page_id % 7 = 0 THEN '.xls' WHEN page_id % 2 = 0 THEN '.csv' ELSE '.xlsx' END AS format,
-    sha256(html) AS sha256, strlen(html) AS length FROM pages),
+  SELECT file_no, html, sha256(html) AS sha256, strlen(html) AS length,
+    CASE WHEN file_no % 7 = 0 THEN '.xls' WHEN file_no % 2 = 0 THEN '.csv' ELSE '.xlsx' END AS format
+  FROM (SELECT page_id // 10 AS file_no,
+          string_agg(coalesce(html, ''), chr(10) ORDER BY page_id) AS html FROM pages GROUP BY 1)),
 register AS (
-  SELECT sha256, 'batch-' || min(page_id) AS batch_id FROM files
-  WHERE page_id % 3 = 0 GROUP BY sha256),
+  SELECT sha256, 'batch-' || min(file_no) AS batch_id FROM files
+  WHERE file_no % 3 = 0 GROUP BY sha256),
 scanned AS (
-  SELECT f.page_id, lpad(f.page_id::VARCHAR, 8, '0') || f.format AS name, f.format,
+  SELECT lpad(f.file_no::VARCHAR, 8, '0') || f.format AS name, f.format, f.length,
+    CASE WHEN f.format <> '.xls' THEN f.sha256 END AS sha256, f.sha256 AS any_sha,
     f.format <> '.xls' AND r.sha256 IS NOT NULL AS processed,
     CASE WHEN f.format <> '.xls' THEN r.batch_id END AS processed_batch,
     CASE WHEN f.format = '.xls' THEN 'old .xls format is not supported; save the file as .xlsx' END
@@ -379,14 +381,20 @@ ORACLES = {
       ORDER BY row_no DESC LIMIT 50""",
     "q_apply_once": _applied(1),
     "q_apply_force": _applied(2),
-    "q_file_facts": f"""WITH {_PAGES} SELECT page_id, sha256, left(sha256, 8) AS short_hash,
-      '20240723-' || left(sha256, 8) AS batch_id, round_even(length / 1024, 1) AS size_kb FROM files""",
+    "q_file_facts": f"""WITH {_PAGES} SELECT name, format, any_sha AS sha256,
+      left(any_sha, 8) AS short_hash, '20240723-' || left(any_sha, 8) AS batch_id,
+      round_even(length / 1024, 1) AS size_kb FROM scanned""",
     "q_processed_files": f"""WITH {_PAGES}
-      SELECT page_id, name, processed, processed_batch, warning FROM scanned""",
+      SELECT name, sha256, processed, processed_batch, warning FROM scanned""",
+    "q_file_outcomes": """WITH f AS (SELECT page_id // 10 AS n, count(*) AS pages FROM pages GROUP BY 1)
+      SELECT lpad(n::VARCHAR, 8, '0') || CASE WHEN n % 5 = 3 THEN '.xls' ELSE '.csv' END AS name,
+        CASE n % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_header' WHEN 2 THEN 'unreadable'
+          WHEN 3 THEN 'unsupported_format' ELSE 'no_data' END AS status,
+        CASE WHEN n % 5 = 0 THEN pages ELSE 0 END AS n_rows, false AS already_processed FROM f""",
     "q_inbox_pending": f"""WITH {_PAGES} SELECT name, format FROM scanned
       WHERE format <> '.xls' AND NOT processed""",
     "q_status_overview": f"""WITH {BATCH}, {_PAGES},
-      st AS ({_STATS.format("(SELECT count(*) FROM register)", "ledger")}),
+      st AS ({_STATS.format("(SELECT count(*) FROM register)", "whole_ledger")}),
       ib AS (SELECT count(*) FILTER (format <> '.xls') AS total,
         count(*) FILTER (format <> '.xls' AND NOT processed) AS pending FROM scanned)
       SELECT 'entries' AS fact, entries::VARCHAR AS value FROM st
@@ -411,7 +419,7 @@ ORACLES = {
       FROM header hd)
       SELECT s.source_file, s.row_idx + 1 AS row_no, {_cell_at('c.c_uid')} AS uid,
       {_cell_at('c.c_amount')} AS amount, {_cell_at('0')} AS name, '' AS date FROM {_DATA_ROWS}""",
-    "q_audit_tail": f"""WITH {_AUDIT} SELECT line_no,
+    "q_audit_tail": f"""WITH {_AUDIT} SELECT
       CASE WHEN json_valid(line) THEN json_extract_string(line, '$.ts') END AS ts,
       CASE WHEN json_valid(line) THEN json_extract_string(line, '$.action') END AS action,
       CASE WHEN json_valid(line) THEN line END AS detail,
