@@ -94,28 +94,35 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     word_of, words = _distinct_words(bags)
     owner = np.repeat(np.arange(bags.n), np.diff(bags.first))
     pair, times = np.unique(owner * (len(words) + 1) + word_of, return_counts=True)
-    text, word = pair // (len(words) + 1), pair % (len(words) + 1)
-    gram, gram_word = [], []
-    for size, bucket in bags.buckets():
-        own = bags.counts(size)[words]
-        gram.append(bucket[ranges(bags.starts[words] - 1, own)])
-        gram_word.append(np.repeat(np.arange(len(words)), own))
-    gram, gram_word = np.concatenate(gram), np.concatenate(gram_word)
-    share = 1 / np.maximum(np.bincount(gram_word, minlength=len(words)), 1)
+    text = (pair // (len(words) + 1)).astype(np.int32)
+    word = (pair % (len(words) + 1)).astype(np.int32)
+    n_texts, n_words, n_buckets = bags.n, len(words), 1 << BUCKET_BITS
+    size = (bags.ends - bags.starts)[words]
+    own = Bags(bags.text[ranges(bags.starts[words], size)],
+               np.concatenate([[0], np.cumsum(size)]))  # each spelling once
+    del bags, owner, word_of, pair
+    grams = []  # of each size, the buckets and the words they belong to
+    for size, bucket in own.buckets():
+        count = own.counts(size)
+        grams.append((bucket[ranges(own.starts - 1, count)].astype(np.int32),
+                      np.repeat(np.arange(n_words, dtype=np.int32), count)))
+    share = 1 / np.maximum(sum(np.bincount(of, minlength=n_words) for _, of in grams), 1)
     random = np.random.default_rng(seed)
-    params = {"vectors": random.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)),
+    params = {"vectors": random.normal(0, 0.1, (n_buckets, DIMENSIONS)),
               "softmax": random.normal(0, 1, (DIMENSIONS, 2)), "bias": np.array([START_BIAS])}
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     for step in range(1, rounds + 1):
         direction = params["softmax"][:, 1] - params["softmax"][:, 0]
         weight = params["vectors"] @ direction
-        logit = np.bincount(gram_word, weight[gram], len(words)) * share + params["bias"][0]
+        logit = sum(np.bincount(of, weight[gram], n_words) for gram, of in grams)
+        logit = logit * share + params["bias"][0]
         sure = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        calm = np.bincount(text, times * np.logaddexp(0, logit)[word], bags.n)
+        calm = np.bincount(text, times * np.logaddexp(0, logit)[word], n_texts)
         no = np.exp(-calm)
         pull = np.where(toxic == 1, no / np.maximum(1 - no, 1e-9), -1.0)  # of log-likelihood
-        slope = -np.bincount(word, pull[text] * times, len(words)) * sure / max(bags.n, 1)
-        by_gram = np.bincount(gram, (slope * share)[gram_word], 1 << BUCKET_BITS)
+        slope = -np.bincount(word, pull[text] * times, n_words) * sure / max(n_texts, 1)
+        spread = slope * share
+        by_gram = sum(np.bincount(gram, spread[of], n_buckets) for gram, of in grams)
         turn = params["vectors"].T @ by_gram
         slopes = {"vectors": by_gram[:, None] * direction + DECAY * params["vectors"],
                   "softmax": np.column_stack([-turn, turn]), "bias": slope.sum(keepdims=True)}
@@ -131,13 +138,13 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
 
 def _distinct_words(bags: Bags):
     """For each word the number of its spelling, and one place of each spelling."""
-    value = stream(9, 256)[bags.text]
+    value = stream(9, 256)
     base = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
     code = np.zeros(len(bags.starts), np.uint64)
     size = bags.ends - bags.starts
     for i in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > i)
-        code[live] = mix(code[live] + value[bags.starts[live] + i] * base[i % 64])
+        code[live] = mix(code[live] + value[bags.text[bags.starts[live] + i]] * base[i % 64])
     _, place, number = np.unique(code, return_index=True, return_inverse=True)
     return number, place
 
