@@ -20,9 +20,9 @@ from ..operators.lookup import SkewPolicy, salted_lookup
 from ..operators.sheets import (apply_mapping, detect_headers, load_mapping, resolve_columns,
                                 save_mapping, sheet_status, suggest_mapping, validate_mapping)
 from ..rules import Rules
-from ..schemas import TO_SETTLE
+from ..schemas import BUCKETS, MONEY, TO_SETTLE
 from ..session import materialize, sized_shuffles
-from ..sources.audit import append_audit, audit_tail
+from ..sources.audit import append_audit, append_audit_rows, audit_tail
 from ..sources.inbox import (content_hashes, inbox_totals, list_inbox, pending_files,
                              scan_inbox)
 from ..sources.ledger import (Commit, Ledger, ledger_stats, payable_entries, processed_lookup,
@@ -177,11 +177,9 @@ def store_report(spark: SparkSession, items: DataFrame, files: DataFrame, path:
     summary.write.mode("overwrite").parquet(f"{path}/summary")
     report = read_report(spark, path, places=rules.amount_places)
     if audit_path:
-        total = report.summary.agg(
-            F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("total_rows"),
-            F.sum(TO_SETTLE).alias("to_settle"),
-            F.sum("to_settle_amount").alias("to_settle_amount")).first()
-        append_audit(spark, audit_path, "reconcile_preview", **total.asDict())
+        append_audit_rows(report.summary.select(
+            "batch_id", "source_file", "file_sha256", "total_rows", *BUCKETS, "to_settle_amount"),
+            audit_path, "reconcile_preview")
     return report
 
 
@@ -238,9 +236,14 @@ def apply_report(report: Report, ledger: Ledger, *, confirmed: bool, force: bool
         return Applied(None, 0, Decimal("0.00"), refused)
     commit = ledger.append("apply", f"apply-{at:%Y%m%d%H%M%S}", entries, at=at, processed=register)
     if audit_path:
-        append_audit(spark, audit_path, "apply_settlement", at=at, commit_seq=commit.commit_seq,
-                     files=todo.count(), settled_count=commit.n_entries,
-                     settled_amount=commit.amount, forced=force)
+        paid = (ledger.entries(commit.commit_seq)
+                .filter(F.col("commit_seq") == commit.commit_seq).groupBy("source_file")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")))
+        append_audit_rows(todo.join(paid, "source_file", "left").select(
+            F.lit(commit.commit_seq).alias("commit_seq"), "batch_id", "source_file", "sha256",
+            F.coalesce("n", F.lit(0)).alias("settled_count"),
+            F.coalesce("amount", F.lit(0).cast(MONEY)).alias("settled_amount"),
+            F.lit(force).alias("forced")), audit_path, "apply_settlement", at=at)
     return Applied(commit, commit.n_entries, commit.amount, refused)
 
 
@@ -296,8 +299,10 @@ def import_history(records: DataFrame, ledger: Ledger, rules: Rules = Rules(), *
     commit = ledger.append("import", batch, entries, at=at)
     skipped = cleaned.filter(~F.col("kept")).count()
     if audit_path:
-        append_audit(ledger.spark, audit_path, "ledger_imported", at=at, batch_id=batch,
-                     imported=commit.n_entries, skipped=skipped)
+        counts = cleaned.groupBy("source_file").agg(
+            F.count_if("kept").alias("imported"), F.count_if(~F.col("kept")).alias("skipped"))
+        append_audit_rows(counts.select(F.lit(batch).alias("batch_id"), "source_file", "imported",
+                                        "skipped"), audit_path, "ledger_imported", at=at)
     return Imported(commit, batch, commit.n_entries, skipped)
 
 

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip_ws
 from .lines import plain_path
@@ -24,6 +25,18 @@ def append_audit(spark: SparkSession, path: str, action: str, *, at: datetime |
     return event
 
 
+def append_audit_rows(rows: DataFrame, path: str, action: str, *,
+                      at: datetime | None = None) -> None:
+    """Write one event per row, its columns as facts; of many files as of one."""
+    head = {"ts": (at or datetime.now()).isoformat(timespec="seconds"), "action": action}
+    text = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType)
+            else F.col(f.name) for f in rows.schema.fields]
+    line = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()], *text),
+                     {"ignoreNullFields": "false"})
+    rows.select(line.alias("value")).write.mode("errorifexists").text(
+        f"{path}/seq={time.time_ns():020d}")
+
+
 def audit_lines(spark: SparkSession, path: str) -> DataFrame:
     """All log lines with their place: (file, block, seq, value)."""
     try:

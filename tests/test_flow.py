@@ -1,5 +1,6 @@
 """Whole flows: import, reconcile, apply once, force, crash, status, stream."""
 
+import json
 from datetime import datetime
 from decimal import Decimal
 
@@ -115,6 +116,14 @@ def test_golden_flow(spark, world):
     assert status.recent.count() == 3
     assert [r["action"] for r in audit_tail(spark, world.audit).collect()] == [
         "ledger_imported", "reconcile_preview", "apply_settlement", "mapping_saved"]
+    facts = [json.loads(r["detail"]) for r in audit_tail(spark, world.audit).collect()]
+    assert (facts[0]["imported"], facts[0]["skipped"]) == (3, 1)
+    assert facts[0]["source_file"].endswith(".xlsx")
+    assert facts[1]["batch_id"] == s["batch_id"] and facts[1]["file_sha256"] == s["file_sha256"]
+    assert (facts[1]["total_rows"], facts[1]["to_settle"], facts[1]["manual_review"]) == (12, 6, 2)
+    assert (facts[2]["settled_count"], facts[2]["settled_amount"], facts[2]["forced"]) == (
+        6, "1787.97", False)
+    assert facts[2]["sha256"] == s["file_sha256"] and facts[2]["commit_seq"] == 2
 
 
 def test_force_appends_again_and_keeps_the_register(spark, world):

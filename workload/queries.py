@@ -327,6 +327,19 @@ def _folder(spark, files: DataFrame) -> str:
     return path
 
 
+def audit_events(spark, sf):
+    """What the log says of a report and of applying it, one event per file."""
+    log, path = scratch_path(spark, "audit"), scratch_path(spark, "report")
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    items = reconcile(_batch(spark, sf), _entries(spark, sf))
+    report = store_report(spark, items, _files(spark, sf), path, audit_path=log)
+    apply_report(report, ledger, confirmed=True, applied_at=RUN_AT, audit_path=log)
+    facts = ["batch_id", "source_file", "total_rows", "to_settle", "to_settle_amount",
+             "settled_count", "settled_amount"]
+    return audit.audit_tail(spark, log, 10).select("action", *[
+        F.get_json_object("detail", f"$.{f}").alias(f) for f in facts])
+
+
 def file_facts(spark, sf):
     folder = _folder(spark, derive.page_files(spark, sf))
     when = F.lit(str(RUN_AT)).cast("timestamp")
@@ -477,7 +490,7 @@ QUERIES = {f"q_{f.__name__}": f for f in (
     tolerance, missing_uid, reconcile_items, reconcile_batch_summary, reconcile_rules,
     reconcile_lineitem, payable_total, bucket_extract, report_roundtrip, report_roundtrip_json,
     report_summary, import_rows, import_counts, ledger_totals, ledger_query_uid, ledger_recent,
-    apply_once, apply_force, file_facts, processed_files, inbox_pending, file_outcomes,
+    apply_once, apply_force, audit_events, file_facts, processed_files, inbox_pending, file_outcomes,
     status_overview,
     header_detect, mapping_suggest, mapping_apply, mapping_fixed, audit_tail, csv_inbox,
     workbook_inbox, inbox_stream)}

@@ -381,6 +381,14 @@ ORACLES = {
       ORDER BY row_no DESC LIMIT 50""",
     "q_apply_once": _applied(1),
     "q_apply_force": _applied(2),
+    "q_audit_events": f"""WITH {_classified()}, s AS ({_summary()}),
+      b AS (SELECT *, '20240723-' || left(sha256('events'), 8) AS batch_id FROM s)
+      SELECT 'reconcile_preview' AS action, batch_id, 'events' AS source_file,
+        total_rows::VARCHAR AS total_rows, to_settle::VARCHAR AS to_settle,
+        to_settle_amount::VARCHAR AS to_settle_amount, NULL AS settled_count,
+        NULL AS settled_amount FROM b
+      UNION ALL SELECT 'apply_settlement', batch_id, 'events', NULL, NULL, NULL,
+        to_settle::VARCHAR, to_settle_amount::VARCHAR FROM b""",
     "q_file_facts": f"""WITH {_PAGES} SELECT name, format, any_sha AS sha256,
       left(any_sha, 8) AS short_hash, '20240723-' || left(any_sha, 8) AS batch_id,
       round_even(length / 1024, 1) AS size_kb FROM scanned""",
