@@ -396,7 +396,7 @@ def mapping_suggest(spark, sf):
 
 def mapping_apply(spark, sf):
     sheets = derive.document_sheets(spark, sf)
-    headers = detect_headers(sheets)
+    headers = materialize(detect_headers(sheets), "headers")
     columns = resolve_columns(headers, suggest_mapping(headers))
     records = apply_mapping(sheets, columns)
     types = {f.name: f.dataType for f in records.schema.fields}
