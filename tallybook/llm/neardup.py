@@ -246,29 +246,31 @@ def _sets(shingle):
     return run
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each two sets share: products of 0/1 blocks of their matrix."""
+    size = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2 ** 24
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        first, last = np.searchsorted(column, [lo, lo + columns])
+        block = np.zeros((len(sets), columns), np.float32)
+        block[row[first:last], column[first:last] - lo] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
 def confirmed(ids, sets, part: int, whole: int):
     """Links (a, b) of one cluster by exact similarity: those that join two parts of it."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    size = np.array([len(x) for x in sets])
+    shared = shared_counts(sets)
+    linked = whole * shared >= part * (size[:, None] + size[None, :] - shared)
     parent = np.arange(len(ids))
-    for x in range(len(order)):
-        a = order[x]
-        for y in range(x + 1, len(order)):
-            b = order[y]
-            if whole * len(sets[a]) < part * len(sets[b]):
-                break  # this one and all later ones are too large
-            ra, rb = a, b
-            while parent[ra] != ra:
-                ra = parent[ra]
-            while parent[rb] != rb:
-                rb = parent[rb]
-            if ra == rb:
-                continue
-            where = np.searchsorted(sets[b], sets[a])
-            where[where == len(sets[b])] = 0
-            shared = int((sets[b][where] == sets[a]).sum())
-            if whole * shared >= part * (len(sets[a]) + len(sets[b]) - shared):
-                _join(parent, a, b)
-                yield ids[a], ids[b]
+    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
+        if _join(parent, a, b):
+            yield ids[a], ids[b]
 
 
 def _confirm(part, whole):
