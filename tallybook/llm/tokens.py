@@ -9,7 +9,8 @@ or a repeated task leaves no half-written file; ``frame_bytes`` gives each as th
 bytes of a file of its own.
 
 Null texts are empty and have only the end id. Rows without an id come first.
-Rows of one id are ordered by their ids' bytes.
+Rows of one id are ordered by their ids' bytes. Where the rows have a training
+position, the document tables carry it, and equal rows are ordered by it.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ class WordTokenizer:
         return ids, total[first]
 
 
-def _tokenize(path, bounds, end_id):
+def _tokenize(path, bounds, end_id, more=()):
     def run(batches):
         edges = np.array(bounds, np.int64)
         tokenizer = WordTokenizer(path)
@@ -172,34 +173,36 @@ def _tokenize(path, bounds, end_id):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.maximum(shard, 0), pa.int32()), doc,
                  pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)),
-                                                        pa.py_buffer(out)])],
-                ["shard", "doc_id", "ids"])
+                                                        pa.py_buffer(out)]),
+                 *(piece.column(c) for c in more)], ["shard", "doc_id", "ids", *more])
     return run
 
 
-def _frames(frame_ids):
+def _frames(frame_ids, more=()):
     """Frames of the documents of each shard, as they come."""
     schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("n_ids", pa.int64()),
                         ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())),
-                        ("data", pa.binary())])
+                        ("data", pa.binary()),
+                        *((f"{c}s", pa.list_(pa.float64())) for c in more)])
 
     def run(batches):
-        shard, frame, docs, held, size = None, 0, [], [], 0
+        shard, frame, docs, held, size, rest = None, 0, [], [], 0, []
 
         def close():
             ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
             return pa.RecordBatch.from_pylist([{
                 "shard": shard, "frame": frame, "n_ids": len(ids), "doc_ids": docs,
-                "doc_sizes": [len(h) // 2 for h in held], "data": encode_frame(ids)}], schema)
+                "doc_sizes": [len(h) // 2 for h in held], "data": encode_frame(ids),
+                **{f"{c}s": [r[i] for r in rest] for i, c in enumerate(more)}}], schema)
 
         for batch in batches:
-            for s, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for s, doc, ids, *others in zip(*(c.to_pylist() for c in batch.columns)):
                 if docs and (s != shard or size >= frame_ids):
                     yield close()
-                    frame, docs, held, size = frame + 1, [], [], 0
+                    frame, docs, held, size, rest = frame + 1, [], [], 0, []
                 if s != shard:
                     shard, frame = s, 0
-                docs.append(doc), held.append(ids)
+                docs.append(doc), held.append(ids), rest.append(others)
                 size += len(ids) // 2
         if docs:
             yield close()
@@ -207,24 +210,29 @@ def _frames(frame_ids):
 
 
 def write_frames(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
-                 frame_ids: int = FRAME_IDS) -> DataFrame:
-    """Tokenize ``docs``, write the frames as a table at ``path``, and return it as read."""
+                 frame_ids: int = FRAME_IDS, position: bool = False) -> DataFrame:
+    """Tokenize ``docs``, write the frames as a table at ``path``, and return it as read.
+
+    With ``position``, the frames keep that column (double) of each document.
+    """
     spark = docs.sparkSession
-    frames = _token_frames(docs, tokenizer, end_id, frame_ids)
+    frames = _token_frames(docs, tokenizer, end_id, frame_ids, ["position"] * position)
     frames.write.mode("errorifexists").parquet(path)
     return spark.read.schema(frames.schema).parquet(path)
 
 
-def _token_frames(docs, tokenizer, end_id, frame_ids):
+def _token_frames(docs, tokenizer, end_id, frame_ids, more=()):
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     shards = min(max(ids.count() // SHARD_ROWS, 1), MAX_SHARDS)
     bounds = sorted({int(q) for q in ids.approxQuantile(
         "doc_id", [i / shards for i in range(shards)], 1 / (4 * shards))}) or [0]
-    tokens = docs.select("doc_id", "text").mapInArrow(
-        _tokenize(tokenizer, bounds, end_id), TOKENS)
+    tokens = docs.select("doc_id", "text", *more).mapInArrow(
+        _tokenize(tokenizer, bounds, end_id, more),
+        ", ".join([TOKENS, *(f"{c} double" for c in more)]))
     return (tokens.repartitionById(len(bounds), "shard")
-            .sortWithinPartitions("shard", "doc_id", "ids")
-            .mapInArrow(_frames(frame_ids), FRAMES))
+            .sortWithinPartitions("shard", "doc_id", "ids", *more)
+            .mapInArrow(_frames(frame_ids, more),
+                        ", ".join([FRAMES, *(f"{c}s array<double>" for c in more)])))
 
 
 def frame_bytes(frames: DataFrame) -> DataFrame:
@@ -233,12 +241,14 @@ def frame_bytes(frames: DataFrame) -> DataFrame:
 
 
 def _read(batches):
-    schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("doc_id", pa.int64()),
-                        ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
-        for shard, frame, docs, sizes, data in zip(
+        more = [c for c in batch.schema.names if c == "positions"]
+        schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("doc_id", pa.int64()),
+                            ("at", pa.int64()), ("n_tokens", pa.int64()),
+                            ("ids_crc32", pa.int64()), *((c[:-1], pa.float64()) for c in more)])
+        for shard, frame, docs, sizes, data, *rest in zip(
                 *(batch.column(c).to_pylist()
-                  for c in ("shard", "frame", "doc_ids", "doc_sizes", "data"))):
+                  for c in ("shard", "frame", "doc_ids", "doc_sizes", "data", *more))):
             raw = decode_frame(data).astype("<u4").tobytes()
             ends = np.cumsum(sizes)
             starts = ends - np.array(sizes)
@@ -247,14 +257,16 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * n, pa.int32()), pa.array([frame] * n, pa.int32()),
                  pa.array(docs, pa.int64()), pa.array(starts), pa.array(sizes, pa.int64()),
-                 pa.array(crcs, pa.int64())], schema=schema)
+                 pa.array(crcs, pa.int64()), *(pa.array(r, pa.float64()) for r in rest)],
+                schema=schema)
 
 
 def read_frames(frames: DataFrame) -> DataFrame:
-    """Per document of the frames: doc_id, start, n_tokens, ids_crc32.
+    """Per document of the frames: doc_id, start, n_tokens, ids_crc32, and position if kept.
 
     Offsets come from a sum per shard and one per frame inside it.
     """
+    more = [c for c in frames.columns if c == "positions"]
     sizes = frames.select("shard", "frame", "n_ids")
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -265,6 +277,8 @@ def read_frames(frames: DataFrame) -> DataFrame:
              .withColumn("first", F.col("ahead") + F.coalesce(F.sum("n_ids").over(inside),
                                                               F.lit(0)))
              .select("shard", "frame", "first"))
-    rows = frames.select("shard", "frame", "doc_ids", "doc_sizes", "data").mapInArrow(_read, READ)
+    rows = frames.select("shard", "frame", "doc_ids", "doc_sizes", "data", *more).mapInArrow(
+        _read, ", ".join([READ, *("position double" for _ in more)]))
     return rows.join(first, ["shard", "frame"]).select(
-        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32",
+        *(c[:-1] for c in more))

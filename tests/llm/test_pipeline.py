@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from tallybook.llm import toxicity
+from tallybook.llm import mixing, toxicity
 from tallybook.llm.queries import tokenizer_path
 
 import corpus_pipeline
@@ -78,6 +78,24 @@ def test_the_last_stage_reads_its_files_back(stages):
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
 
 
+def test_the_files_carry_the_training_position_of_every_copy(stages):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    docs = stages[2][2]
+    ends = {r.doc_id: (r.text, [m.end() for m in SPACED.finditer(r.text)])
+            for r in docs.collect()}
+    want = []
+    for r in mixing.training_order(mixing.mix_plan(docs)).collect():
+        text, at = ends[r.doc_id]
+        if r.words < r["size"]:
+            text = text[:at[r.words - 1]]
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        want.append((r.position, r.doc_id, zlib.crc32(np.array(ids, "<u4").tobytes())))
+    rows = stages[4][2].collect()
+    assert sorted((r.position, r.doc_id, r.ids_crc32) for r in rows) == sorted(want)
+    assert [r[1] for r in sorted(want)] != sorted(r[1] for r in want)
+
+
 def test_run_is_the_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(
         map(tuple, stages[-1][2].collect()))
