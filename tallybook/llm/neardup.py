@@ -12,8 +12,11 @@ still meet in one. Only links that join two parts of a cluster are written, so
 no group writes all its pairs, and no link between different parts is lost.
 
 A pair of similarity s shares a child of a node with probability
-1 - (1 - s) ** BRANCHES, about 0.98 at 0.85; ``TREES`` independent trees miss it
-at most a few times in 100,000 pairs.
+1 - (1 - s) ** BRANCHES, about 0.98 at 0.85. The roots of the ``TREES`` trees pick
+positions of their own, so all miss it with (1 - s) ** (TREES * BRANCHES): 1.1e-5 at
+0.85, 6.4e-5 at 0.8; however deep the trees go, 3e-5 and 2.4e-4. All trees compare
+the same signatures: a pair that falls below ``SLACK`` there is lost in each, which
+adds 6e-7 at 0.85 and 3e-7 at 0.8 (binomial tails).
 
 Sets: the distinct runs of ``shingle`` words, ASCII letters in lower case; with
 fewer words the whole text is one. Null texts and texts without words have
@@ -42,7 +45,7 @@ POSITIONS = 64
 LEAF = 512
 MANY = 16
 DEPTH = 8
-SLACK = 3.5  # standard errors that an estimate may fall short
+SLACK = 5.5  # standard errors that an estimate may fall short; its miss is below the trees'
 
 FACTS = "doc_id long, n_shingles long, high long, low long, signature binary"
 
@@ -112,6 +115,30 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(raw, np.uint32).reshape(len(column), -1)
 
 
+def picks(node: np.ndarray, branches: int, positions: int) -> list[np.ndarray]:
+    """The positions that each node picks."""
+    out = []
+    for b in range(branches):
+        position = (mix(node + U64(0x9E37 + b)) % U64(positions)).astype(np.int64)
+        if b:  # another one than the first
+            position = np.where(position == out[0], (position + b) % positions, position)
+        out.append(position)
+    return out
+
+
+def roots(spark, trees: int, branches: int) -> list[int]:
+    """A node per tree, with positions that no other picks while there are any."""
+    hashed = spark.range(16 * trees).select(F.xxhash64(F.lit(3), "id").alias("node")).orderBy("id")
+    nodes = [r["node"] for r in hashed.collect()]
+    rows = zip(*(p.tolist() for p in picks(np.array(nodes).view(U64), branches, POSITIONS)))
+    used, own, other = set(), [], []
+    for node, row in zip(nodes, rows):
+        free = used.isdisjoint(row)
+        (own if free else other).append(node)
+        used.update(row if free else ())
+    return (own + other)[:trees]
+
+
 def _branch(branches):
     """Children of (node, doc_id, signature): the tokens at the positions the node picks."""
     def run(batches):
@@ -121,13 +148,7 @@ def _branch(branches):
             if not len(node):
                 continue
             out = []
-            for b in range(branches):
-                pick = mix(node + U64(0x9E37 + b))
-                position = (pick % U64(rows.shape[1])).astype(np.int64)
-                if b:  # another one than the first
-                    first = (mix(node + U64(0x9E37)) % U64(rows.shape[1])).astype(np.int64)
-                    position = np.where(position == first, (position + b) % rows.shape[1],
-                                        position)
+            for position in picks(node, branches, rows.shape[1]):
                 token = rows[np.arange(len(node)), position].astype(U64)
                 out.append(mix(mix(node ^ (position.astype(U64) << U64(40))) + token))
             yield pa.RecordBatch.from_arrays(
@@ -289,9 +310,8 @@ def _confirm(part, whole):
 def _leaves(leaders: DataFrame, trees: int, branches: int, leaf: int) -> list[DataFrame]:
     """Tables (node, doc_id) of all leaves, level by level."""
     spark = leaders.sparkSession
-    roots = spark.range(trees).select(F.xxhash64(F.lit(3), "id").alias("node"))
     rows = leaders.select("doc_id", "signature").withColumn("node", F.explode(F.array(
-        *[F.lit(r["node"]) for r in roots.collect()])))
+        *[F.lit(node) for node in roots(spark, trees, branches)])))
     found = []
     for level in range(1, DEPTH + 1):
         children = stage(rows.select("node", "doc_id", "signature").mapInArrow(

@@ -69,6 +69,29 @@ def test_a_large_group_of_near_copies_is_one_class(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_pairs_with_low_estimates_are_linked(spark):
+    rows = []
+    for n in range(20_000):  # 34 shared shingles of 40
+        same = " ".join(f"w{n}x{i}" for i in range(36))
+        rows += [f"{same} a b c", f"{same} d e f"]
+    marks = neardup.signatures(neardup.ShingleSets(*text_buffers(pa.array(rows)), 3))
+    agree = (marks[::2] == marks[1::2]).sum(1)
+    low = np.flatnonzero(agree < 45)  # 3.5 standard errors below 0.85
+    assert len(low) > 5
+    docs = spark.createDataFrame([(int(i), rows[i]) for n in low for i in (2 * n, 2 * n + 1)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.component_id
+           for r in neardup.near_duplicates(docs, 3, (85, 100)).collect()}
+    assert got == {int(i): int(2 * n) for n in low for i in (2 * n, 2 * n + 1)}
+
+
+def test_roots_of_the_trees_share_no_position(spark):
+    nodes = np.array(neardup.roots(spark, neardup.TREES, neardup.BRANCHES)).view(np.uint64)
+    picked = neardup.picks(nodes, neardup.BRANCHES, neardup.POSITIONS)
+    assert len(nodes) == neardup.TREES
+    assert len(set(np.concatenate(picked).tolist())) == neardup.TREES * neardup.BRANCHES
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     got = defaultdict(list)
     for r in neardup.near_duplicates(odd).collect():
