@@ -88,6 +88,21 @@ def test_mixing_odd_rows(odd, nothing):
     assert mixing.mix_plan(nothing).count() == mixing.mixed_documents(nothing).count() == 0
 
 
+def test_repeated_rows_take_their_own_copies(spark):
+    rows = [(n // 4, f"w{n // 4} " * 10, "ab"[n // 4 % 2]) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_counts(mixing.mix_plan(docs)).collect():
+        want[r.source] += r.taken
+    mixed, positions = mixing.mixed_with_positions(docs)
+    placed = mixing.with_positions(mixed, positions, "position").collect()
+    for r in placed:
+        got[r.source] += len(SPACED.findall(r.text))
+    assert got == want
+    assert sorted(r.position for r in placed) == sorted(
+        r.position for r in mixing.training_order(mixing.mix_plan(docs)).collect())
+
+
 # ------------------------------------------------------------------- op 3
 
 @settings(deadline=None, max_examples=200)
