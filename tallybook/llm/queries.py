@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontaminate, fingerprints, licenses, mixing, neardup, quality, substrings, tokens, toxicity
+from . import (chat, collocations, decontaminate, fingerprints, hardneg, licenses, mixing, neardup,
+               packing, quality, substrings, tokens, toxicity)
 
 CHAT_CONTROL = -7  # conversation that says control strings of the template
 
 
-def tokenizer_path() -> str:
-    """The word-level vocabulary of the installed public tokenizers."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary of the installed public tokenizers."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,6 +71,25 @@ def op10_fingerprints(spark, sf):
     return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
 
 
+def op11_collocations(spark, sf):
+    return collocations.collocations(_table(spark, sf, "documents"))
+
+
+def op12_packing(spark, sf):
+    table = packing.token_pieces(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    packed = packing.pack(table.withColumn("ids_crc32", F.crc32("ids")))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
+                         "ids_crc32", "sequence_id", "offset")
+
+
+def op13_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf, "embeddings").select(
+        "vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_neardup, op2_mixing, op3_chat, op4_toxicity, op5_substrings, op6_decontaminate,
-    op7_licenses, op8_quality, op9_tokens, op10_fingerprints)}
+    op7_licenses, op8_quality, op9_tokens, op10_fingerprints,
+    op11_collocations, op12_packing, op13_hard_negatives)}

@@ -139,5 +139,71 @@ SELECT doc_id, license, max(c / n) AS containment
 FROM shared JOIN size USING (template) GROUP BY ALL HAVING max(c / n) >= {CONTAINMENT}
 """
 
+COLLOCATIONS = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+t AS (SELECT id, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+s AS (
+  SELECT lang, word AS w1, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3
+  FROM t WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM s GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM s WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM s WHERE w3 IS NOT NULL
+  GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+halves AS (
+  SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS head,
+         array_to_string(ws[j + 1:], ' ') AS tail
+  FROM c, unnest(range(1, k)) AS u(j)),
+cut AS (
+  SELECT halves.lang, halves.phrase, a, j, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM halves LEFT JOIN f x ON x.lang = halves.lang AND x.phrase = head
+  LEFT JOIN f y ON y.lang = halves.lang AND y.phrase = tail),
+least AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS pick FROM cut),
+longer AS (
+  SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS most
+  FROM c, unnest([1, 2]) AS u(i) WHERE k = 3 GROUP BY ALL),
+ranked AS (
+  SELECT x.lang, x.phrase, x.a, x.l, x.r, x.score,
+         row_number() OVER (PARTITION BY x.lang ORDER BY x.score DESC, x.a DESC, x.phrase) AS rank
+  FROM least x LEFT JOIN longer y ON y.lang = x.lang AND y.phrase = x.phrase
+  WHERE pick = 1 AND (y.most IS NULL OR 100 * y.most < 50 * x.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT row_number() OVER () AS id, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.id AS anchor, a.vec_id AS anchor_id, b.id, b.vec_id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.id <> b.id WHERE a.vec_id % 50 = 0),
+positive AS (
+  SELECT * FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor, p.id
+                          ORDER BY n.score DESC, n.vec_id, n.id)::INT AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pair n ON n.anchor = p.anchor AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 ORACLES = {"op1_neardup": NEAR_DUPLICATES, "op3_chat": CHAT, "op5_substrings": SUBSTRINGS,
-           "op6_decontaminate": CONTAMINATION, "op7_licenses": LICENSES}
+           "op6_decontaminate": CONTAMINATION, "op7_licenses": LICENSES,
+           "op11_collocations": COLLOCATIONS, "op13_hard_negatives": HARD_NEGATIVES}
