@@ -36,7 +36,7 @@ LONGEST = 3
 LEAST = 10
 COVERED = 50  # percent of a phrase that one longer candidate takes with it
 TOP = 2000
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 512 * 1024
 MOST_HOT = 65_536  # a word is hot from this share of all words at the least: so many words
 SALTS = 64

@@ -27,12 +27,25 @@ from .words import Words, pieces, ranges, text_buffers
 
 LENGTH = 2048
 END_ID = 0
-CACHE_BYTES = 64 << 20
+CACHE_IDS = 4 << 20
+CHUNK_BYTES = 2 << 20
+WRITE_BYTES = 16 << 20  # ids that a writing task holds
 
 PIECES = ("doc_id long, piece int, start long, length int, ids binary, "
           "part int, place long")
 
 
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def ends_run(data: np.ndarray) -> np.ndarray:
+    """Bytes behind which white space starts a run: the ends of signs known not to be white."""
+    out = (data > 0x20) & (data < 0x7F)
+    out[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    return out
+
+
 class ByteTokenizer:
     """Whole texts to ids of a byte-level BPE, each spelling encoded once for many texts.
 
@@ -42,16 +55,21 @@ class ByteTokenizer:
     none of the white ones. ``by_run`` probes it; for others whole texts are encoded.
     """
 
+    TOGETHER = 2000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.by_run = self.parts_runs()
         self.clear()
 
     def clear(self):
         self.known = np.array([(1 << 64) - 1], np.uint64)
-        self.slots, self.first = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.int64)
+        self.slots, self.first = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.ids = np.empty(0, np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,15 +81,44 @@ class ByteTokenizer:
     @staticmethod
     def run_starts(data: np.ndarray) -> np.ndarray:
         """Where a run may start, by the bytes around it."""
-        white = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-        seen = (data > 0x20) & (data < 0x7F)
-        pair = np.zeros(len(data), bool)
-        pair[1:] = (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-        seen |= pair
         out = np.zeros(len(data), bool)
-        out[1:] = white[1:] & seen[:-1]
+        out[1:] = WHITE[data[1:]] & ends_run(data)[:-1]
         return out
 
+    def spellings(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs, number of ids of each).
+
+        A token of such a tokenizer has a letter for each byte. So runs that start with
+        white space and end where another may start are encoded as one text, and parted
+        by their bytes.
+        """
+        size = np.zeros(len(starts), np.int64)
+        alike = WHITE[data[starts]] & ends_run(data)[ends - 1]
+        plain, other, ids = np.flatnonzero(alike), np.flatnonzero(~alike).tolist(), []
+        for lo in range(0, len(plain), self.TOGETHER):
+            part = plain[lo:lo + self.TOGETHER]
+            long = ends[part] - starts[part]
+            text = data[ranges(starts[part], long)].tobytes().decode()
+            row = np.array(self.encode([text])[0], np.int32)
+            stops = np.cumsum(self.bytes[row])
+            at = np.searchsorted(stops, np.cumsum(long))
+            if len(row) and at[-1] == len(row) - 1 and (stops[at] == np.cumsum(long)).all():
+                size[part] = np.diff(at, prepend=-1)
+                ids.append((part, row))
+            else:
+                other += part.tolist()
+        if other:
+            raw = [data[a:b].tobytes().decode() for a, b in zip(starts[other].tolist(),
+                                                                ends[other].tolist())]
+            rows = self.encode(raw)
+            size[other] = [len(r) for r in rows]
+            ids.append((np.array(other), np.array([i for r in rows for i in r], np.int32)))
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int32)
+        for part, row in ids:
+            out[ranges(first[part], size[part])] = row
+        return out, size
+
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text), without end ids."""
         if not self.by_run:
@@ -86,20 +133,18 @@ class ByteTokenizer:
         runs.ends = np.append(runs.starts[1:], len(data))[:len(runs.starts)]
         codes = runs.hashes()
         spelled, place, which = np.unique(codes, return_index=True, return_inverse=True)
-        if len(self.ids) * 8 > CACHE_BYTES:
+        if len(self.ids) > CACHE_IDS:
             self.clear()
         at = np.searchsorted(self.known, spelled)
         slots = self.slots[np.minimum(at, len(self.slots) - 1)]
         new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != spelled)
         if len(new):
-            raw = data.tobytes()
-            rows = self.encode([raw[a:b].decode() for a, b in zip(
-                runs.starts[place[new]].tolist(), runs.ends[place[new]].tolist())])
+            ids, size = self.spellings(data, runs.starts[place[new]], runs.ends[place[new]])
             slots[new] = len(self.first) - 1 + np.arange(len(new))
             self.known = np.insert(self.known, at[new], spelled[new])
             self.slots = np.insert(self.slots, at[new], slots[new])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(r) for r in rows])])
-            self.ids = np.concatenate([self.ids, np.array([i for r in rows for i in r], np.int64)])
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(size)).astype(np.int32)
+            self.ids = np.append(self.ids, ids)
         slot = slots[which]
         size = self.first[slot + 1] - self.first[slot]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -112,7 +157,7 @@ def _pieces(path, length, end_id):
     def run(batches):
         tokenizer, part = ByteTokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=CHUNK_BYTES):
             ids, first = tokenizer.texts(batch.column("text"))
             n = batch.num_rows
             out = np.full(len(ids) + n, end_id, "<u4")
@@ -239,7 +284,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH,
     """A table of all pieces with their ids (little-endian 32 bits): doc_id, piece, start,
     length, ids, and part and place, the piece's place among those of its length in a part."""
     rows = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end_id), PIECES)
-    with setting(docs.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+    spark = docs.sparkSession
+    with setting(spark, "spark.sql.parquet.compression.codec", "zstd"), \
+            setting(spark, "parquet.block.size", str(WRITE_BYTES)):
         return stage(rows, "token-pieces")
 
 
