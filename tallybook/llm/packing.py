@@ -303,7 +303,7 @@ def pack(table: DataFrame, length: int = LENGTH) -> DataFrame:
     # one number for each length: at most ``length`` rows
     plan = bin_plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(
         F.sum("n").alias("n")).collect()}, length)
-    ranked = (table.drop("ids").join(counts.select("length", "part", "ahead"), ["length", "part"])
+    ranked = (table.drop("ids").join(counts.select("length", "part", "ahead").hint("merge"), ["length", "part"])
               .select("doc_id", "piece", "start", "length",
                       *(c for c in table.columns if c not in
                         ("doc_id", "piece", "start", "length", "ids", "part", "place")),
