@@ -99,7 +99,7 @@ def entry_order(commit_seq: Column, file_seq: Column, row_no: Column) -> Column:
             + wide(row_no, 13)).cast("decimal(38,0)")
 
 
-def ledger_columns(entries: DataFrame) -> DataFrame:
+def ledger_columns(entries: DataFrame, keep: list[str] = []) -> DataFrame:
     """Entries from any table: needs uid and status, fills in the rest."""
     types = {f.name: f.dataType for f in entries.schema.fields}
     zero = F.lit(0).cast("bigint")
@@ -109,23 +109,23 @@ def ledger_columns(entries: DataFrame) -> DataFrame:
     if not isinstance(dtype, T.DecimalType):
         amount = parse_amount(amount, dtype)
     return entries.select(
-        F.col("uid"), F.coalesce(get("order_no", F.lit("")), F.lit("")).alias("order_key"),
+        *keep, F.col("uid"), F.coalesce(get("order_no", F.lit("")), F.lit("")).alias("order_key"),
         amount.cast(PARSED).alias("amount"), F.col("status"),
         entry_order(get("commit_seq", zero), get("file_seq", zero),
                     get("row_no", zero)).alias("age"))
 
 
-def ledger_by_order(entries: DataFrame) -> DataFrame:
+def ledger_by_order(entries: DataFrame, within: list[str] = []) -> DataFrame:
     """Per (uid, order): is it settled, and the newest reference amount.
 
     When the newest reference is unreadable its NULL amount wins: there is no
-    falling back to an older one.
+    falling back to an older one. ``within`` are columns to keep apart, too.
     """
     is_ref = F.col("status").isin(*REFERENCE_STATUSES)
     return (
-        ledger_columns(entries)
+        ledger_columns(entries, within)
         .filter((F.col("status") == SETTLED) | is_ref)
-        .groupBy("uid", "order_key")
+        .groupBy(*within, "uid", "order_key")
         .agg(F.bool_or(F.col("status") == SETTLED).alias("settled"),
              F.max_by("amount", F.when(is_ref, F.col("age"))).alias("ref"),
              F.max(F.when(is_ref, F.col("age"))).alias("ref_age"))
@@ -144,16 +144,18 @@ def ledger_by_uid(by_order: DataFrame) -> DataFrame:
     )
 
 
-def attach_ledger(keys: DataFrame, entries: DataFrame, *,
+def attach_ledger(keys: DataFrame, entries: DataFrame | None, *,
+                  facts: DataFrame | None = None,
                   hot_uids: DataFrame | None = None) -> DataFrame:
     """``keys`` (uid, order_key, source_file, ...) plus ``settled`` and ``ref``.
 
     An entry without an order number stands for any order of its uid, and a
     record without one is matched by any entry. Written as an OR this is one
     join on uid that fans out; as two lookups it is at most one row per key.
-    ``hot_uids``, a bounded table, are answered by broadcast.
+    ``hot_uids``, a bounded table, are answered by broadcast. ``facts`` are those
+    the ledger keeps (``Ledger.facts``); then no entry is read.
     """
-    by_order = ledger_by_order(entries)
+    by_order = ledger_by_order(entries) if facts is None else facts
     by_uid = ledger_by_uid(by_order)
     hot = None
     if hot_uids is not None:
@@ -209,14 +211,15 @@ def bucket_of(*, uid: Column, is_first: Column, settled: Column, amount: Column,
     )
 
 
-def classified_keys(cleaned: DataFrame, entries: DataFrame, rules: Rules, *,
-                    policy: SkewPolicy, split_hot: bool) -> DataFrame:
+def classified_keys(cleaned: DataFrame, entries: DataFrame | None, rules: Rules, *,
+                    policy: SkewPolicy, split_hot: bool,
+                    facts: DataFrame | None = None) -> DataFrame:
     """Key facts plus ledger facts, and the bucket of each key's first row.
 
     The sketch of frequent uids reads the one column; it needs no shuffle.
     """
     hot_uids = hottest_values(cleaned, "uid", policy) if split_hot else None
-    known = attach_ledger(key_facts(cleaned), entries, hot_uids=hot_uids)
+    known = attach_ledger(key_facts(cleaned), entries, facts=facts, hot_uids=hot_uids)
     known = known.withColumn("ref", round_amount(F.col("ref"), rules.amount_places, rules.rounding))
     return known.withColumn("bucket", bucket_of(
         uid=F.col("uid"), is_first=F.lit(True), settled=F.col("settled"),
@@ -252,8 +255,9 @@ def _reason(rules: Rules) -> tuple[Column, Column]:
     return code, text
 
 
-def reconcile(records: DataFrame, entries: DataFrame, rules: Rules = Rules(), *,
-              policy: SkewPolicy = SkewPolicy(), split_hot: bool | None = None) -> DataFrame:
+def reconcile(records: DataFrame, entries: DataFrame | None, rules: Rules = Rules(), *,
+              policy: SkewPolicy = SkewPolicy(), split_hot: bool | None = None,
+              facts: DataFrame | None = None) -> DataFrame:
     """Items: every record with its bucket, reason and reference amount.
 
     ``row_no`` must be unique within a ``source_file`` (sheet rows are); it
@@ -261,21 +265,23 @@ def reconcile(records: DataFrame, entries: DataFrame, rules: Rules = Rules(), *,
 
     ``split_hot`` None decides by the size of the input. When hot keys are
     split off, the key table is written once to the shared folder and read
-    back, so that neither the lookups nor the aggregate run twice.
+    back, so that neither the lookups nor the aggregate run twice. With the
+    ledger's own ``facts``, ``entries`` are not read and may be None.
     """
     if split_hot is None:
-        split_hot = policy.needed_for(records, entries)
+        split_hot = policy.needed_for(records, entries if facts is None else facts)
     cleaned = clean_records(records, rules)
-    if policy.ledger_dwarfs(records, entries):
+    if facts is None and policy.ledger_dwarfs(records, entries):
         entries = relevant_entries(cleaned, entries, policy=policy)
     with_uid = cleaned.filter(F.col("uid").isNotNull())
-    keys = classified_keys(with_uid, entries, rules, policy=policy, split_hot=split_hot)
-    facts = keys.select(*KEY, "first_row", "n_rows", "settled", "ref")
+    keys = classified_keys(with_uid, entries, rules, policy=policy, split_hot=split_hot,
+                           facts=facts)
+    known = keys.select(*KEY, "first_row", "n_rows", "settled", "ref")
     hot = None
     if split_hot:
-        facts = materialize(facts, "key-facts")
-        hot = hottest(facts, "n_rows", policy)
-    rows = unique_lookup(cleaned, facts, KEY, spread_by=["source_file", "row_no"],
+        known = materialize(known, "key-facts")
+        hot = hottest(known, "n_rows", policy)
+    rows = unique_lookup(cleaned, known, KEY, spread_by=["source_file", "row_no"],
                          values=["first_row", "settled", "ref"], hot=hot)
     rows = rows.withColumn("bucket", bucket_of(
         uid=F.col("uid"), is_first=F.col("row_no") == F.col("first_row"),

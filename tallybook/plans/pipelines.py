@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.cells import order_text
 from ..functions.ids import normalize_status, normalize_uid
 from ..functions.money import parse_amount
-from ..operators.classify import reconcile, summarize
+from ..operators.classify import attach_ledger, reconcile, summarize
 from ..operators.lookup import SkewPolicy, salted_lookup
 from ..operators.sheets import (apply_mapping, detect_headers, load_mapping, resolve_columns,
                                 save_mapping, sheet_status, suggest_mapping, validate_mapping)
@@ -23,6 +23,7 @@ from ..rules import Rules
 from ..schemas import BUCKETS, MONEY, TO_SETTLE
 from ..session import materialize, sized_shuffles
 from ..sources.audit import append_audit, append_audit_rows, audit_tail
+from ..sources.facts import co_located
 from ..sources.inbox import (content_hashes, inbox_totals, list_inbox, pending_files,
                              scan_inbox)
 from ..sources.ledger import (Commit, Ledger, ledger_stats, payable_entries, processed_lookup,
@@ -136,11 +137,12 @@ def reconcile_folder(spark: SparkSession, folder: str, ledger: Ledger, report_pa
     changed = files.filter(F.col("status") == CHANGED).select("source_file")
     if not changed.isEmpty():
         records = records.join(changed, "source_file", "left_anti")
-    entries = ledger.entries()
-    with sized_shuffles(spark, records, entries):
-        items = reconcile(records, entries, rules, policy=policy)
-        return store_report(spark, items, files.drop("status", "n_rows"), report_path,
-                            rules=rules, audit_path=audit_path)
+    read = ledger.last_commit()
+    facts = ledger.facts(read)
+    files = files.drop("status", "n_rows").withColumn("ledger_commit", F.lit(read).cast("bigint"))
+    with sized_shuffles(spark, records, facts), co_located(spark):
+        items = reconcile(records, None, rules, policy=policy, facts=facts)
+        return store_report(spark, items, files, report_path, rules=rules, audit_path=audit_path)
 
 
 CHANGED = "changed_while_read"
@@ -169,7 +171,8 @@ def store_report(spark: SparkSession, items: DataFrame, files: DataFrame, path:
                  rules: Rules = Rules(), audit_path: str | None = None) -> Report:
     """Write items, then the summary counted from what was written.
 
-    ``files`` has (source_file, file_sha256, batch_id, generated_at).
+    ``files`` has (source_file, file_sha256, batch_id, generated_at), and may have
+    ledger_commit, the last commit that the items were compared with.
     """
     items.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/items")
     stored = spark.read.parquet(f"{path}/items")
@@ -196,14 +199,16 @@ class Applied:
 
 
 def apply_report(report: Report, ledger: Ledger, *, confirmed: bool, force: bool = False,
-                 on_processed: str = "raise", applied_at: datetime | None = None,
+                 on_processed: str = "raise", recheck: bool = False,
+                 applied_at: datetime | None = None,
                  audit_path: str | None = None) -> Applied:
     """Append the payable items of a report to the ledger, once per content.
 
     A content settled before is refused unless forced: ``on_processed="raise"``
     stops, ``"skip"`` leaves those files out. Two files of one report with the
-    same content count once. The ledger is not asked again whether a payee was
-    settled meanwhile.
+    same content count once. With ``recheck``, what commits later than the one the
+    report was compared with have settled is not paid again; otherwise the ledger
+    is not asked whether a payee was settled meanwhile.
     """
     if not confirmed:
         raise ConfirmationRequired("writing to the ledger needs confirmed=True")
@@ -226,6 +231,8 @@ def apply_report(report: Report, ledger: Ledger, *, confirmed: bool, force: bool
         todo = todo.join(first, ["sha256", "source_file"], "left_semi")
     batches = todo.select("source_file", "batch_id")
     payable = payable_entries(report.items.filter(F.col("bucket") == TO_SETTLE))
+    if recheck:
+        payable = not_settled_since(payable, report.summary, ledger)
     entries = salted_lookup(payable, with_file_seq(batches), ["source_file"],
                             spread_by=["row_no"], how="inner").withColumn("created_at", when)
     register = todo.filter(~F.col("processed")).groupBy("sha256").agg(
@@ -247,6 +254,24 @@ def apply_report(report: Report, ledger: Ledger, *, confirmed: bool, force: bool
     return Applied(commit, commit.n_entries, commit.amount, refused)
 
 
+def not_settled_since(payable: DataFrame, summary: DataFrame, ledger: Ledger) -> DataFrame:
+    """Payable items without those that were settled after the report was made.
+
+    Only the commits after the oldest one that a file of the report has seen are
+    asked; a report that does not say is held against all. Whether an order is
+    settled is decided as in ``reconcile``.
+    """
+    seen = 0
+    if "ledger_commit" in summary.columns:
+        seen = summary.agg(F.min(F.coalesce("ledger_commit", F.lit(0)))).first()[0] or 0
+    last = ledger.last_commit()
+    if last <= seen:
+        return payable
+    later = ledger.entries(last).filter(F.col("commit_seq") > seen)
+    rows = payable.withColumn("order_key", F.coalesce("order_no", F.lit("")))
+    return attach_ledger(rows, later).filter(~F.col("settled")).select(*payable.columns)
+
+
 def with_file_seq(files: DataFrame) -> DataFrame:
     """Number files in name order: growing, not gapless, and sorted in parallel."""
     return files.orderBy("source_file").withColumn("file_seq", F.monotonically_increasing_id())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def append_audit_rows(rows: DataFrame, path: str, action: str, *,
         f"{path}/seq={time.time_ns():020d}")
 
 
-def audit_lines(spark: SparkSession, path: str) -> DataFrame:
+def audit_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All log lines with their place: (file, block, seq, value)."""
     try:
         lines = spark.read.option("recursiveFileLookup", "true").text(path)
@@ -50,13 +51,31 @@ def audit_lines(spark: SparkSession, path: str) -> DataFrame:
                         F.monotonically_increasing_id().alias("seq"), "value")
 
 
+FIRST_FILES = 8  # files opened at first for a tail
+
+
 def audit_tail(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """The last ``limit`` lines in file order, parsed.
 
     Blank lines count against the limit and are then dropped; a line that is
-    not JSON comes back in ``raw``.
+    not JSON comes back in ``raw``. Files are opened from the newest backwards,
+    four times as many each time, until they hold enough lines.
     """
-    return tail_of(audit_lines(spark, path), limit, ["file", "block", "seq"])
+    return tail_of(newest_lines(spark, path, limit), limit, ["file", "block", "seq"])
+
+
+def newest_lines(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The lines of the newest files that hold ``limit`` lines together, or all."""
+    lines = audit_lines(spark, path)
+    # the names are listed, the files not opened
+    files = sorted(lines.inputFiles(), key=lambda f: unquote(f))
+    many = FIRST_FILES
+    while many < len(files):
+        newest = audit_lines(spark, files[-many:])
+        if newest.limit(limit).count() >= limit:
+            return newest
+        many *= 4
+    return lines
 
 
 def tail_of(lines: DataFrame, limit: int, order: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ Layout under the ledger root, one folder per commit number in each table::
 
     entries/commit_seq=7/      rows
     processed/commit_seq=7/    files settled by this commit
+    facts/commit_seq=7/        what reconciling asks of its entries (see ``facts``)
     commits/commit_seq=7/      one row, written last
 
 A commit becomes visible with its row in ``commits``; readers ignore higher
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.money import round_amount
 from ..functions.text import strip_ws
 from ..schemas import COMMITS, ENTRIES, MONEY, PROCESSED, SETTLED
+from .facts import FACT_BUCKETS, FACTS, FactTable
 from .tables import empty_table, read_or_empty
 
 ENTRY_VALUES = [f.name for f in ENTRIES.fields if f.name != "commit_seq"]
@@ -38,11 +40,16 @@ class Commit:
 
 
 class Ledger:
-    """A ledger folder. Opening one that does not exist reads as empty."""
+    """A ledger folder. Opening one that does not exist reads as empty.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``fact_buckets`` is used when the ledger is first written: as many tasks join
+    a batch with the ledger later, so take one per 128 MB of facts to come.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fact_buckets: int = FACT_BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.fact_table = FactTable(spark, self.root, fact_buckets)
 
     # ---- reading
     def commits(self) -> DataFrame:
@@ -50,8 +57,11 @@ class Ledger:
 
     def last_commit(self) -> int:
         """Newest commit number, read off the folder names without a job."""
-        numbers = re.findall(r"/commit_seq=(\d+)/", "\n".join(self.commits().inputFiles()))
-        return max(map(int, numbers), default=0)
+        return max(self._numbers(), default=0)
+
+    def _numbers(self, upto: int | None = None) -> list[int]:
+        found = re.findall(r"/commit_seq=(\d+)/", "\n".join(self.commits().inputFiles()))
+        return [n for n in map(int, found) if upto is None or n <= upto]
 
     def _visible(self, table: str, schema, upto: int | None) -> DataFrame:
         last = self.last_commit() if upto is None else upto
@@ -66,6 +76,20 @@ class Ledger:
     def processed(self, upto: int | None = None) -> DataFrame:
         return self._visible("processed", PROCESSED, upto)
 
+    def facts(self, upto: int | None = None) -> DataFrame:
+        """(uid, order_key, settled, ref, ref_age) of all visible entries, bucketed by uid.
+
+        Equal to the aggregate over ``entries``; only commits that were written
+        without facts are read, once, to add them.
+        """
+        last = self.last_commit() if upto is None else upto
+        if last == 0:
+            return empty_table(self.spark, FACTS)
+        lacking = set(self._numbers(last)) - self.fact_table.commits()
+        if lacking:
+            self.fact_table.add(self.entries(last).filter(F.col("commit_seq").isin(*lacking)))
+        return self.fact_table.upto(last)
+
     # ---- writing
     def append(self, kind: str, batch_id: str, entries: DataFrame, *, at: datetime,
                processed: DataFrame | None = None) -> Commit:
@@ -83,8 +107,10 @@ class Ledger:
         if processed is not None:
             processed.select("sha256", "filename", "batch_id", "processed_at").write.mode(
                 "overwrite").parquet(where.format("processed"))
+        written = self.spark.read.schema(ENTRIES).parquet(where.format("entries"))
+        self.fact_table.add(written.withColumn("commit_seq", F.lit(seq).cast("bigint")))
         # count what was written, not what was meant to be
-        done = self.spark.read.schema(ENTRIES).parquet(where.format("entries")).agg(
+        done = written.agg(
             F.count(F.lit(1)).alias("n"),
             F.coalesce(F.sum("amount"), F.lit(0).cast(MONEY)).cast(MONEY).alias("s")).first()
         row = [(kind, batch_id, done["n"], done["s"], at)]

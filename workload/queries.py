@@ -25,6 +25,7 @@ from tallybook.rules import Rules
 from tallybook.schemas import FIELDS, MISSING_UID
 from tallybook.session import materialize, scratch_path
 from tallybook.sources import audit
+from tallybook.sources.facts import co_located
 from tallybook.sources.inbox import content_hashes, list_inbox, pending_files, scan_inbox
 from tallybook.sources.ledger import Ledger, ledger_stats, query_ledger
 from tallybook.sources.report import (Report, batch_id, read_report, review_extract, short_hash,
@@ -162,6 +163,21 @@ def reference_amount(spark, sf):
         "uid", F.col("order_key").alias("order_no"), F.col("ref").cast("decimal(38,2)").alias("ref"))
 
 
+def ledger_facts(spark, sf):
+    """The same answers from the facts that three commits have left."""
+    entries = _entries(spark, sf)
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), fact_buckets=8)
+    most = entries.agg(F.max("row_no")).first()[0]
+    third = F.least(F.floor(F.col("row_no") * 3 / (most + 1)), F.lit(2))
+    for n in range(3):
+        ledger.append("import", f"part-{n}", entries.filter(third == n), at=RUN_AT)
+    keys = key_facts(clean_records(_batch(spark, sf))).filter(F.col("uid").isNotNull())
+    with co_located(spark):
+        known = materialize(attach_ledger(keys, None, facts=ledger.facts()), "known")
+    return known.select("uid", F.col("order_key").alias("order_no"), "settled",
+                        F.col("ref").cast("decimal(38,2)").alias("ref"))
+
+
 def tolerance(spark, sf):
     rules = Rules(amount_tolerance=Decimal("0.25"))
     known = _ledger_facts(spark, sf).filter(F.col("ref").isNotNull() & F.col("amount").isNotNull())
@@ -294,6 +310,24 @@ def _applied(spark, sf, force: bool) -> DataFrame:
     return ledger_stats(ledger.entries(), ledger.processed())
 
 
+def apply_recheck(spark, sf):
+    """Two reports of one ledger state, both applied: with and without a second look."""
+    out = None
+    for recheck in (False, True):
+        ledger = Ledger(spark, scratch_path(spark, "ledger"))
+        ledger.append("import", "history", _entries(spark, sf), at=RUN_AT)
+        items = materialize(reconcile(_batch(spark, sf), ledger.entries()), "items")
+        for name in ("morning", "evening"):
+            files = _files(spark, sf).withColumn("file_sha256", F.sha2(F.lit(name), 256)).withColumn(
+                "ledger_commit", F.lit(1).cast("bigint"))
+            report = store_report(spark, items, files, scratch_path(spark, "report"))
+            apply_report(report, ledger, confirmed=True, recheck=recheck, applied_at=RUN_AT)
+        stats = ledger_stats(ledger.entries(), ledger.processed()).withColumn(
+            "recheck", F.lit(recheck))
+        out = stats if out is None else out.unionByName(stats)
+    return out
+
+
 def apply_once(spark, sf):
     return _applied(spark, sf, force=False)
 
@@ -490,7 +524,7 @@ QUERIES = {f"q_{f.__name__}": f for f in (
     tolerance, missing_uid, reconcile_items, reconcile_batch_summary, reconcile_rules,
     reconcile_lineitem, payable_total, bucket_extract, report_roundtrip, report_roundtrip_json,
     report_summary, import_rows, import_counts, ledger_totals, ledger_query_uid, ledger_recent,
-    apply_once, apply_force, audit_events, file_facts, processed_files, inbox_pending, file_outcomes,
+    apply_once, apply_force, apply_recheck, ledger_facts, audit_events, file_facts, processed_files, inbox_pending, file_outcomes,
     status_overview,
     header_detect, mapping_suggest, mapping_apply, mapping_fixed, audit_tail, csv_inbox,
     workbook_inbox, inbox_stream)}

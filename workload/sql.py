@@ -252,11 +252,11 @@ _FILE_ROWS = f"""WITH {_cleaned()} SELECT uid, order_no, amount,
   trim(raw_amount) AS raw_amount, status AS status_text, name FROM cleaned"""
 
 
-def _applied(times: int) -> str:
+def _applied(times: int, files: int = 1) -> str:
     return f"""WITH {_classified()},
 paid AS (SELECT amount, 'settled' AS status FROM items, range({times}) WHERE bucket = 'to_settle'),
 book AS (SELECT amount, status FROM ledger UNION ALL SELECT amount, status FROM paid)
-{_STATS.format('1', 'book')}"""
+{_STATS.format(files, 'book')}"""
 
 
 def _round_sql(function: str) -> str:
@@ -301,6 +301,10 @@ ORACLES = {
       EXISTS (SELECT 1 FROM ledger l WHERE l.uid = k.uid AND l.status = 'settled'
         AND (k.ok = '' OR l.order_no = k.ok OR l.order_no = '')) AS settled FROM keys k""",
     "q_reference_amount": f"WITH {_KEYS} SELECT uid, ok AS order_no, {_REF} AS ref FROM keys k",
+    "q_ledger_facts": f"""WITH {_KEYS} SELECT uid, ok AS order_no,
+      EXISTS (SELECT 1 FROM ledger l WHERE l.uid = k.uid AND l.status = 'settled'
+        AND (k.ok = '' OR l.order_no = k.ok OR l.order_no = '')) AS settled, {_REF} AS ref
+      FROM keys k""",
     "q_tolerance": f"""WITH {_KEYS}, known AS (SELECT uid, ok AS order_no, amount, {_REF} AS ref
       FROM keys k) SELECT *, abs(amount - ref) > 0.25 AS differs FROM known
       WHERE amount IS NOT NULL AND ref IS NOT NULL""",
@@ -381,6 +385,8 @@ ORACLES = {
       ORDER BY row_no DESC LIMIT 50""",
     "q_apply_once": _applied(1),
     "q_apply_force": _applied(2),
+    "q_apply_recheck": f"""SELECT *, false AS recheck FROM ({_applied(2, 2)})
+      UNION ALL SELECT *, true FROM ({_applied(1, 2)})""",
     "q_audit_events": f"""WITH {_classified()}, s AS ({_summary()}),
       b AS (SELECT *, '20240723-' || left(sha256('events'), 8) AS batch_id FROM s)
       SELECT 'reconcile_preview' AS action, batch_id, 'events' AS source_file,
