@@ -19,8 +19,10 @@ document. Inside a block, later repeats are settled before any shuffle, so a
 seed or window sends at most one row a block however often it occurs.
 
 Null texts have no words; texts shorter than a window have no factor. Rows
-without an id come after all others. Rows of the same id count as one place:
-a window does not repeat itself in a copy of its own row.
+without an id come after all others. Rows of the same id are one document, in
+which a word's number is its place: a window does not repeat itself in a row of its
+own id that has it at the same place. Rows of one id may have different texts; a
+hash of the text tells which row a phrase is of, and equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -43,10 +45,11 @@ BLOCK_BYTES = 8 << 20
 LAST = (1 << 63) - 1  # stands for a missing id
 WINDOWS_AT_ONCE = 1 << 20
 
-SEEDS = "key long, doc_id long, phrase int, sure boolean"
-PHRASES = ("key long, doc_id long, start long, count int, sure boolean, ref_doc long, "
+SEEDS = "key long, doc_id long, content long, phrase int, sure boolean"
+PHRASES = ("key long, doc_id long, content long, start long, count int, sure boolean, ref_doc long, "
            "ref_start long, hashes binary")
-SPANS = "key long, doc_id long, start long, count int, sure boolean, ref_doc long, ref_start long"
+SPANS = ("key long, doc_id long, content long, start long, count int, sure boolean, ref_doc long, "
+         "ref_start long")
 FACTOR = "array<struct<start: long, end: long, ref_doc: long, ref_start: long>>"
 
 
@@ -112,7 +115,7 @@ def _seeds(window, seed):
     def run(batches):
         for piece in pieces(batches, limit=BLOCK_BYTES):
             p = Phrases(Words(*text_buffers(piece.column("text")), NOT_SPACE), window, seed)
-            doc = _ids(piece)[p.text]
+            doc, content = _ids(piece)[p.text], piece.column("content").to_numpy()[p.text]
             kinds, first, kind, times = np.unique(p.seed, return_index=True,
                                                   return_inverse=True, return_counts=True)
             sure = times[kind] > 1
@@ -121,9 +124,10 @@ def _seeds(window, seed):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([key, p.seed[told].view(np.int64)])),
                  pa.array(np.concatenate([doc, doc[told]])),
+                 pa.array(np.concatenate([content, content[told]])),
                  pa.array(np.concatenate([p.number, np.full(len(told), -1)]), pa.int32()),
                  pa.array(np.concatenate([sure, np.zeros(len(told), bool)]))],
-                ["key", "doc_id", "phrase", "sure"])
+                ["key", "doc_id", "content", "phrase", "sure"])
     return run
 
 
@@ -135,8 +139,8 @@ def _phrases(window, seed):
             size = pc.list_value_length(listed).to_numpy()
             rows = np.unique(np.repeat(p.of_text[:-1], size)
                              + pc.list_flatten(listed).to_numpy().astype(np.int64))
-            doc, start, content = _ids(piece)[p.text[rows]], p.start[rows], p.content()[rows]
-            earliest, sure = first_places(content, doc, start)
+            doc, start, whole = _ids(piece)[p.text[rows]], p.start[rows], p.content()[rows]
+            earliest, sure = first_places(whole, doc, start)
             grams = gram_hashes(p.hashes, window)
             size = np.where(sure, 0, p.count[rows])
             flat = grams[ranges(p.word[rows], size)]
@@ -145,10 +149,12 @@ def _phrases(window, seed):
                 pa.binary(), len(rows),
                 [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(sure, _own_key(doc, start), content.view(np.int64))),
-                 pa.array(doc), pa.array(start), pa.array(p.count[rows], pa.int32()),
+                [pa.array(np.where(sure, _own_key(doc, start), whole.view(np.int64))),
+                 pa.array(doc), pa.array(piece.column("content").to_numpy()[p.text[rows]]),
+                 pa.array(start), pa.array(p.count[rows], pa.int32()),
                  pa.array(sure), pa.array(doc[earliest]), pa.array(start[earliest]), payload],
-                ["key", "doc_id", "start", "count", "sure", "ref_doc", "ref_start", "hashes"])
+                ["key", "doc_id", "content", "start", "count", "sure", "ref_doc", "ref_start",
+                 "hashes"])
     return run
 
 
@@ -170,9 +176,10 @@ def _windows(batches):
             earliest, sure = first_places(keys, doc, start)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.where(sure, _own_key(doc, start), keys.view(np.int64))),
-                 pa.array(doc), pa.array(start), pa.array(np.ones(len(doc)), pa.int32()),
+                 pa.array(doc), pa.array(np.repeat(part.column("content").to_numpy(), size)),
+                 pa.array(start), pa.array(np.ones(len(doc)), pa.int32()),
                  pa.array(sure), pa.array(doc[earliest]), pa.array(start[earliest])],
-                ["key", "doc_id", "start", "count", "sure", "ref_doc", "ref_start"])
+                ["key", "doc_id", "content", "start", "count", "sure", "ref_doc", "ref_start"])
 
 
 def _settle(rows: DataFrame) -> DataFrame:
@@ -193,24 +200,26 @@ def _id(column: Column | str = "doc_id") -> Column:
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Per document id (``LAST`` for none) with repeated windows: its copied pieces.
+    """Per document id (``LAST`` for none) and hash of its text, where windows repeat: the
+    copied pieces.
 
     Pieces are in words and may overlap; ``join_factors`` parses them.
     """
-    texts = docs.select(_id().alias("doc_id"), "text")
+    texts = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     seeds = texts.mapInArrow(_seeds(window, seed), SEEDS)
     shared = (seeds.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "sure")))
               .where((F.col("sure") | (F.col("n") > 1)) & (F.col("phrase") >= 0))
-              .select("doc_id", "phrase"))
-    shared = stage(shared, "substring-seeds").groupBy("doc_id").agg(
+              .select("doc_id", "content", "phrase"))
+    shared = stage(shared, "substring-seeds").groupBy("doc_id", "content").agg(
         F.collect_set("phrase").alias("phrases"))
-    phrases = stage(_settle(texts.join(shared, "doc_id").mapInArrow(
+    phrases = stage(_settle(texts.join(shared, ["doc_id", "content"]).mapInArrow(
         _phrases(window, seed), PHRASES)), "substring-phrases")
-    boundary = phrases.where(~F.col("copied")).select("doc_id", "start", "count", "hashes")
+    boundary = phrases.where(~F.col("copied")).select(
+        "doc_id", "content", "start", "count", "hashes")
     windows = stage(_settle(boundary.mapInArrow(_windows, SPANS)).where("copied"),
                     "substring-windows")
     copied = phrases.where("copied").drop("hashes").unionByName(windows)
-    return copied.groupBy("doc_id").agg(F.collect_list(F.struct(
+    return copied.groupBy("doc_id", "content").agg(F.collect_list(F.struct(
         "start", (F.col("start") + F.col("count") + (window - 1)).alias("end"),
         "ref_doc", "ref_start")).cast(FACTOR).alias("copies"))
 
@@ -264,6 +273,7 @@ def _kept(batches):
 def removal_counts(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Per document: words, words removed, and a digest of those kept."""
     factors = duplicate_factors(docs, window, seed).withColumnRenamed("doc_id", "_id")
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("_id"), "text")
-            .join(factors, "_id", "left").select("doc_id", "text", "copies")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("_id"),
+                        F.xxhash64("text").alias("content"), "text")
+            .join(factors, ["_id", "content"], "left").select("doc_id", "text", "copies")
             .mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
