@@ -7,8 +7,9 @@ searched backwards through wavelet-matrix ranks, located by sampled suffix
 positions, and merged to removal spans.
 
 Test items come in blocks of at most ``BLOCK_BYTES`` of text; each block is
-broadcast and searched in all documents, and the spans of several blocks are
-merged per document.
+broadcast and searched in all documents one after the other, and each adds its spans
+to those the row has. No row is moved, so rows with equal or null ids stay apart,
+however many blocks there are.
 
 Null or empty texts have no words and no hits; items without words are no
 phrase; repeated item ids count once; other columns are not read.
@@ -20,6 +21,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +100,8 @@ def shard_hits(words: Words, phrases: Phrases):
     return start, end, np.repeat(text, count), names
 
 
-def _search(shared):
+def _search(shared, last):
+    """Add a block's spans and items to each row; but for the last block, the text goes on."""
     def search(batches):
         phrases = SimpleNamespace(**shared.value)
         for piece in pieces(batches):
@@ -107,6 +110,14 @@ def _search(shared):
             cover = np.zeros(len(words) + 1, np.int64)
             np.add.at(cover, start, 1)
             np.add.at(cover, end, -1)
+            items = [set() for _ in range(piece.num_rows)]
+            if "spans" in piece.schema.names:
+                before = piece.column("spans")
+                base = np.repeat(words.first[:-1], pc.list_value_length(before).to_numpy())
+                before = pc.list_flatten(before)
+                np.add.at(cover, before.field("start").to_numpy() + base, 1)
+                np.add.at(cover, before.field("end").to_numpy() + base, -1)
+                items = [set(names) for names in piece.column("items").to_pylist()]
             hit = np.cumsum(cover[:-1]) > 0
             heads = words.first[:-1][words.counts > 0]
             carried = np.zeros(len(hit), bool)
@@ -123,13 +134,13 @@ def _search(shared):
                 pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()),
                                             pa.array(stops - base, pa.int64())],
                                            ["start", "end"]))
-            items = [set() for _ in range(piece.num_rows)]
             for t, name in zip(text.tolist(), names.tolist()):
                 items[t].add(name)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()),
-                 spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"])
+                 spans, pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                 *([] if last else [piece.column("text")])],
+                ["doc_id", "n_words", "spans", "items", *([] if last else ["text"])])
     return search
 
 
@@ -150,28 +161,13 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its words, merged removal spans in words, and the items found."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-    parts = []
-    for block in _blocks(benchmark, block_bytes):
+    rows = docs.select("doc_id", "text")
+    blocks = list(_blocks(benchmark, block_bytes))
+    for n, block in enumerate(blocks, 1):
         shared = spark.sparkContext.broadcast(vars(Phrases(block, window)))
-        parts.append(source.mapInArrow(_search(shared), SPANS))
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    joined = F.aggregate(
-        spans, F.array().cast("array<struct<start: long, end: long>>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["end"] > x["start"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-                F.element_at(out, -1)["start"].alias("start"),
-                F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(out, F.array(x))))
-    return both.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), joined.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        last = n == len(blocks)
+        rows = rows.mapInArrow(_search(shared, last), SPANS + ("" if last else ", text string"))
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
