@@ -11,8 +11,8 @@ Retrieved pairs are verified exactly: the share of the template's distinct
 shingles that the whole text contains must reach ``CONTAINMENT``.
 
 Null and empty texts and texts shorter than a shingle hold no license; shorter
-templates are refused. Rows of one id are scanned as one document. Templates of
-one name are alternatives: the best one counts.
+templates are refused. Rows of one id are scanned as one document, rows without an
+id as another one. Templates of one name are alternatives: the best one counts.
 """
 
 from __future__ import annotations
@@ -112,7 +112,10 @@ def license_matches(docs: DataFrame, templates: DataFrame,
     found = (shingled.select("doc_id", F.explode("shingles").alias("shingle"))
              .join(side(parts.select("template", "shingle")), "shingle")
              .select("doc_id", "template", "shingle").distinct())
-    return (found.join(retrieved, ["doc_id", "template"])
+    found, retrieved = found.alias("found"), retrieved.alias("retrieved")
+    same = (F.col("found.doc_id").eqNullSafe(F.col("retrieved.doc_id"))
+            & (F.col("found.template") == F.col("retrieved.template")))
+    return (found.join(retrieved, same, "left_semi")
             .groupBy("doc_id", "template").agg(F.count(F.lit(1)).alias("shared"))
             .join(side(sizes), "template")
             .groupBy("doc_id", "license")
