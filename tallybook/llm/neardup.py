@@ -6,10 +6,16 @@ minhash positions by its own hash, and each of its documents goes on to the
 child named by its minwise token there. Nodes of up to ``LEAF`` documents are
 compared exhaustively by their minhash signatures; documents that may be
 similar form a cluster, and a cluster's links are confirmed on the full sets.
-A node with more goes on branching; where it is not worth it (up to ``MANY``
-leaves) or at ``DEPTH``, it is dealt to leaves so that each two of its documents
-still meet in one. Only links that join two parts of a cluster are written, so
-no group writes all its pairs, and no link between different parts is lost.
+
+A node with more is dealt to chunks, a row per document; some
+``REPRESENTATIVES`` of its documents stand in every chunk. The links confirmed there
+make parts, and two documents of one part need not meet again. What is left of
+a node beside its largest part, the rest, goes on branching; where that is not
+worth it (up to ``MANY`` leaves) or at ``DEPTH``, it is dealt to leaves so that
+each two documents of the rest, and each of the rest and each of the part, still
+meet in one. So a tight group costs rows in proportion to its size, and no link
+between different parts is lost. Only links that join two parts of a cluster
+are written.
 
 A pair of similarity s shares a child of a node with probability
 1 - (1 - s) ** BRANCHES, about 0.98 at 0.85. The roots of the ``TREES`` trees pick
@@ -45,6 +51,8 @@ POSITIONS = 64
 LEAF = 512
 MANY = 16
 DEPTH = 8
+REPRESENTATIVES = 32
+SET_BYTES = 64 << 20  # of shingles in one batch
 SLACK = 5.5  # standard errors that an estimate may fall short; its miss is below the trees'
 
 FACTS = "doc_id long, n_shingles long, high long, low long, signature binary"
@@ -158,19 +166,41 @@ def _branch(branches):
     return run
 
 
+def _chunks(large: DataFrame, leaf: int) -> DataFrame:
+    """A row per document of large nodes to one of their chunks; representatives to all."""
+    chunks = F.ceil(F.col("n") / leaf)
+    chosen = F.pmod(F.xxhash64(F.lit(6), "node", "doc_id"), "n") < REPRESENTATIVES
+    own = F.array(F.pmod(F.xxhash64(F.lit(5), "node", "doc_id"), chunks))
+    return (large.select("node", "doc_id", F.explode(F.when(
+        chosen, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(own)).alias("chunk"))
+        .select(F.xxhash64("node", "chunk").alias("node"), "doc_id"))
+
+
 def _deal(leaf):
-    """Rows of a large node to leaves named by pairs of blocks, so each two documents meet."""
+    """Rows of large nodes to leaves named by pairs of blocks.
+
+    Each two documents of the rest meet, and each of the rest and each of the
+    largest part; documents of the largest part do not meet each other for this.
+    """
     def run(batches):
         for batch in batches:
-            node = batch.column("node").to_numpy()
+            node = batch.column("node").to_numpy().view(U64)
             doc = batch.column("doc_id").to_numpy()
-            blocks = -(-batch.column("n").to_numpy() // (leaf // 2))
-            own = (mix(doc.view(U64)) % blocks.astype(U64)).astype(np.int64)
-            row = np.repeat(np.arange(len(doc)), blocks)
-            other = ranges(np.zeros(len(doc), np.int64), blocks)
-            low = np.minimum(own[row], other).astype(U64)
-            high = np.maximum(own[row], other).astype(U64)
-            name = mix(node[row].view(U64) + mix((low << U64(32)) + high + U64(1)))
+            joined = batch.column("joined").to_numpy(zero_copy_only=False)
+            rest_blocks = -(-batch.column("n_rest").to_numpy() // max(leaf // 2, 1))
+            part_blocks = -(-batch.column("n_part").to_numpy() // leaf)
+            blocks = np.where(joined, part_blocks, rest_blocks)
+            own = (mix(doc.view(U64)) % np.maximum(blocks, 1).astype(U64)).astype(np.int64)
+            times = rest_blocks + np.where(joined, 0, part_blocks)
+            row = np.repeat(np.arange(len(doc)), times)
+            other = ranges(np.zeros(len(doc), np.int64), times)
+            within = ~joined[row] & (other < rest_blocks[row])  # both of the rest
+            low = np.where(within, np.minimum(own[row], other),
+                           np.where(joined[row], other, own[row]))
+            high = np.where(within, np.maximum(own[row], other),
+                            np.where(joined[row], own[row], other - rest_blocks[row]))
+            pair = (low.astype(U64) << U64(32)) + high.astype(U64)
+            name = mix(node[row] + mix(pair + U64(1)) + within.astype(U64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(name.view(np.int64)), pa.array(doc[row])], ["node", "doc_id"])
     return run
@@ -197,15 +227,6 @@ def groups(batches, column: str):
         yield held
 
 
-def _join(parent: np.ndarray, a: int, b: int) -> bool:
-    while parent[a] != a:
-        parent[a] = a = parent[parent[a]]
-    while parent[b] != b:
-        parent[b] = b = parent[parent[b]]
-    parent[max(a, b)] = min(a, b)
-    return a != b
-
-
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -214,6 +235,21 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
+def linked_parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n rows, the least row that each reaches by the links (a, b)."""
+    parent = np.arange(n)
+    while len(a):
+        low = np.minimum(parent[a], parent[b])
+        up = parent.copy()
+        np.minimum.at(up, parent[a], low)
+        np.minimum.at(up, parent[b], low)
+        up = _roots(up)
+        if (up == parent).all():
+            break
+        parent = up
+    return parent
+
+
 def similar_rows(rows: np.ndarray, least: float, step: int = 64):
     """(a, b), a < b: rows that agree at this share of the positions or more."""
     for lo in range(0, len(rows), step):
@@ -227,18 +263,19 @@ def similar_rows(rows: np.ndarray, least: float, step: int = 64):
 
 
 def _clusters(least):
-    """Of each leaf, the documents that may be linked, as named clusters."""
+    """Of each leaf, the documents of different parts that may be linked, as named clusters."""
     def run(batches):
         for group in groups(batches, "node"):
             doc = np.concatenate([g.column("doc_id").to_numpy() for g in group])
             if len(doc) < 2:
                 continue
             rows = np.concatenate([_matrix(g.column("signature")) for g in group])
-            parent = np.arange(len(doc))
-            for a, b in similar_rows(rows, least):
-                for x, y in zip(a.tolist(), b.tolist()):
-                    _join(parent, x, y)
-            root = _roots(parent)
+            part = np.concatenate([g.column("part").to_numpy() for g in group])
+            if (part == part[0]).all():
+                continue
+            pairs = [(a[part[a] != part[b]], b[part[a] != part[b]])
+                     for a, b in similar_rows(rows, least)]
+            root = linked_parts(len(doc), *(np.concatenate(x) for x in zip(*pairs)))
             size = np.bincount(root, minlength=len(doc))
             member = np.flatnonzero(size[root] > 1)
             if not len(member):
@@ -259,11 +296,16 @@ def _sets(shingle):
             listed = piece.column("clusters")
             size = pc.list_value_length(listed).to_numpy()
             row = np.repeat(np.arange(piece.num_rows), size)
+            cluster, doc = pc.list_flatten(listed), piece.column("doc_id").take(pa.array(row))
             packed = pa.array([v.tobytes() for v in np.split(sets.values, sets.first[1:-1])],
                               pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pc.list_flatten(listed), piece.column("doc_id").take(pa.array(row)),
-                 packed.take(pa.array(row))], ["cluster", "doc_id", "members"])
+            # A long text in many clusters is repeated, so its rows go out in small batches.
+            batch = np.cumsum(8 * sets.counts[row]) // SET_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(row)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                yield pa.RecordBatch.from_arrays(
+                    [cluster.slice(lo, hi - lo), doc.slice(lo, hi - lo),
+                     packed.take(pa.array(row[lo:hi]))], ["cluster", "doc_id", "members"])
     return run
 
 
@@ -284,14 +326,13 @@ def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def confirmed(ids, sets, part: int, whole: int):
-    """Links (a, b) of one cluster by exact similarity: those that join two parts of it."""
+    """Pairs (a, b) that join the parts of one cluster that exact similarity links."""
     size = np.array([len(x) for x in sets])
     shared = shared_counts(sets)
     linked = whole * shared >= part * (size[:, None] + size[None, :] - shared)
-    parent = np.arange(len(ids))
-    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
-        if _join(parent, a, b):
-            yield ids[a], ids[b]
+    root = linked_parts(len(ids), *np.nonzero(np.triu(linked, 1)))
+    for b in np.flatnonzero(root != np.arange(len(ids))).tolist():
+        yield ids[root[b]], ids[b]
 
 
 def _confirm(part, whole):
@@ -307,40 +348,17 @@ def _confirm(part, whole):
     return run
 
 
-def _leaves(leaders: DataFrame, trees: int, branches: int, leaf: int) -> list[DataFrame]:
-    """Tables (node, doc_id) of all leaves, level by level."""
-    spark = leaders.sparkSession
-    rows = leaders.select("doc_id", "signature").withColumn("node", F.explode(F.array(
-        *[F.lit(node) for node in roots(spark, trees, branches)])))
-    found = []
-    for level in range(1, DEPTH + 1):
-        children = stage(rows.select("node", "doc_id", "signature").mapInArrow(
-            _branch(branches), "node long, doc_id long").distinct(), "nodes")
-        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = stage(children.join(sizes, "node"), "sized-nodes")
-        found.append(sized.where(F.col("n") <= leaf).select("node", "doc_id"))
-        dealt = sized.where(F.col("n") > leaf)
-        if level < DEPTH:
-            dealt = dealt.where(F.col("n") <= MANY * leaf)
-        found.append(dealt.select("node", "doc_id", "n").mapInArrow(
-            _deal(leaf), "node long, doc_id long"))
-        large = sized.where(F.col("n") > MANY * leaf)
-        if level == DEPTH or large.isEmpty():
-            break
-        rows = large.join(leaders.select("doc_id", "signature"), "doc_id")
-    return found
-
-
-def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold: tuple,
-                  trees: int = TREES, branches: int = BRANCHES, leaf: int = LEAF) -> DataFrame:
-    """Confirmed links (a, b) between class leaders, enough to join all that are linked."""
+def _confirmed_links(docs: DataFrame, leaders: DataFrame, parts: DataFrame | None,
+                     leaves: DataFrame, shingle: int, threshold: tuple) -> DataFrame:
+    """Confirmed links (a, b) between documents of different parts that share a leaf."""
     part, whole = threshold
     s = part / whole
     least = s - SLACK * (s * (1 - s) / POSITIONS) ** 0.5
-    leaves = None
-    for table in _leaves(leaders, trees, branches, leaf):
-        leaves = table if leaves is None else leaves.union(table)
-    clusters = (leaves.join(leaders.select("doc_id", "signature"), "doc_id")
+    known = leaders.select("doc_id", "signature")
+    known = (known.withColumn("part", F.col("doc_id")) if parts is None else
+             known.join(parts, "doc_id", "left")
+             .withColumn("part", F.coalesce("part", "doc_id")))
+    clusters = (leaves.join(known, "doc_id")
                 .repartition("node").sortWithinPartitions("node", "doc_id")
                 .mapInArrow(_clusters(least), "cluster long, doc_id long"))
     of_doc = stage(clusters.distinct(), "clusters").groupBy("doc_id").agg(
@@ -353,6 +371,63 @@ def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold:
                  .mapInArrow(_confirm(part, whole), "a long, b long"), "confirmed")
 
 
+def _against_parts(large: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Rows of large nodes with the sizes of the node's largest part and of its rest.
+
+    ``joined`` tells whether the document is of that part.
+    """
+    if parts is None:
+        return large.select("node", "doc_id", "n", F.lit(False).alias("joined"),
+                            F.lit(0).cast("long").alias("n_part"), F.col("n").alias("n_rest"))
+    rows = large.join(parts, "doc_id", "left")
+    largest = (rows.where("part is not null").groupBy("node", "part")
+               .agg(F.count(F.lit(1)).alias("n_part")).groupBy("node")
+               .agg(F.max(F.struct("n_part", "part")).alias("most")))
+    return stage(rows.join(largest, "node", "left").select(
+        "node", "doc_id", "n",
+        F.coalesce(F.col("part") == F.col("most.part"), F.lit(False)).alias("joined"),
+        F.coalesce("most.n_part", F.lit(0).cast("long")).alias("n_part"),
+        (F.col("n") - F.coalesce("most.n_part", F.lit(0).cast("long"))).alias("n_rest")),
+        "node-parts")
+
+
+def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold: tuple,
+                  trees: int = TREES, branches: int = BRANCHES, leaf: int = LEAF) -> DataFrame:
+    """Confirmed links (a, b) between class leaders, enough to join all that are linked."""
+    rows = leaders.select("doc_id", "signature").withColumn("node", F.explode(F.array(
+        *[F.lit(node) for node in roots(docs.sparkSession, trees, branches)])))
+    links = parts = leaves = None
+    for level in range(1, DEPTH + 1):
+        children = stage(rows.select("node", "doc_id", "signature").mapInArrow(
+            _branch(branches), "node long, doc_id long").distinct(), "nodes")
+        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = stage(children.join(sizes, "node"), "sized-nodes")
+        small = sized.where(F.col("n") <= leaf).select("node", "doc_id")
+        leaves = small if leaves is None else leaves.union(small)
+        large = sized.where(F.col("n") > leaf)
+        if large.isEmpty():
+            break
+        split = _against_parts(large, parts)
+        loose = split.where(F.col("n_rest") > leaf)
+        if not loose.isEmpty():
+            found = _confirmed_links(docs, leaders, parts, _chunks(loose, leaf), shingle,
+                                     threshold)
+            links = found if links is None else links.union(found)
+            parts = stage(components(links).select(
+                F.col("node").alias("doc_id"), F.col("component").alias("part")), "parts")
+            split = _against_parts(large, parts)
+        ends = F.lit(level == DEPTH) | (F.col("n_rest") <= MANY * leaf)
+        leaves = leaves.union(split.where(ends).drop("n").mapInArrow(
+            _deal(leaf), "node long, doc_id long"))
+        further = split.where(~ends)
+        if further.isEmpty():
+            break
+        rows = further.select("node", "doc_id").join(leaders.select("doc_id", "signature"),
+                                                     "doc_id")
+    found = _confirmed_links(docs, leaders, parts, leaves, shingle, threshold)
+    return found if links is None else links.union(found)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple = THRESHOLD,
                     **options) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id, kept."""

@@ -69,6 +69,57 @@ def test_a_large_group_of_near_copies_is_one_class(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def near_copies(spark, n):
+    base = [f"w{i}" for i in range(200)]
+    return spark.createDataFrame(
+        [(k, " ".join(base[:k % 150] + [f"edit{k}"] + base[k % 150 + 1:])) for k in range(n)],
+        "doc_id long, text string")
+
+
+def test_leaf_rows_grow_with_a_group_of_near_copies_and_not_with_its_square(spark, monkeypatch):
+    seen = []
+    confirm = neardup._confirmed_links
+
+    def counting(docs, leaders, parts, leaves, *rest):
+        seen.append(leaves.count())
+        return confirm(docs, leaders, parts, leaves, *rest)
+
+    monkeypatch.setattr(neardup, "_confirmed_links", counting)
+    totals = []
+    for n in (500, 1000):
+        seen.clear()
+        got = neardup.near_duplicates(near_copies(spark, n), 5, (80, 100), leaf=64).collect()
+        assert {r.component_id for r in got} == {0}
+        totals.append(sum(seen))
+    assert totals[1] < 2.6 * totals[0]
+
+
+@pytest.mark.parametrize("rest, part", [(70, 0), (0, 90), (1, 200), (40, 200), (9, 5)])
+def test_all_but_pairs_of_the_part_meet_in_a_leaf(rest, part):
+    n, leaf = rest + part, 16
+    batch = pa.RecordBatch.from_pydict({
+        "node": pa.array([5] * n, pa.int64()), "doc_id": pa.array(range(n), pa.int64()),
+        "joined": [i >= rest for i in range(n)], "n_part": pa.array([part] * n, pa.int64()),
+        "n_rest": pa.array([rest] * n, pa.int64())})
+    held = defaultdict(set)
+    for out in neardup._deal(leaf)([batch]):
+        for node, doc in zip(*(c.to_pylist() for c in out.columns)):
+            held[node].add(doc)
+    met = {(a, b) for docs in held.values() for a in docs for b in docs if a < b}
+    assert met >= {(a, b) for a in range(rest) for b in range(a + 1, n)}
+    assert max(map(len, held.values()), default=0) <= 3 * leaf
+    if not rest:
+        assert not held
+
+
+def test_parts_of_linked_rows():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 200, (2, 120))
+    want = components({i: {f"link{k}" for k in range(120) if i in (a[k], b[k])}
+                       for i in range(200)}, 0, 1)
+    assert neardup.linked_parts(200, a, b).tolist() == [want[i] for i in range(200)]
+
+
 def test_pairs_with_low_estimates_are_linked(spark):
     rows = []
     for n in range(20_000):  # 34 shared shingles of 40
