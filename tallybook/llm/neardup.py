@@ -10,10 +10,10 @@ similar form a cluster, and a cluster's links are confirmed on the full sets.
 A node with more is dealt to chunks, a row per document; some
 ``REPRESENTATIVES`` of its documents stand in every chunk. The links confirmed there
 make parts, and two documents of one part need not meet again. What is left of
-a node beside its largest part, the rest, goes on branching; where that is not
-worth it (up to ``MANY`` leaves) or at ``DEPTH``, it is dealt to leaves so that
-each two documents of the rest, and each of the rest and each of the part, still
-meet in one. So a tight group costs rows in proportion to its size, and no link
+a node beside its largest part, the rest, goes on branching, for unlike documents
+soon part; a rest of up to two leaves, one of up to ``MANY`` after ``TRIES`` levels
+and any at ``DEPTH`` is dealt to leaves so that each two documents of the rest, and
+each of the rest and each of the part, still meet in one. So a tight group costs rows in proportion to its size, and no link
 between different parts is lost. Only links that join two parts of a cluster
 are written.
 
@@ -50,6 +50,7 @@ BRANCHES = 2
 POSITIONS = 64
 LEAF = 512
 MANY = 16
+TRIES = 3
 DEPTH = 8
 REPRESENTATIVES = 32
 SET_BYTES = 64 << 20  # of shingles in one batch
@@ -187,7 +188,7 @@ def _deal(leaf):
             node = batch.column("node").to_numpy().view(U64)
             doc = batch.column("doc_id").to_numpy()
             joined = batch.column("joined").to_numpy(zero_copy_only=False)
-            rest_blocks = -(-batch.column("n_rest").to_numpy() // max(leaf // 2, 1))
+            rest_blocks = -(-batch.column("n_rest").to_numpy() // leaf)
             part_blocks = -(-batch.column("n_part").to_numpy() // leaf)
             blocks = np.where(joined, part_blocks, rest_blocks)
             own = (mix(doc.view(U64)) % np.maximum(blocks, 1).astype(U64)).astype(np.int64)
@@ -416,7 +417,8 @@ def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold:
             parts = stage(components(links).select(
                 F.col("node").alias("doc_id"), F.col("component").alias("part")), "parts")
             split = _against_parts(large, parts)
-        ends = F.lit(level == DEPTH) | (F.col("n_rest") <= MANY * leaf)
+        ends = F.lit(level == DEPTH) | (
+            F.col("n_rest") <= (2 if level < TRIES else MANY) * leaf)
         leaves = leaves.union(split.where(ends).drop("n").mapInArrow(
             _deal(leaf), "node long, doc_id long"))
         further = split.where(~ends)
