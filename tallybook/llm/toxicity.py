@@ -1,37 +1,41 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams, borders included; the mean of their
-embeddings goes into a two-class softmax, and a text is toxic unless all its
-words are not: P = 1 - product(1 - P(word)). Embeddings and softmax are trained
-jointly in numpy on the text labels, so misspellings never seen share the
-n-gram vectors of those seen. For scoring, embeddings and softmax fold into
-one number per n-gram.
-
-The model is fitted on a bounded sample: up to ``SAMPLE_ROWS`` labelled texts of
-each class outside the held-out fold, chosen by a hash of the id, of at most
-``SAMPLE_CHARS`` characters each. Every whole text is scored. Null and empty
-texts have no words and score 0. Rows with a null label are not learned from;
-without texts of both classes every score is 0, or 1 if all are toxic.
+A word is the bag of its character n-grams, borders included, embedded as the
+mean of their vectors and put into a two-class softmax. A text is the average of
+its words, taken of their odds: p / (1 - p) = mean over words of p(word) / (1 -
+p(word)). A mean of vectors loses one toxic word among a hundred others; the mean
+of odds does not, and like it does not grow with the length of a text. Vectors
+and softmax are trained jointly in numpy on the text labels, and misspellings
+never seen share the n-gram vectors of those seen. For scoring, vectors and
+softmax fold into one number per n-gram.
+
+The model is fitted on a bounded sample of whole texts outside the held-out fold:
+of each class the first in an order by a hash of the id, up to ``SAMPLE_ROWS``
+rows and ``SAMPLE_CHARS`` characters together; a text over a twentieth of that
+is not learned from. Every whole text is scored. Null and empty texts have no
+words and score 0. Rows with a null label are not learned from; without texts of
+both classes every score is 0, or 1 if all are toxic.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import ALNUM, LOWER, mix, pieces, ranges, stream, text_buffers
 
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 6_000_000
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIMENSIONS = 8
-ROUNDS = 100
+ROUNDS = 60
 RATE = 0.05
 DECAY = 1e-4
-START_BIAS = -7.0
+START_BIAS = -4.0
+LARGEST = 8.0  # of the logit of a word, so that a single one turns no text of 3,000
 SCORE_DIGITS = 9
 
 FOLDED = np.where(ALNUM, LOWER, 0x20).astype(np.uint8)
@@ -68,7 +72,7 @@ class Bags:
         return np.maximum(self.ends - self.starts + 3 - size, 0)
 
 
-def word_logits(bags: Bags, weight: np.ndarray, bias: float) -> np.ndarray:
+def word_weights(bags: Bags, weight: np.ndarray) -> np.ndarray:
     """The mean weight of each word's n-grams, from running sums over the text."""
     total = np.zeros(len(bags.starts))
     count = np.zeros(len(bags.starts), np.int64)
@@ -79,53 +83,77 @@ def word_logits(bags: Bags, weight: np.ndarray, bias: float) -> np.ndarray:
         lo = np.minimum(bags.starts - 1, len(bucket))
         total += np.where(own > 0, running[np.minimum(lo + own, len(bucket))] - running[lo], 0)
         count += own
-    return total / np.maximum(count, 1) + bias
+    return total / np.maximum(count, 1)
+
+
+def odds(logit: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(logit, -LARGEST, LARGEST))
 
 
 def text_scores(bags: Bags, weight: np.ndarray, bias: float) -> np.ndarray:
-    """1 - product over words of (1 - P(word)), per text."""
-    calm = np.concatenate([[0], np.cumsum(np.logaddexp(0, word_logits(bags, weight, bias)))])
-    return -np.expm1(-(calm[bags.first[1:]] - calm[bags.first[:-1]]))
+    """The mean odds of the words of each text, as a probability; 0 without words."""
+    total = np.concatenate([[0], np.cumsum(odds(word_weights(bags, weight) + bias))])
+    words = np.diff(bags.first)
+    mean = (total[bags.first[1:]] - total[bags.first[:-1]]) / np.maximum(words, 1)
+    return mean / (1 + mean)
+
+
+class Sample:
+    """Labelled texts as counts of spellings, and each spelling once as its n-grams."""
+
+    def __init__(self, texts: pa.Array, toxic: np.ndarray):
+        bags = Bags(*text_buffers(texts))
+        word_of, words = _distinct_words(bags)
+        self.toxic, self.n_texts, self.n_words = toxic, bags.n, len(words)
+        owner = np.repeat(np.arange(bags.n), np.diff(bags.first))
+        pair, times = np.unique(owner * (len(words) + 1) + word_of, return_counts=True)
+        self.text = (pair // (len(words) + 1)).astype(np.int32)
+        self.word = (pair % (len(words) + 1)).astype(np.int32)
+        self.part = times / np.maximum(np.diff(bags.first), 1)[self.text]  # of its text
+        size = (bags.ends - bags.starts)[words]
+        own = Bags(bags.text[ranges(bags.starts[words], size)],
+                   np.concatenate([[0], np.cumsum(size)]))
+        self.grams = []  # of each size, the buckets and the words they belong to
+        for size, bucket in own.buckets():
+            count = own.counts(size)
+            self.grams.append((bucket[ranges(own.starts - 1, count)].astype(np.int32),
+                               np.repeat(np.arange(self.n_words, dtype=np.int32), count)))
+        n_grams = sum(np.bincount(of, minlength=self.n_words) for _, of in self.grams)
+        self.share = 1 / np.maximum(n_grams, 1)
+
+    def forward(self, params):
+        """The odds of each spelling, and their mean in each text."""
+        weight = params["vectors"] @ (params["softmax"][:, 1] - params["softmax"][:, 0])
+        by_word = sum(np.bincount(of, weight[gram], self.n_words) for gram, of in self.grams)
+        by_word = odds(by_word * self.share + params["bias"][0])
+        return by_word, np.bincount(self.text, self.part * by_word[self.word], self.n_texts)
+
+    def slopes(self, params) -> dict:
+        """Of the mean cross-entropy by vectors, softmax and bias."""
+        by_word, mean = self.forward(params)
+        pull = (mean / (1 + mean) - self.toxic) / max(self.n_texts, 1) / np.maximum(mean, 1e-300)
+        slope = by_word * np.bincount(self.word, pull[self.text] * self.part, self.n_words)
+        by_word = slope * self.share
+        by_gram = sum(np.bincount(gram, by_word[of], 1 << BUCKET_BITS) for gram, of in self.grams)
+        turn = params["vectors"].T @ by_gram
+        direction = params["softmax"][:, 1] - params["softmax"][:, 0]
+        return {"vectors": by_gram[:, None] * direction,
+                "softmax": np.column_stack([-turn, turn]), "bias": slope.sum(keepdims=True)}
+
+
+def start(seed: int = 5) -> dict:
+    random = np.random.default_rng(seed)
+    return {"vectors": random.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)),
+            "softmax": random.normal(0, 1, (DIMENSIONS, 2)), "bias": np.array([START_BIAS])}
 
 
 def train(texts: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5):
     """(weight per n-gram bucket, bias) of the folded model."""
-    bags = Bags(*text_buffers(texts))
-    word_of, words = _distinct_words(bags)
-    owner = np.repeat(np.arange(bags.n), np.diff(bags.first))
-    pair, times = np.unique(owner * (len(words) + 1) + word_of, return_counts=True)
-    text = (pair // (len(words) + 1)).astype(np.int32)
-    word = (pair % (len(words) + 1)).astype(np.int32)
-    n_texts, n_words, n_buckets = bags.n, len(words), 1 << BUCKET_BITS
-    size = (bags.ends - bags.starts)[words]
-    own = Bags(bags.text[ranges(bags.starts[words], size)],
-               np.concatenate([[0], np.cumsum(size)]))  # each spelling once
-    del bags, owner, word_of, pair
-    grams = []  # of each size, the buckets and the words they belong to
-    for size, bucket in own.buckets():
-        count = own.counts(size)
-        grams.append((bucket[ranges(own.starts - 1, count)].astype(np.int32),
-                      np.repeat(np.arange(n_words, dtype=np.int32), count)))
-    share = 1 / np.maximum(sum(np.bincount(of, minlength=n_words) for _, of in grams), 1)
-    random = np.random.default_rng(seed)
-    params = {"vectors": random.normal(0, 0.1, (n_buckets, DIMENSIONS)),
-              "softmax": random.normal(0, 1, (DIMENSIONS, 2)), "bias": np.array([START_BIAS])}
+    sample, params = Sample(texts, toxic), start(seed)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     for step in range(1, rounds + 1):
-        direction = params["softmax"][:, 1] - params["softmax"][:, 0]
-        weight = params["vectors"] @ direction
-        logit = sum(np.bincount(of, weight[gram], n_words) for gram, of in grams)
-        logit = logit * share + params["bias"][0]
-        sure = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        calm = np.bincount(text, times * np.logaddexp(0, logit)[word], n_texts)
-        no = np.exp(-calm)
-        pull = np.where(toxic == 1, no / np.maximum(1 - no, 1e-9), -1.0)  # of log-likelihood
-        slope = -np.bincount(word, pull[text] * times, n_words) * sure / max(n_texts, 1)
-        spread = slope * share
-        by_gram = sum(np.bincount(gram, spread[of], n_buckets) for gram, of in grams)
-        turn = params["vectors"].T @ by_gram
-        slopes = {"vectors": by_gram[:, None] * direction + DECAY * params["vectors"],
-                  "softmax": np.column_stack([-turn, turn]), "bias": slope.sum(keepdims=True)}
+        slopes = sample.slopes(params)
+        slopes["vectors"] += DECAY * params["vectors"]
         for name, g in slopes.items():
             first, second = state[name]
             first += 0.1 * (g - first)
@@ -151,15 +179,26 @@ def _distinct_words(bags: Bags):
 
 def training_texts(docs: DataFrame, labels: DataFrame, folds: int = 5,
                    rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
-    """The bounded sample: texts and labels, chosen by a hash of the id."""
+    """The bounded sample: whole texts and labels, chosen by a hash of the id."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
                           & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0))
     chosen = [usable.where(F.col("toxic") == y).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         for y in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * rows short rows
-    return (docs.select("doc_id", "text").where(F.length("text") <= chars).join(ids, "doc_id")
-            .orderBy("doc_id", "toxic", "text").limit(2 * rows).toArrow())
+    texts = docs.select("doc_id", "text").where(F.length("text") <= chars // 20).join(ids, "doc_id")
+    place = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    sizes = texts.select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"),
+                         F.length("text").alias("size"))
+    in_order = Window.partitionBy("toxic").orderBy(
+        F.xxhash64("doc_id"), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = (sizes.groupBy("doc_id", "toxic", "text_hash").agg(F.max("size").alias("size"))
+               .withColumn("total", F.sum("size").over(in_order))
+               .where(F.col("total") <= chars).select("doc_id", "toxic", "text_hash"))
+    return (texts.dropDuplicates(["doc_id", "text"])
+            .withColumn("text_hash", F.xxhash64("text"))
+            .join(F.broadcast(fitting), ["doc_id", "toxic", "text_hash"])
+            .orderBy(*place).limit(2 * rows).select("doc_id", "text", "toxic").toArrow())
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5):
