@@ -208,16 +208,18 @@ def apply_mapping(sheets: DataFrame, columns: DataFrame, *,
 def sheet_status(files: DataFrame, headers: DataFrame, records: DataFrame) -> DataFrame:
     """Per file: ok, or why it gives no records, and how many it gives.
 
-    ``files`` has (source_file, encoding) and may have ``supported``.
+    ``files`` has (source_file, encoding) and may have ``supported`` and ``left_out``.
     """
     counts = records.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
     found = headers.select("source_file", F.lit(True).alias("has_header"))
     unread = F.col("encoding").isNull()
     refused = F.col("supported") == F.lit(False) if "supported" in files.columns else F.lit(False)
+    left_out = F.col("left_out") if "left_out" in files.columns else F.lit(None).cast("string")
     return (
         files.join(found, "source_file", "left").join(counts, "source_file", "left")
         .select("source_file",
-                F.when(refused, "unsupported_format").when(unread, "unreadable")
+                F.when(refused, "unsupported_format").when(left_out.isNotNull(), left_out)
+                .when(unread, "unreadable")
                 .when(F.col("has_header").isNull(), "no_header")
                 .when(F.col("n_rows").isNull(), "no_data").otherwise("ok").alias("status"),
                 F.coalesce("n_rows", F.lit(0)).alias("n_rows")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from decimal import Decimal
 
@@ -21,7 +21,7 @@ from ..operators.sheets import (apply_mapping, detect_headers, load_mapping, res
                                 save_mapping, sheet_status, suggest_mapping, validate_mapping)
 from ..rules import Rules
 from ..schemas import BUCKETS, MONEY, TO_SETTLE
-from ..session import materialize, sized_shuffles
+from ..session import counted, materialize, sized_shuffles
 from ..sources.audit import append_audit, append_audit_rows, audit_tail
 from ..sources.facts import co_located
 from ..sources.inbox import (content_hashes, inbox_totals, list_inbox, pending_files,
@@ -59,8 +59,15 @@ def scan(spark: SparkSession, folder: str, ledger: Ledger) -> DataFrame:
 
 
 def suggest(spark: SparkSession, folder: str) -> DataFrame:
-    """Suggested mapping of every file that shows a header."""
-    return suggest_mapping(detect_headers(read_sheets(spark, folder).sheets))
+    """Suggested mapping of every file; ``status`` says why one has none.
+
+    A file that shows a header has the status ``ok`` here, with data below or not.
+    """
+    scan_ = read_sheets(spark, folder)
+    headers = materialize(detect_headers(scan_.sheets), "headers")
+    shown = headers.select("source_file", F.lit(1).alias("n"))
+    return sheet_status(scan_.files, headers, shown).select("source_file", "status").join(
+        suggest_mapping(headers), "source_file", "left")
 
 
 def remember_mapping(spark: SparkSession, path: str, *, mapping: Mapping | str | None = None,
@@ -70,7 +77,7 @@ def remember_mapping(spark: SparkSession, path: str, *, mapping: Mapping | str |
     if mapping is None:
         if sheet_file is None:
             raise NoMapping("give a mapping or a sheet to take one from")
-        hint = suggest(spark, sheet_file).first()
+        hint = suggest(spark, sheet_file).filter(F.col("mapping").isNotNull()).first()
         if hint is None:
             raise NoMapping(f"no header found in {sheet_file}; give a mapping")
         mapping = {f: v.asDict() for f, v in hint["mapping"].items()}
@@ -305,15 +312,21 @@ class Imported:
     batch_id: str
     imported: int
     skipped: int
+    files: DataFrame | None = None  # of a folder: (source_file, status, n_rows)
 
 
 def import_history(records: DataFrame, ledger: Ledger, rules: Rules = Rules(), *,
                    default_status: str = "settled", imported_at: datetime | None = None,
                    audit_path: str | None = None) -> Imported:
-    """Append old records to the ledger. Importing twice adds them twice."""
+    """Append old records to the ledger. Importing twice adds them twice.
+
+    The records are read once: cleaned rows are staged, and the job that stages
+    them counts the unusable ones.
+    """
     at = imported_at or datetime.now()
     batch = f"import-{at:%Y%m%d%H%M%S}"
-    cleaned = history_entries(records, rules, default_status=default_status)
+    cleaned, seen = counted(history_entries(records, rules, default_status=default_status),
+                            "history", skipped=F.count_if(~F.col("kept")))
     files = with_file_seq(cleaned.select("source_file").distinct())
     entries = (
         salted_lookup(cleaned.filter("kept"), files, ["source_file"], spread_by=["row_no"])
@@ -322,20 +335,23 @@ def import_history(records: DataFrame, ledger: Ledger, rules: Rules = Rules(), *
         .withColumn("created_at", F.lit(at.isoformat(sep=" ", timespec="seconds"))
                     .cast("timestamp")))
     commit = ledger.append("import", batch, entries, at=at)
-    skipped = cleaned.filter(~F.col("kept")).count()
     if audit_path:
         counts = cleaned.groupBy("source_file").agg(
             F.count_if("kept").alias("imported"), F.count_if(~F.col("kept")).alias("skipped"))
         append_audit_rows(counts.select(F.lit(batch).alias("batch_id"), "source_file", "imported",
                                         "skipped"), audit_path, "ledger_imported", at=at)
-    return Imported(commit, batch, commit.n_entries, skipped)
+    return Imported(commit, batch, commit.n_entries, seen["skipped"])
 
 
 def import_folder(spark: SparkSession, folder: str, ledger: Ledger, mapping: Mapping | str,
                   rules: Rules = Rules(), **options) -> Imported:
-    """``import_history`` over the sheets of a folder, with an explicit mapping."""
+    """``import_history`` over the sheets of a folder, with an explicit mapping.
+
+    Files that give no records are not imported; ``files`` says why.
+    """
     found = folder_records(read_sheets(spark, folder), validate_mapping(mapping))
-    return import_history(found.records, ledger, rules, **options)
+    files = materialize(found.status, "outcomes")
+    return replace(import_history(found.records, ledger, rules, **options), files=files)
 
 
 # ------------------------------------------------------------ query, status

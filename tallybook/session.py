@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime SQL settings for reading GBK text: the charset itself, and U+FFFD in
 # place of an error for bytes that are not valid in it.
@@ -111,6 +111,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates over the rows collected by the job that writes them.
+
+    Tasks report with their part of the table, so one that is repeated counts once.
+    """
+    spark = df.sparkSession
+    path, seen = scratch_path(spark, name), Observation()
+    watched = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
+    watched.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
 # What Catalyst says of a relation whose size it does not know.
 UNKNOWN_BYTES = (1 << 63) - 1
 

@@ -8,11 +8,11 @@ import sys
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ledger import processed_lookup
+from .listing import FILE_FACTS, list_files
 from .tables import read_or_empty
 from .workbook import as_uri
 
@@ -24,11 +24,6 @@ LISTED = (".xlsx", ".csv", ".xls")
 READABLE = (".xlsx", ".csv")
 TEMP_PREFIX = "~$"
 
-# The layout of Spark's binaryFile source.
-FILE_FACTS = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
-    T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-
 OLD_FORMAT_WARNING = "old .xls format is not supported; save the file as .xlsx"
 
 # ``binaryFile`` loads a file whole, and no file above 2 GB at all. The digest is
@@ -45,7 +40,7 @@ def list_inbox(spark: SparkSession, folder: str) -> DataFrame:
     name = F.regexp_extract("path", r"[^/]+\z", 0)
     suffix = F.lower(F.regexp_extract(F.col("name"), r"(?s).(\.[^.]+)\z", 1))
     return (
-        read_or_empty(spark, folder, FILE_FACTS, "binaryFile")
+        list_files(spark, folder)
         .select("path", name.alias("name"), "length", "modificationTime")
         .withColumn("format", suffix)
         .filter(F.col("format").isin(*LISTED) & ~F.col("name").startswith(TEMP_PREFIX))
@@ -61,13 +56,26 @@ def content_hashes(spark: SparkSession, paths, *, whole_below: int = WHOLE_BELOW
 
     Spark loads and hashes files of up to ``whole_below`` bytes. A larger one is
     streamed through the same digest in chunks by one task: a digest is one
-    sequential pass by nature, and takes no memory to speak of.
+    sequential pass by nature, and takes no memory to speak of. So are the files
+    that Spark's sources leave out.
     """
-    listed = read_or_empty(spark, paths, FILE_FACTS, "binaryFile")
-    small = listed.filter(F.col("length") <= whole_below).select(
+    loaded = read_or_empty(spark, paths, FILE_FACTS, "binaryFile")
+    small = loaded.filter(F.col("length") <= whole_below).select(
         "path", F.sha2("content", 256).alias("sha256"))
-    large = listed.filter(F.col("length") > whole_below).select("path")
-    return small.unionByName(large.mapInArrow(_stream_hashes, "path string, sha256 string"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = list_files(spark, paths).filter(
+        (F.col("length") > whole_below) | left_out(F.col("path"), F.col("length"))).select("path")
+    return small.unionByName(rest.repartition(tasks, "path").mapInArrow(
+        _stream_hashes, "path string, sha256 string"))
+
+
+def left_out(path: Column, length: Column) -> Column:
+    """Whether Spark's file sources do not show a file."""
+    return (length == 0) | is_hidden(path)
+
+
+def is_hidden(path: Column) -> Column:
+    return path.rlike(r"/[_.][^/]*\z")
 
 
 def _stream_hashes(batches):

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import round_amount
@@ -102,17 +102,18 @@ class Ledger:
         where = f"{self.root}/{{}}/commit_seq={seq}"
         # Sorted inside each file and with a Bloom filter, so that a question
         # about one uid skips nearly all row groups; no shuffle for it.
-        entry_columns(entries).sortWithinPartitions("uid").write.mode("overwrite").option(
+        seen = Observation()
+        rows = entry_columns(entries).sortWithinPartitions("uid").observe(
+            seen, F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum("amount"), F.lit(0).cast(MONEY)).cast(MONEY).alias("s"))
+        rows.write.mode("overwrite").option(
             "parquet.bloom.filter.enabled#uid", "true").parquet(where.format("entries"))
         if processed is not None:
             processed.select("sha256", "filename", "batch_id", "processed_at").write.mode(
                 "overwrite").parquet(where.format("processed"))
         written = self.spark.read.schema(ENTRIES).parquet(where.format("entries"))
         self.fact_table.add(written.withColumn("commit_seq", F.lit(seq).cast("bigint")))
-        # count what was written, not what was meant to be
-        done = written.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum("amount"), F.lit(0).cast(MONEY)).cast(MONEY).alias("s")).first()
+        done = seen.get  # of the tasks whose files were committed, each once
         row = [(kind, batch_id, done["n"], done["s"], at)]
         self.spark.createDataFrame(row, COMMITS[1:]).coalesce(1).write.mode(
             "errorifexists").parquet(where.format("commits"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..schemas import SHEET
 from ..session import charset_settings, materialize
 from .delimited import read_delimited
-from .inbox import list_inbox
+from .inbox import is_hidden, list_inbox
 from .tables import empty_table
 from .workbook import ERROR_ROW, read_workbooks
 
+EMPTY, HIDDEN = "empty_file", "hidden_name"  # why a file is not opened
 CSV_GLOB = "*.[cC][sS][vV]"
 
 
@@ -25,8 +26,9 @@ class UnsupportedFormat(ValueError):
 class SheetScan:
     """``sheets`` is written once to the shared folder: text is parsed once and
     the header search, which filters on row_idx, skips most of the table.
-    ``files`` has (source_file, supported, encoding); a supported file without
-    an encoding could not be read."""
+    ``files`` has (source_file, supported, encoding, left_out); a supported file
+    without an encoding could not be read, and ``left_out`` says why one was not
+    opened at all."""
 
     sheets: DataFrame
     files: DataFrame
@@ -57,12 +59,15 @@ def _read_sheets(spark, folder, sheet, fail_on_unsupported) -> SheetScan:
         F.col("source_file"), F.lit(True).alias("broken"))
     files = listed.select(
         F.col("path").alias("source_file"), "supported",
-        F.when(F.col("format") == ".xlsx", "xlsx").alias("encoding"))
+        F.when(F.col("format") == ".xlsx", "xlsx").alias("encoding"),
+        F.when(F.col("length") == 0, EMPTY).when(is_hidden(F.col("path")), HIDDEN)
+        .alias("left_out"))
     if text is not None:
         known = materialize(text.files, "encodings").withColumnRenamed("encoding", "text_encoding")
         files = files.join(known, "source_file", "left").select(
-            "source_file", "supported", F.coalesce("encoding", "text_encoding").alias("encoding"))
+            "source_file", "supported", F.coalesce("encoding", "text_encoding").alias("encoding"),
+            "left_out")
     files = files.join(broken, "source_file", "left").select(
         "source_file", "supported",
-        F.when(F.col("broken").isNull(), F.col("encoding")).alias("encoding"))
+        F.when(F.col("broken").isNull(), F.col("encoding")).alias("encoding"), "left_out")
     return SheetScan(staged.filter(F.col("row_idx") != ERROR_ROW), files)

@@ -1,5 +1,6 @@
 """Facts kept per commit, the second look before paying, the newest lines of a long log."""
 
+import json
 import re
 from datetime import datetime
 from decimal import Decimal
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybook import reconcile
 from tallybook.operators.classify import attach_ledger, ledger_by_order
-from tallybook.plans.pipelines import apply_report, store_report
+from tallybook.plans.pipelines import apply_report, import_history, store_report
 from tallybook.schemas import TO_SETTLE
 from tallybook.sources.audit import append_audit, audit_tail, newest_lines
 from tallybook.sources.facts import co_located
@@ -148,3 +149,31 @@ def test_a_tail_opens_the_newest_files_only(spark, tmp_path):
     assert audit_tail(spark, str(path), 1000).count() == 300
     append_audit(spark, str(path), "last")
     assert audit_tail(spark, str(path), 1).first()["action"] == "last"
+
+
+def test_an_import_reads_its_records_once(spark, tmp_path):
+    """Counts come from the jobs that write; an empty import has counts too."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"f{i % 3}", i, str(i % 7) if i % 5 else None, "1.25") for i in range(1000)]
+    schema = "source_file string, row_no bigint, uid string, amount string"
+    records = spark.createDataFrame(rows, schema).repartition(4).mapInArrow(seen, schema)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    done = import_history(records, ledger, imported_at=datetime(2024, 1, 1),
+                          audit_path=str(tmp_path / "log"))
+    assert reads.value == 1000
+    assert (done.imported, done.skipped) == (800, 200)
+    assert done.commit.amount == Decimal("1000.00") and ledger.entries().count() == 800
+    events = [json.loads(r["detail"]) for r in audit_tail(spark, str(tmp_path / "log")).collect()]
+    assert {e["source_file"]: (e["imported"], e["skipped"]) for e in events} == {
+        f: (sum(r[0] == f and r[2] is not None for r in rows),
+            sum(r[0] == f and r[2] is None for r in rows)) for f in ("f0", "f1", "f2")}
+    for nothing in (records.limit(0), records.filter("uid is null")):
+        again = import_history(nothing, ledger, imported_at=datetime(2024, 1, 2))
+        assert again.imported == 0 and again.commit.amount == Decimal("0.00")
+    assert ledger.entries().count() == 800

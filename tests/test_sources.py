@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tallybook.operators.sheets import (apply_mapping, detect_headers, resolve_columns,
                                         sheet_status)
+from tallybook.plans.pipelines import folder_records
 from tallybook.sources.audit import append_audit, audit_tail
 from tallybook.sources.delimited import read_delimited
 from tallybook.sources.inbox import content_hashes, inbox_totals, pending_files, scan_inbox
 from tallybook.sources.ledger import Ledger
 from tallybook.sources.lines import count_blocks, number_lines, raw_lines
+from tallybook.sources.listing import FILE_FACTS, list_files
 from tallybook.sources.sheets import UnsupportedFormat, read_sheets
+from tallybook.sources.tables import read_or_empty
 from tallybook.sources.workbook import ERROR_ROW, read_workbooks
 from workload.xlsx import workbook_bytes
 
@@ -230,3 +233,43 @@ def test_audit_log(spark, tmp_path):
     (log / "audit.jsonl").write_text('{"ts": "1", "action": "a"}\nnot json\n\n{"ts": "2"}\n')
     got = audit_tail(spark, str(log), 3).collect()  # the blank line counts, then goes
     assert [(r["ts"], r["raw"]) for r in got] == [(None, "not json"), ("2", None)]
+
+
+def test_every_file_of_an_inbox_is_shown(spark, tmp_path):
+    inbox = tmp_path / "in box"
+    inbox.mkdir()
+    data = {"a.csv": b"uid,x\n", "empty.csv": b"", "_b.csv": b"b", ".c.xlsx": b"c", "e.xls": b"",
+            "~$t.csv": b"t", "notes.txt": b"n"}
+    for name, content in data.items():
+        (inbox / name).write_bytes(content)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    shown = {r["name"]: r for r in scan_inbox(spark, str(inbox), ledger.processed()).collect()}
+    assert set(shown) == {"a.csv", "empty.csv", "_b.csv", ".c.xlsx", "e.xls"}
+    for name in ("a.csv", "empty.csv", "_b.csv", ".c.xlsx"):
+        assert shown[name]["path"] == f"file:{inbox}/{name}"
+        assert shown[name]["sha256"] == hashlib.sha256(data[name]).hexdigest()
+    assert tuple(inbox_totals(scan_inbox(spark, str(inbox), ledger.processed())).first()) == (4, 4)
+    for day in ("1", "2"):
+        (tmp_path / "days" / f"day={day}").mkdir(parents=True)
+        (tmp_path / "days" / f"day={day}" / f"d{day}.csv").write_bytes(day.encode())
+    files = list_files(spark, str(tmp_path / "days"))
+    assert files.rdd.getNumPartitions() == 3  # a folder each
+    assert {(r["path"], r["sha256"]) for r in content_hashes(spark, str(tmp_path / "days")).collect()} == {
+        (f"file:{tmp_path}/days/day={d}/d{d}.csv", hashlib.sha256(d.encode()).hexdigest())
+        for d in ("1", "2")}
+    facts = read_or_empty(spark, str(inbox / "a.csv"), FILE_FACTS, "binaryFile").drop("content")
+    assert list_files(spark, str(inbox / "a.csv")).collect() == facts.select(*files.columns).collect()
+    assert list_files(spark, str(inbox / "*.csv")).count() == 2  # as Spark lists: a.csv, ~$t.csv
+    (tmp_path / "plain" / "below").mkdir(parents=True)
+    (tmp_path / "plain" / "below" / "f.csv").write_bytes(b"f")
+    assert list_files(spark, str(tmp_path / "plain")).count() == 0
+    assert list_files(spark, [str(inbox / "_b.csv"), str(inbox / "gone.csv")]).count() == 1
+
+
+def test_files_that_are_not_opened_have_an_outcome(spark, tmp_path):
+    for name, content in (("ok.csv", "uid,金额\n1,2\n"), ("none.csv", ""), ("_u.csv", "uid,金额\n1,2\n")):
+        (tmp_path / name).write_text(content)
+    found = folder_records(read_sheets(spark, str(tmp_path)), {"uid": "uid", "amount": "金额"})
+    assert {r["source_file"].rsplit("/", 1)[-1]: (r["status"], r["n_rows"])
+            for r in found.status.collect()} == {
+        "ok.csv": ("ok", 1), "none.csv": ("empty_file", 0), "_u.csv": ("hidden_name", 0)}

@@ -141,8 +141,12 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as inbox files that are good, lack a header or data, or cannot be read."""
-    p, kind = F.col("file_no"), F.col("file_no") % 5
+    """Pages as inbox files that are good, lack a header or data, or cannot be read.
+
+    Some are empty, some have names that Spark's own sources pass over, and some are
+    no inbox files at all.
+    """
+    p, kind = F.col("file_no"), F.col("file_no") % 9
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")),
                                      lambda i: F.concat(i.cast("string"), F.lit(",1.5\n"))), "")
     head = F.when(kind == 1, "remark,note\n").otherwise("uid,金额\n")
@@ -150,9 +154,10 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "pages")
             .groupBy(F.floor(F.col("page_id") / PAGES_PER_FILE).cast("bigint").alias("file_no"))
             .agg(lines.alias("lines"))
-            .select(F.concat(F.lpad(p.cast("string"), 8, "0"),
+            .select(F.concat(F.when(kind == 6, "_").when(kind == 7, ".").when(kind == 8, "~$")
+                             .otherwise(""), F.lpad(p.cast("string"), 8, "0"),
                              F.when(kind == 3, ".xls").otherwise(".csv")).alias("name"),
-                    F.when(kind == 2, bad).when(kind == 4, head.cast("binary")).otherwise(
+                    F.when(kind == 5, F.lit(bytearray())).when(kind == 2, bad).when(kind == 4, head.cast("binary")).otherwise(
                         F.concat(head, "lines").cast("binary")).alias("content")))
 
 

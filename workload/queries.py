@@ -399,12 +399,33 @@ def file_outcomes(spark, sf):
     """Every file of a folder with good and unusable ones, as the report lists it."""
     folder, path = _folder(spark, derive.mixed_files(spark, sf)), scratch_path(spark, "report")
     reconcile_folder(spark, folder, Ledger(spark, scratch_path(spark, "ledger")), path,
-                     mapping={"uid": "uid", "amount": "金额"}, run_at=RUN_AT)
+                     mapping=FILE_MAPPING, run_at=RUN_AT)
     files = spark.read.parquet(f"{path}/files")
     return files.select(F.regexp_extract("source_file", r"[^/]*\z", 0).alias("name"), "status",
                         "n_rows", "already_processed")
 
 
+FILE_MAPPING = {"uid": "uid", "amount": "金额"}
+
+
+def import_outcomes(spark, sf):
+    """What an import says of every file of such a folder."""
+    done = pipelines.import_folder(
+        spark, _folder(spark, derive.mixed_files(spark, sf)),
+        Ledger(spark, scratch_path(spark, "ledger")), FILE_MAPPING, imported_at=RUN_AT)
+    return done.files.select(F.regexp_extract("source_file", r"[^/]*\z", 0).alias("name"),
+                             "status", "n_rows", F.lit(done.imported).alias("imported"),
+                             F.lit(done.skipped).alias("skipped"))
+
+
+def suggest_outcomes(spark, sf):
+    """The suggested columns of every file of such a folder, or why it has none."""
+    found = pipelines.suggest(spark, _folder(spark, derive.mixed_files(spark, sf)))
+    return found.select(F.regexp_extract("source_file", r"[^/]*\z", 0).alias("name"), "status",
+                        *[F.try_element_at("mapping", F.lit(f))["column"].cast("bigint")
+                          .alias(f"{f}_column") for f in FILE_MAPPING])
+
+
 def status_overview(spark, sf):
     ledger = Ledger(spark, scratch_path(spark, "ledger"))
     ledger.append("import", "history", derive.events_book(spark, sf), at=RUN_AT,
@@ -525,6 +546,7 @@ QUERIES = {f"q_{f.__name__}": f for f in (
     reconcile_lineitem, payable_total, bucket_extract, report_roundtrip, report_roundtrip_json,
     report_summary, import_rows, import_counts, ledger_totals, ledger_query_uid, ledger_recent,
     apply_once, apply_force, apply_recheck, ledger_facts, audit_events, file_facts, processed_files, inbox_pending, file_outcomes,
+    import_outcomes, suggest_outcomes,
     status_overview,
     header_detect, mapping_suggest, mapping_apply, mapping_fixed, audit_tail, csv_inbox,
     workbook_inbox, inbox_stream)}

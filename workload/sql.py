@@ -267,6 +267,15 @@ def _round_sql(function: str) -> str:
 
 _ITEMS = f"WITH {_classified()} SELECT * FROM items"
 
+# Files of ten pages that are good, lack something, or are shown without being opened.
+_MIXED = """f AS (SELECT page_id // 10 AS n, count(*) AS pages FROM pages GROUP BY 1),
+    mixed AS (SELECT CASE n % 9 WHEN 6 THEN '_' WHEN 7 THEN '.' ELSE '' END
+        || lpad(n::VARCHAR, 8, '0') || CASE WHEN n % 9 = 3 THEN '.xls' ELSE '.csv' END AS name,
+      CASE n % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_header' WHEN 2 THEN 'unreadable'
+        WHEN 3 THEN 'unsupported_format' WHEN 4 THEN 'no_data' WHEN 5 THEN 'empty_file'
+        ELSE 'hidden_name' END AS status,
+      CASE WHEN n % 9 = 0 THEN pages ELSE 0 END AS n_rows FROM f WHERE n % 9 <> 8)"""
+
 ORACLES = {
     "q_uid_clean": f"WITH {_cleaned()} SELECT row_no, uid FROM cleaned",
     "q_uid_regex": f"""WITH {_cleaned()} SELECT row_no,
@@ -400,11 +409,14 @@ ORACLES = {
       round_even(length / 1024, 1) AS size_kb FROM scanned""",
     "q_processed_files": f"""WITH {_PAGES}
       SELECT name, sha256, processed, processed_batch, warning FROM scanned""",
-    "q_file_outcomes": """WITH f AS (SELECT page_id // 10 AS n, count(*) AS pages FROM pages GROUP BY 1)
-      SELECT lpad(n::VARCHAR, 8, '0') || CASE WHEN n % 5 = 3 THEN '.xls' ELSE '.csv' END AS name,
-        CASE n % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_header' WHEN 2 THEN 'unreadable'
-          WHEN 3 THEN 'unsupported_format' ELSE 'no_data' END AS status,
-        CASE WHEN n % 5 = 0 THEN pages ELSE 0 END AS n_rows, false AS already_processed FROM f""",
+    "q_file_outcomes": f"""WITH {_MIXED}
+      SELECT name, status, n_rows, false AS already_processed FROM mixed""",
+    "q_import_outcomes": f"""WITH {_MIXED}
+      SELECT name, status, n_rows, sum(n_rows) OVER ()::BIGINT AS imported, 0 AS skipped FROM mixed""",
+    "q_suggest_outcomes": f"""WITH {_MIXED}, s AS (
+      SELECT name, CASE status WHEN 'no_data' THEN 'ok' ELSE status END AS status FROM mixed)
+      SELECT name, status, CASE status WHEN 'ok' THEN 0 END AS uid_column,
+        CASE status WHEN 'ok' THEN 1 END AS amount_column FROM s""",
     "q_inbox_pending": f"""WITH {_PAGES} SELECT name, format FROM scanned
       WHERE format <> '.xls' AND NOT processed""",
     "q_status_overview": f"""WITH {BATCH}, {_PAGES},
