@@ -13,9 +13,11 @@ make parts, and two documents of one part need not meet again. What is left of
 a node beside its largest part, the rest, goes on branching, for unlike documents
 soon part; a rest of up to two leaves, one of up to ``MANY`` after ``TRIES`` levels
 and any at ``DEPTH`` is dealt to leaves so that each two documents of the rest, and
-each of the rest and each of the part, still meet in one. So a tight group costs rows in proportion to its size, and no link
-between different parts is lost. Only links that join two parts of a cluster
-are written.
+each of the rest and each of the part, still meet in one. So a tight group costs rows in
+proportion to its size, and no link between different parts is lost. Chunks only save
+rows, and reading the texts again for them costs more than a row per document: a level
+whose large nodes are branched or dealt with no more rows than there are documents
+leaves them out. Only links that join two parts of a cluster are written.
 
 A pair of similarity s shares a child of a node with probability
 1 - (1 - s) ** BRANCHES, about 0.98 at 0.85. The roots of the ``TREES`` trees pick
@@ -177,6 +179,12 @@ def _chunks(large: DataFrame, leaf: int) -> DataFrame:
         .select(F.xxhash64("node", "chunk").alias("node"), "doc_id"))
 
 
+def _times(leaf: int):
+    """How many leaves ``_deal`` puts a row into."""
+    return F.ceil(F.col("n_rest") / leaf) + F.when(F.col("joined"), 0).otherwise(
+        F.ceil(F.col("n_part") / leaf))
+
+
 def _deal(leaf):
     """Rows of large nodes to leaves named by pairs of blocks.
 
@@ -398,6 +406,7 @@ def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold:
     rows = leaders.select("doc_id", "signature").withColumn("node", F.explode(F.array(
         *[F.lit(node) for node in roots(docs.sparkSession, trees, branches)])))
     links = parts = leaves = None
+    total = leaders.count()
     for level in range(1, DEPTH + 1):
         children = stage(rows.select("node", "doc_id", "signature").mapInArrow(
             _branch(branches), "node long, doc_id long").distinct(), "nodes")
@@ -409,16 +418,17 @@ def similar_links(docs: DataFrame, leaders: DataFrame, shingle: int, threshold:
         if large.isEmpty():
             break
         split = _against_parts(large, parts)
+        ends = F.lit(level == DEPTH) | (
+            F.col("n_rest") <= (2 if level < TRIES else MANY) * leaf)
         loose = split.where(F.col("n_rest") > leaf)
-        if not loose.isEmpty():
+        cost = loose.agg(F.sum(F.when(ends, _times(leaf)).otherwise(branches))).first()[0] or 0
+        if cost > total:
             found = _confirmed_links(docs, leaders, parts, _chunks(loose, leaf), shingle,
                                      threshold)
             links = found if links is None else links.union(found)
             parts = stage(components(links).select(
                 F.col("node").alias("doc_id"), F.col("component").alias("part")), "parts")
             split = _against_parts(large, parts)
-        ends = F.lit(level == DEPTH) | (
-            F.col("n_rest") <= (2 if level < TRIES else MANY) * leaf)
         leaves = leaves.union(split.where(ends).drop("n").mapInArrow(
             _deal(leaf), "node long, doc_id long"))
         further = split.where(~ends)

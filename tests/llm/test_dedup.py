@@ -94,6 +94,23 @@ def test_leaf_rows_grow_with_a_group_of_near_copies_and_not_with_its_square(spar
     assert totals[1] < 2.6 * totals[0]
 
 
+def test_a_few_unlike_documents_of_large_nodes_are_not_compared_in_chunks(spark, monkeypatch):
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(n, " ".join(f"w{n}x{i}" for i in range(20))) for n in range(800)]
+    rows += [(n, line + " " + " ".join(f"w{n // 2}y{i}" for i in range(30)) + f" end{n}")
+             for n in range(1000, 1014)]  # pairs of near copies, which share a line
+    calls, large = [], []
+    confirm, against = neardup._confirmed_links, neardup._against_parts
+    monkeypatch.setattr(neardup, "_confirmed_links", lambda *a: calls.append(1) or confirm(*a))
+    monkeypatch.setattr(neardup, "_against_parts", lambda *a: large.append(1) or against(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id
+           for r in neardup.near_duplicates(docs, 3, (85, 100), leaf=4).collect()}
+    assert got == components({n: shingles(t, 3) for n, t in rows}, 85, 100)
+    assert got[1013] == 1012 and got[1011] == 1010
+    assert large and len(calls) == 1
+
+
 @pytest.mark.parametrize("rest, part", [(70, 0), (0, 90), (1, 200), (40, 200), (9, 5)])
 def test_all_but_pairs_of_the_part_meet_in_a_leaf(rest, part):
     n, leaf = rest + part, 16
@@ -168,6 +185,17 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert len(got) == 81
 
 
+def test_components_of_repeated_links(spark):
+    rng = np.random.default_rng(5)
+    edges = rng.integers(0, 300, (220, 2)).tolist() * 3 + [(n, 400 + n % 3) for n in range(50)]
+    frame = spark.createDataFrame([tuple(e) for e in edges], "a long, b long").repartition(7)
+    got = graph.components(frame).collect()
+    used = {n for e in edges if e[0] != e[1] for n in e}
+    want = neardup.linked_parts(500, *np.array(edges).T).tolist()
+    assert len(got) == len(used)
+    assert {r.node: r.component for r in got} == {n: want[n] for n in used}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     pool = [f"x{i}" for i in range(1200)]
