@@ -8,7 +8,8 @@ An id is coded as which of the predictions holds: the id that last followed the
 two ids before it (order 2), the one that last followed the id before it (order
 1), or neither; then it follows by its order-0 share, which the header states.
 How far the orders are trusted is learned per state of both predictions, which
-mixes the three into one distribution that changes with every id.
+mixes the three into one distribution that changes with every id. Its shares sum
+to ``TOTAL``, so a range is narrowed once per id, by shifts and products.
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ import numpy as np
 BLOCK_IDS = 1024
 ORDER1, ORDER2 = 1 << 8, 1 << 9
 STATES = 32
-FLAG_GAIN, FLAG_LIMIT = 24, 1 << 12
 SHARES = 1 << 16  # order-0 shares sum to this
-MAGIC = b"TKID2\n"
+FLAGS = 1 << 14  # the shares of order 2, of order 1 and of neither sum to this
+RATE = 5  # a bound moves by 1 / 2 ** RATE of its way
+LEAST = 2 << RATE  # keeps each of the three shares above 0
+TOTAL_BITS = 30
+TOTAL = LOW = FLAGS * SHARES  # a range of at least this width can part any two ids
+FIRST_BOUNDS = np.full(STATES, FLAGS // 3 << 16 | 2 * FLAGS // 3, np.int32)
+MAGIC = b"TKID3\n"
 
 
 class Shares:
@@ -32,11 +38,11 @@ class Shares:
     def __init__(self, ids: np.ndarray, share: np.ndarray):
         self.ids, self.share = ids, share
         ends = np.cumsum(share)
-        self.below = np.zeros(1 << 16, np.int64)
+        self.below = np.zeros(1 << 16, np.int32)
         self.below[ids] = ends - share
-        self.width = np.zeros(1 << 16, np.int64)
+        self.width = np.zeros(1 << 16, np.int32)
         self.width[ids] = share
-        self.at = np.repeat(ids, share)
+        self.at = np.repeat(ids.astype(np.int32), share)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Shares:
@@ -61,123 +67,151 @@ class Shares:
                    np.frombuffer(raw, "<u2", n, 4 + 2 * n).astype(np.int64) + 1)
 
 
+def put(value: int, where: np.ndarray, other) -> np.ndarray:
+    """``value``, and ``other`` where that holds; ``np.where`` takes several times as long."""
+    out = np.full(len(where), value, np.int32)
+    np.copyto(out, other, where=where)
+    return out
+
+
 class Model:
-    """The adaptive state of n lanes, in flat tables; slots are flat positions."""
+    """The adaptive state of n lanes, in flat tables; slots are flat positions.
+
+    A guess is an id times four plus its trust, 0 to 3. ``bounds`` holds for each state
+    of both guesses where the shares of order 2 and of order 1 end, out of ``FLAGS``;
+    they move by a part of the way to what came, so the shares always sum to ``FLAGS``.
+    """
 
     def __init__(self, n: int):
         row = np.arange(n)
         self.base2, self.base1 = row * ORDER2, row * ORDER1
         self.base_flag = row * STATES
         self.guess2, self.guess1 = np.zeros(n * ORDER2, np.int32), np.zeros(n * ORDER1, np.int32)
-        self.flags = np.ones((3, n * STATES), np.int32)
+        self.bounds = np.tile(FIRST_BOUNDS, n)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def predict(self, n: int):
-        """Slots, and guesses with their trust: an id times four, plus 0 to 3."""
-        last = self.last[:n]
-        slot2 = ((last * 40503 + self.before[:n] * 30011) >> 3 & (ORDER2 - 1)) + self.base2[:n]
-        slot1 = ((last * 40503) >> 5 & (ORDER1 - 1)) + self.base1[:n]
+        """Slots, guesses with their trust, the ids guessed, and the bounds of their shares."""
+        last = self.last[:n] * 40503
+        slot2 = ((last + self.before[:n] * 30011) >> 3 & (ORDER2 - 1)) + self.base2[:n]
+        slot1 = (last >> 5 & (ORDER1 - 1)) + self.base1[:n]
         held2, held1 = self.guess2.take(slot2), self.guess1.take(slot1)
         two, one = held2 >> 2, held1 >> 2
-        state = ((held2 & 3) << 3 | (held1 & 3) << 1 | (two == one)) + self.base_flag[:n]
-        return slot2, slot1, held2, held1, two, one, state
-
-    def odds(self, state):
-        first, second, third = self.flags.take(state, axis=1)
-        second += first
-        return first, second, second + third
-
-    def learn(self, n, seen, flag, total, ids):
-        slot2, slot1, held2, held1, two, one, state = seen
-        self.flags.reshape(-1)[flag * self.flags.shape[1] + state] += FLAG_GAIN
-        full = state[total > FLAG_LIMIT]
-        if len(full):
-            self.flags[:, full] = (self.flags[:, full] + 1) >> 1
-        for table, slot, held, guess in ((self.guess2, slot2, held2, two),
-                                         (self.guess1, slot1, held1, one)):
-            trust = held & 3
-            table[slot] = np.where(guess == ids, held + (trust < 3),
-                                   np.where(trust > 0, held - 1, ids << 2))
+        trust2, trust1 = held2 & 3, held1 & 3
+        state = (trust2 << 3 | trust1 << 1 | (two == one)) + self.base_flag[:n]
+        bounds = self.bounds.take(state)
+        return (slot2, slot1, held2, held1, two, one, trust2, trust1, state,
+                bounds >> 16, bounds & 0xFFFF)
+
+    def learn(self, n, seen, hit2, hit1, ids):
+        slot2, slot1, held2, held1, two, one, trust2, trust1, state, first, second = seen
+        first_end, second_end = put(LEAST, hit2, FLAGS - 2 * LEAST), put(
+            2 * LEAST, hit2 | hit1, FLAGS - LEAST)
+        first = first + ((first_end - first) >> RATE)
+        second = second + ((second_end - second) >> RATE)
+        self.bounds[state] = first << 16 | second
+        fresh = ids << 2
+        for table, slot, held, trust, hit in ((self.guess2, slot2, held2, trust2, hit2),
+                                              (self.guess1, slot1, held1, trust1, hit1)):
+            now = held - 1
+            np.copyto(now, fresh, where=trust == 0)
+            np.copyto(now, np.minimum(held + 1, held | 3), where=hit)
+            table[slot] = now
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
+def interval(hit2, hit1, first, second, below, share):
+    """Where an id lies in 0..TOTAL, and its width there; a literal takes its order-0 share.
+
+    The arrays of order-0 shares are written to.
+    """
+    lo, hi = second.astype(np.int64), put(FLAGS, hit1, second)
+    np.copyto(lo, first, where=hit1)
+    np.copyto(lo, 0, where=hit2)
+    np.copyto(hi, first, where=hit2)
+    span, guessed = hi - lo, hit2 | hit1
+    np.copyto(below, 0, where=guessed)
+    np.copyto(share, SHARES, where=guessed)
+    return (lo << 16) + span * below, span * share
+
+
 class Encoder:
+    """Ranges of 62 bits, of which the top 32 are given out once they are settled.
+
+    A 33rd bit is a carry, which is settled at the end.
+    """
+
     def __init__(self, n: int, steps: int):
-        self.lane = np.arange(n)
         self.start = np.zeros(n, np.int64)
-        self.width = np.full(n, 0xFFFFFFFF, np.int64)
-        self.words = np.zeros((n, 2 * steps + 4), np.int32)
+        self.width = np.full(n, (1 << 62) - 1, np.int64)
+        self.words = np.zeros((steps + 2, n), np.int64)  # lanes use about as many
         self.used = np.zeros(n, np.int64)
 
-    def put(self, rows, below, share, total):
-        """Narrow the lanes' ranges to counts [below, below + share) of total."""
-        width = self.width[rows]
-        unit = width // total if isinstance(total, np.ndarray) else width >> 16
-        start = self.start[rows] + unit * below
-        width = unit * share
-        thin = np.flatnonzero(width < 0x10000)
-        if len(thin):  # give out the top 16 bits; a 17th is a carry, settled at the end
-            at = self.lane[rows][thin]
-            top = start[thin]
-            used = self.used[at]
-            self.words[at, used] = top >> 16
-            self.used[at] = used + 1
-            start[thin] = (top & 0xFFFF) << 16
-            width[thin] <<= 16
-        self.start[rows], self.width[rows] = start, width
+    def put(self, n, below, share):
+        """Narrow the first n lanes' ranges to [below, below + share) of TOTAL."""
+        unit = self.width[:n] >> TOTAL_BITS
+        start, width = self.start[:n], self.width[:n]
+        start += unit * below
+        np.multiply(unit, share, out=width)
+        thin = np.flatnonzero(width < LOW)
+        if len(thin):
+            top, used = start[thin], self.used[thin]
+            self.words[used, thin] = top >> TOTAL_BITS
+            self.used[thin] = used + 1
+            start[thin] = (top & (LOW - 1)) << 32
+            width[thin] <<= 32
 
     def finish(self) -> list[bytes]:
-        for shift in (16, 0):
-            word = self.start >> shift
-            self.words[self.lane, self.used] = word if shift else word & 0xFFFF
-            self.used += 1
-        words = np.ascontiguousarray(self.words.T)
-        for at in range(int(self.used.max(initial=0)) - 1, 0, -1):
-            words[at - 1] += words[at] >> 16
-            words[at] &= 0xFFFF
-        flat = np.ascontiguousarray(words.T).astype("<u2")
+        lane = np.arange(len(self.used))
+        # a range holds a number that ends in 30 zeros
+        self.words[self.used, lane] = (self.start + LOW - 1) >> TOTAL_BITS
+        self.used += 1
+        words = self.words[:int(self.used.max(initial=0))]
+        for at in range(len(words) - 1, 0, -1):
+            words[at - 1] += words[at] >> 32
+            words[at] &= 0xFFFFFFFF
+        flat = np.ascontiguousarray(words.T).astype("<u4")
         return [flat[i, :k].tobytes() for i, k in enumerate(self.used.tolist())]
 
 
 class Decoder:
     def __init__(self, payloads: list[bytes]):
-        size = [len(p) // 2 for p in payloads]
-        self.lane = np.arange(len(payloads))
-        self.words = np.zeros((len(payloads), max(size, default=0) + 2), np.uint16)
+        size = [len(p) // 4 for p in payloads]
+        words = np.zeros((len(payloads), max(size, default=0) + 3), np.uint32)
         for i, p in enumerate(payloads):
-            self.words[i, :size[i]] = np.frombuffer(p, "<u2")
-        self.value = self.words[:, 0].astype(np.int64) << 16 | self.words[:, 1]
-        self.width = np.full(len(payloads), 0xFFFFFFFF, np.int64)
-        self.used = np.full(len(payloads), 2)
-
-    def peek(self, rows, total):
-        """Where in 0..total the next symbol lies, and the width of one count."""
-        width = self.width[rows]
-        if isinstance(total, np.ndarray):
-            unit = width // total
-        else:
-            unit = width >> 16
-        return np.minimum(self.value[rows] // unit, total - 1), unit
-
-    def take(self, rows, unit, below, share):
-        value = self.value[rows] - unit * below
-        width = unit * share
-        thin = np.flatnonzero(width < 0x10000)
+            words[i, :size[i]] = np.frombuffer(p, "<u4", size[i])
+        words = words.T.astype(np.int64, order="C")
+        self.value = words[0] << 30 | words[1] >> 2
+        self.width = np.full(len(payloads), (1 << 62) - 1, np.int64)
+        # what follows the first 62 bits, in words of 32
+        self.words = (words[1:-1] & 3) << 30 | words[2:] >> 2
+        self.used = np.zeros(len(payloads), np.int64)
+
+    def peek(self, n):
+        """Where in 0..TOTAL the next id lies."""
+        self.unit = self.width[:n] >> TOTAL_BITS
+        return np.minimum(self.value[:n].view(np.uint64) // self.unit.view(np.uint64),
+                          np.uint64(TOTAL - 1)).view(np.int64)
+
+    def take(self, n, below, share):
+        value, width = self.value[:n], self.width[:n]
+        value -= self.unit * below
+        np.multiply(self.unit, share, out=width)
+        thin = np.flatnonzero(width < LOW)
         if len(thin):
-            at = self.lane[rows][thin]
-            used = self.used[at]
-            value[thin] = value[thin] << 16 | self.words[at, used]
-            width[thin] <<= 16
-            self.used[at] = used + 1
-        self.value[rows], self.width[rows] = value, width
+            used = self.used[thin]
+            value[thin] = value[thin] << 32 | self.words[np.minimum(
+                used, len(self.words) - 1), thin]
+            width[thin] <<= 32
+            self.used[thin] = used + 1
 
 
 def encode_blocks(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
     """Payloads of blocks, given longest first."""
     size = np.array([len(b) for b in blocks])
     steps = int(size.max(initial=0))
-    ids = np.zeros((steps, len(blocks)), np.int64)
+    ids = np.zeros((steps, len(blocks)), np.int32)
     for i, b in enumerate(blocks):
         ids[:len(b), i] = b
     model, coder = Model(len(blocks)), Encoder(len(blocks), steps)
@@ -185,38 +219,33 @@ def encode_blocks(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
         n = len(size) if t < size[-1] else int((size > t).sum())
         now = ids[t, :n]
         seen = model.predict(n)
-        flag = np.where(seen[4] == now, 0, np.where(seen[5] == now, 1, 2))
-        first, second, total = model.odds(seen[6])
-        below = np.where(flag == 2, second, first * flag)
-        upto = np.where(flag == 2, total, np.where(flag == 1, second, first))
-        coder.put(slice(0, n), below, upto - below, total)
-        rows = np.flatnonzero(flag == 2)
-        literal = now[rows]
-        coder.put(rows, shares.below.take(literal), shares.width.take(literal), SHARES)
-        model.learn(n, seen, flag, total, now)
+        hit2, hit1 = seen[4] == now, seen[5] == now
+        coder.put(n, *interval(hit2, hit1, seen[9], seen[10], shares.below.take(now),
+                               shares.width.take(now)))
+        model.learn(n, seen, hit2, hit1, now)
     return coder.finish()
 
 
 def decode_blocks(payloads: list[bytes], size: np.ndarray, shares: Shares) -> list[np.ndarray]:
     steps = int(size.max(initial=0))
-    ids = np.zeros((steps, len(payloads)), np.int64)
+    ids = np.zeros((steps, len(payloads)), np.int32)
     model, coder = Model(len(payloads)), Decoder(payloads)
     for t in range(steps):
         n = len(size) if t < size[-1] else int((size > t).sum())
         seen = model.predict(n)
-        first, second, total = model.odds(seen[6])
-        at, unit = coder.peek(slice(0, n), total)
-        flag = (at >= first).astype(np.int64) + (at >= second)
-        below = np.where(flag == 2, second, first * flag)
-        upto = np.where(flag == 2, total, np.where(flag == 1, second, first))
-        coder.take(slice(0, n), unit, below, upto - below)
-        now = np.where(flag == 0, seen[4], seen[5])
-        rows = np.flatnonzero(flag == 2)
-        at, unit = coder.peek(rows, SHARES)
-        literal = shares.at.take(at)
-        coder.take(rows, unit, shares.below.take(literal), shares.width.take(literal))
-        now[rows] = literal
-        model.learn(n, seen, flag, total, now)
+        two, one, first, second = seen[4], seen[5], seen[9], seen[10]
+        at = coder.peek(n)
+        flag = at >> 16
+        order2, order1 = flag < first, flag < second
+        # exact: whole numbers below 2 ** 30 by some below 2 ** 14
+        literal = shares.at.take(((at - (second.astype(np.int64) << 16)) / (FLAGS - second))
+                                 .astype(np.int64), mode="clip")
+        now = literal.copy()
+        np.copyto(now, one, where=order1)
+        np.copyto(now, two, where=order2)
+        coder.take(n, *interval(order2, order1, first, second, shares.below.take(literal),
+                                shares.width.take(literal)))
+        model.learn(n, seen, two == now, one == now, now)
         ids[t, :n] = now
     by_block = np.ascontiguousarray(ids.T)
     return [by_block[i, :k] for i, k in enumerate(size.tolist())]

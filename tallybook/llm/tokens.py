@@ -27,10 +27,11 @@ from .idcoder import decode_frame, encode_frame
 from .words import LOWER, NOT_SPACE, Words, pieces, ranges, text_buffers
 
 END_ID = 2
-FRAME_IDS = 2 << 20
+FRAME_IDS = 8 << 20
 SHARD_ROWS = 4096
 MAX_SHARDS = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000  # of a Python worker, about 40 bytes each
+QUICK_BITS = 20
 
 TOKENS = "shard int, doc_id long, ids binary"
 FRAMES = ("shard int, frame int, n_ids long, doc_ids array<long>, doc_sizes array<long>, "
@@ -45,6 +46,12 @@ PLAIN = np.zeros(256, bool)
 PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+# Byte-level tokenizers write a byte as this sign.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
+del BYTE_SIGNS[0x20]  # it parts words here
+
+
 class WordTokenizer:
     """Whole texts to ids, each spelling encoded once for many texts.
 
@@ -52,8 +59,10 @@ class WordTokenizer:
     from signs, the ids of a text are those of its words one after the other,
     and those of a word are those of its stem and of the signs that trail it.
     ``by_word`` probes that; for other tokenizers whole texts are encoded.
-    Spellings of letters alone are encoded many in one text, and parted where a
-    token ends a word.
+    Spellings of letters below U+0100 alone go to the tokenizer's model, in lower case and
+    with signs for bytes, where ``by_model`` finds that nothing else is done to them. Others of letters alone are
+    encoded many in one text, and parted where a token ends a word. Most words are found in a table with a place for each leading
+    ``QUICK_BITS`` of a code; what is not there is looked up in the sorted codes.
     """
 
     TOGETHER = 2000
@@ -61,7 +70,9 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.by_word = self.parts_words()
+        self.by_model = self.models_words()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -70,9 +81,11 @@ class WordTokenizer:
     def clear(self):
         # sorted codes of known spellings, ended by one that no slot is asked for
         self.known = np.array([(1 << 64) - 1], np.uint64)
-        self.slots = np.zeros(1, np.int64)
+        self.slots = np.zeros(1, np.int32)
         self.first = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+        self.quick = np.full(1 << QUICK_BITS, (1 << 64) - 1, np.uint64)
+        self.quick_slots = np.zeros(1 << QUICK_BITS, np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,14 +95,41 @@ class WordTokenizer:
         parts = "don't stop , it 's 12 . \u00e9t\u00e9 !? <|x|> a\u0301 b ***".split()
         return self.encode([probe])[0] == [i for p in self.encode(parts) for i in p]
 
+    def models_words(self) -> bool:
+        probe = ["Don", "stop", "s", "T", "unBelievableness", "zxqjv", "ll", "ofonstndble",
+                 "internationalization" * 3]
+        latin = "".join(c for c in map(chr, range(0x80, 0x100)) if c.isalpha())
+        probe += [*latin, latin, "Stra\u00dfe", "\u00c9l\u00e8ve", "d\u00e9j\u00e0"]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        rows = self.encode(probe)
+        return not any(t.isalpha() for t in added) and self.model_ids(probe) == (
+            [i for r in rows for i in r], [len(r) for r in rows])
+
+    def model_ids(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids of all words, number of ids of each): words of letters below U+0100."""
+        shown = " ".join(words).lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids, size, tokenize = [], [], self.model.tokenize
+        for word in shown.split(" "):
+            tokens = tokenize(word)
+            ids += [t.id for t in tokens]
+            size.append(len(tokens))
+        return ids, size
+
     def spellings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
         ids, size = [], np.zeros(len(words), np.int64)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        other = [i for i, w in enumerate(words) if not w.isalpha()]
+        letters = np.array([w.isalpha() for w in words])
+        simple = letters & self.by_model & np.array(
+            [w.isascii() or max(w) < "\u0100" for w in words])
+        plain = np.flatnonzero(letters & ~simple).tolist()
+        other = np.flatnonzero(~letters).tolist()
+        simple = np.flatnonzero(simple).tolist()
+        if simple:
+            row, size[simple] = self.model_ids([words[i] for i in simple])
+            ids.append((simple, np.array(row, np.int32)))
         for lo in range(0, len(plain), self.TOGETHER):
             part = plain[lo:lo + self.TOGETHER]
-            row = np.array(self.encode([" ".join([words[i] for i in part])])[0], np.int64)
+            row = np.array(self.encode([" ".join([words[i] for i in part])])[0], np.int32)
             stops = np.flatnonzero(self.ends[row]) + 1
             if len(stops) != len(part) or (len(row) and stops[-1] != len(row)):
                 other.extend(part)
@@ -99,13 +139,29 @@ class WordTokenizer:
         if other:
             rows = self.encode([words[i] for i in other])
             size[other] = [len(r) for r in rows]
-            ids.append((other, np.array([i for r in rows for i in r], np.int64)))
+            ids.append((other, np.array([i for r in rows for i in r], np.int32)))
         first = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
+        out = np.empty(int(size.sum()), np.int32)
         for part, row in ids:
             out[ranges(first[part], size[part])] = row
         return out, size
 
+    def known_slots(self, parts: Words, spelled: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Slots of sorted codes, which stand at these places; new ones are encoded."""
+        at = np.searchsorted(self.known, spelled)
+        slots = self.slots.take(np.minimum(at, len(self.slots) - 1))
+        new = np.flatnonzero(self.known.take(np.minimum(at, len(self.known) - 1)) != spelled)
+        if len(new):
+            starts, ends = parts.starts[place[new]].tolist(), parts.ends[place[new]].tolist()
+            raw = parts.data.tobytes()
+            ids, size = self.spellings([raw[a:b].decode() for a, b in zip(starts, ends)])
+            slots[new] = len(self.first) - 1 + np.arange(len(new))
+            self.known = np.insert(self.known, at[new], spelled[new])
+            self.slots = np.insert(self.slots, at[new], slots[new])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, ids])
+        return slots
+
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text), without end ids."""
         if not self.by_word:
@@ -115,8 +171,12 @@ class WordTokenizer:
         words = Words(*text_buffers(column), NOT_SPACE)
         data = words.data
         # Where signs trail a plain letter or digit, they are a word of their own.
-        loose = np.concatenate([[0], np.flatnonzero(~TRAIL[data]) + 1])
-        stem = loose[np.searchsorted(loose, words.ends, "right") - 1]
+        stem = words.ends.copy()
+        signs = np.flatnonzero(TRAIL[data[stem - 1]])
+        while len(signs):
+            stem[signs] -= 1
+            signs = signs[stem[signs] > words.starts[signs]]
+            signs = signs[TRAIL[data[stem[signs] - 1]]]
         split = (stem > words.starts) & (stem < words.ends)
         split[split] = PLAIN[data[stem[split] - 1]]
         at = np.flatnonzero(split)
@@ -127,38 +187,37 @@ class WordTokenizer:
         parts.ends = np.insert(words.ends, at, stem[at])
         first = np.append(number, len(parts.starts))[words.first]
         codes = parts.hashes(LOWER)
-        order = np.argsort(codes)
-        fresh = np.ones(len(codes), bool)
-        fresh[1:] = codes[order[1:]] != codes[order[:-1]]
-        which = np.empty(len(codes), np.int64)
-        which[order] = np.cumsum(fresh) - 1
-        place = order[fresh]
-        spelled = codes[place]
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        at = np.searchsorted(self.known, spelled)
-        slots = self.slots.take(np.minimum(at, len(self.slots) - 1))
-        new = np.flatnonzero(self.known.take(np.minimum(at, len(self.known) - 1)) != spelled)
-        if len(new):
-            raw = data.tobytes()
-            starts, ends = parts.starts[place[new]].tolist(), parts.ends[place[new]].tolist()
-            ids, size = self.spellings([raw[a:b].decode() for a, b in zip(starts, ends)])
-            slots[new] = len(self.first) - 1 + np.arange(len(new))
-            self.known = np.insert(self.known, at[new], spelled[new])
-            self.slots = np.insert(self.slots, at[new], slots[new])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, ids])
-        slot = slots[which]
+        at = (codes >> np.uint64(64 - QUICK_BITS)).astype(np.int64)
+        slot = self.quick_slots.take(at)
+        rest = np.flatnonzero(self.quick.take(at) != codes)
+        if len(rest):
+            spelled, place, which = np.unique(codes[rest], return_index=True, return_inverse=True)
+            slots = self.known_slots(parts, spelled, rest[place])
+            slot[rest] = slots[which]
+            at = at[rest[place]]  # ascends, as the codes do
+            fresh = np.flatnonzero(np.diff(at, prepend=-1))
+            self.quick[at[fresh]], self.quick_slots[at[fresh]] = spelled[fresh], slots[fresh]
         size = self.first[slot + 1] - self.first[slot]
         ids = self.ids[ranges(self.first[slot], size)]
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, total[first]
 
 
+TOKENIZERS: dict[str, WordTokenizer] = {}  # of a Python worker, for all of its tasks
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    if path not in TOKENIZERS:
+        TOKENIZERS[path] = WordTokenizer(path)
+    return TOKENIZERS[path]
+
+
 def _tokenize(path, bounds, end_id, more=()):
     def run(batches):
         edges = np.array(bounds, np.int64)
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         for piece in pieces(batches):
             ids, first = tokenizer.texts(piece.column("text"))
             n = piece.num_rows
@@ -189,7 +248,7 @@ def _frames(frame_ids, more=()):
         shard, frame, docs, held, size, rest = None, 0, [], [], 0, []
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), "<u2").astype(np.int32)
             return pa.RecordBatch.from_pylist([{
                 "shard": shard, "frame": frame, "n_ids": len(ids), "doc_ids": docs,
                 "doc_sizes": [len(h) // 2 for h in held], "data": encode_frame(ids),

@@ -181,6 +181,44 @@ def test_a_damaged_block_is_named():
         idcoder.decode_frame(bytes(data))
 
 
+def test_bounds_of_shares_stay_apart():
+    rng = np.random.default_rng(8)
+    n = 3
+    model = idcoder.Model(n)
+    for chance in (0.999, 0.5, 0.001, 0.9):
+        for _ in range(400):
+            seen = model.predict(n)
+            pick = np.where(rng.random(n) < chance, seen[4], np.where(
+                rng.random(n) < chance, seen[5], rng.integers(0, 9, n))).astype(np.int32)
+            model.learn(n, seen, seen[4] == pick, seen[5] == pick, pick)
+            first, second = model.bounds >> 16, model.bounds & 0xFFFF
+            assert first.min() > 0 and (second - first).min() > 0
+            assert second.max() < idcoder.FLAGS
+
+
+def test_tasks_of_a_worker_encode_a_spelling_once(table, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    seen, spellings = [], tokens.WordTokenizer.spellings
+    monkeypatch.setattr(tokens.WordTokenizer, "spellings",
+                        lambda self, words: seen.append(len(words)) or spellings(self, words))
+    monkeypatch.setattr(tokens, "TOKENIZERS", {}, raising=False)
+    rows = [(r.doc_id, r.text) for r in table("documents").collect()]
+    rows += [(n, w) for n, w in enumerate(
+        ["Ab'LL can't STOP...it", "x" * 300, "\u212aelvin \ufb01n \u00c9T\u00c9 e\u0301", "ab" * 900])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()),
+                                        "text": pa.array([r[1] for r in rows], pa.string())})
+    task = tokens._tokenize(tokenizer_path(), [0], 2)
+    first = [i for b in task([batch]) for i in b.column("ids").to_pylist()]
+    assert seen
+    seen.clear()
+    assert [i for b in task([batch]) for i in b.column("ids").to_pylist()] == first
+    assert not seen
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert first == [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2],
+                              "<u2").tobytes() for _, t in rows]
+
+
 def test_token_files_read_back(spark, table, texts, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
     monkeypatch.setattr(tokens, "SHARD_ROWS", 40)
