@@ -25,11 +25,15 @@ STATES = 32
 SHARES = 1 << 16  # order-0 shares sum to this
 FLAGS = 1 << 14  # the shares of order 2, of order 1 and of neither sum to this
 RATE = 5  # a bound moves by 1 / 2 ** RATE of its way
-LEAST = 2 << RATE  # keeps each of the three shares above 0
+LEAST = 2  # of a gain; keeps each of the three shares above 0
+EACH = ((FLAGS >> RATE) - 1) * 0x10001  # what both bounds of a pair lose: their high bits
+# Both bounds gain this if neither order holds, with one, and with order 2.
+GAIN = (LEAST << 16 | 2 * LEAST, (FLAGS >> RATE) - 3 * LEAST,
+        (FLAGS >> RATE) - 3 * LEAST << 16)
 TOTAL_BITS = 30
 TOTAL = LOW = FLAGS * SHARES  # a range of at least this width can part any two ids
 FIRST_BOUNDS = np.full(STATES, FLAGS // 3 << 16 | 2 * FLAGS // 3, np.int32)
-MAGIC = b"TKID3\n"
+MAGIC = b"TKID4\n"
 
 
 class Shares:
@@ -38,11 +42,10 @@ class Shares:
     def __init__(self, ids: np.ndarray, share: np.ndarray):
         self.ids, self.share = ids, share
         ends = np.cumsum(share)
-        self.below = np.zeros(1 << 16, np.int32)
-        self.below[ids] = ends - share
-        self.width = np.zeros(1 << 16, np.int32)
-        self.width[ids] = share
-        self.at = np.repeat(ids.astype(np.int32), share)
+        # by id: what lies below it, and its share less one, in 16 bits each
+        self.placed = np.zeros(1 << 16, np.int32)
+        self.placed[ids] = (ends - share << 16 | share - 1).astype(np.uint32).view(np.int32)
+        self.at = np.repeat(ids.astype(np.uint16), share)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Shares:
@@ -67,72 +70,62 @@ class Shares:
                    np.frombuffer(raw, "<u2", n, 4 + 2 * n).astype(np.int64) + 1)
 
 
-def put(value: int, where: np.ndarray, other) -> np.ndarray:
-    """``value``, and ``other`` where that holds; ``np.where`` takes several times as long."""
-    out = np.full(len(where), value, np.int32)
-    np.copyto(out, other, where=where)
-    return out
+def mask(hit: np.ndarray) -> np.ndarray:
+    """All bits where a hit is, none elsewhere; copies by condition take eight times as long."""
+    return -hit.astype(np.int32)
 
 
 class Model:
     """The adaptive state of n lanes, in flat tables; slots are flat positions.
 
-    A guess is an id times four plus its trust, 0 to 3. ``bounds`` holds for each state
-    of both guesses where the shares of order 2 and of order 1 end, out of ``FLAGS``;
-    they move by a part of the way to what came, so the shares always sum to ``FLAGS``.
+    A guess is an id times four plus its trust, 0 to 3: how often it came, one after
+    the other. ``bounds`` holds for each state of both guesses where the shares of order
+    2 and of order 1 end, out of ``FLAGS``; they lose a part and gain that part of what
+    came (``GAIN``), so the shares always sum to ``FLAGS``.
     """
 
     def __init__(self, n: int):
-        row = np.arange(n)
+        row = np.arange(n, dtype=np.int64)
         self.base2, self.base1 = row * ORDER2, row * ORDER1
         self.base_flag = row * STATES
         self.guess2, self.guess1 = np.zeros(n * ORDER2, np.int32), np.zeros(n * ORDER1, np.int32)
         self.bounds = np.tile(FIRST_BOUNDS, n)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
 
     def predict(self, n: int):
         """Slots, guesses with their trust, the ids guessed, and the bounds of their shares."""
-        last = self.last[:n] * 40503
+        last = self.last[:n] * 40503  # its high bits may wrap
         slot2 = ((last + self.before[:n] * 30011) >> 3 & (ORDER2 - 1)) + self.base2[:n]
         slot1 = (last >> 5 & (ORDER1 - 1)) + self.base1[:n]
         held2, held1 = self.guess2.take(slot2), self.guess1.take(slot1)
         two, one = held2 >> 2, held1 >> 2
         trust2, trust1 = held2 & 3, held1 & 3
         state = (trust2 << 3 | trust1 << 1 | (two == one)) + self.base_flag[:n]
-        bounds = self.bounds.take(state)
-        return (slot2, slot1, held2, held1, two, one, trust2, trust1, state,
-                bounds >> 16, bounds & 0xFFFF)
+        return slot2, slot1, trust2, trust1, two, one, state, self.bounds.take(state)
 
     def learn(self, n, seen, hit2, hit1, ids):
-        slot2, slot1, held2, held1, two, one, trust2, trust1, state, first, second = seen
-        first_end, second_end = put(LEAST, hit2, FLAGS - 2 * LEAST), put(
-            2 * LEAST, hit2 | hit1, FLAGS - LEAST)
-        first = first + ((first_end - first) >> RATE)
-        second = second + ((second_end - second) >> RATE)
-        self.bounds[state] = first << 16 | second
+        slot2, slot1, trust2, trust1, _, _, state, bounds = seen
+        hit2, hit1 = mask(hit2), mask(hit1)
+        self.bounds[state] = (bounds - (bounds >> RATE & EACH) + GAIN[0]
+                              + ((hit2 | hit1) & GAIN[1]) + (hit2 & GAIN[2]))
         fresh = ids << 2
-        for table, slot, held, trust, hit in ((self.guess2, slot2, held2, trust2, hit2),
-                                              (self.guess1, slot1, held1, trust1, hit1)):
-            now = held - 1
-            np.copyto(now, fresh, where=trust == 0)
-            np.copyto(now, np.minimum(held + 1, held | 3), where=hit)
-            table[slot] = now
+        self.guess2[slot2] = fresh | np.minimum(trust2 + 1, 3) & hit2
+        self.guess1[slot1] = fresh | np.minimum(trust1 + 1, 3) & hit1
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
-def interval(hit2, hit1, first, second, below, share):
+def interval(order2, guessed, bounds, placed):
     """Where an id lies in 0..TOTAL, and its width there; a literal takes its order-0 share.
 
-    The arrays of order-0 shares are written to.
+    ``order2`` and ``guessed`` (by either order) are masks, ``placed`` is of ``Shares``.
     """
-    lo, hi = second.astype(np.int64), put(FLAGS, hit1, second)
-    np.copyto(lo, first, where=hit1)
-    np.copyto(lo, 0, where=hit2)
-    np.copyto(hi, first, where=hit2)
-    span, guessed = hi - lo, hit2 | hit1
-    np.copyto(below, 0, where=guessed)
-    np.copyto(share, SHARES, where=guessed)
+    first, second = bounds >> 16, bounds & 0xFFFF
+    literal, order1 = ~guessed, guessed ^ order2
+    lo = second & literal | first & order1
+    span = (first & order2 | second & order1 | literal & FLAGS) - lo
+    below = placed >> 16 & 0xFFFF & literal
+    share = (placed & 0xFFFF | guessed & (SHARES - 1)) + 1
     return (lo << 16) + span * below, span * share
 
 
@@ -146,7 +139,8 @@ class Encoder:
         self.start = np.zeros(n, np.int64)
         self.width = np.full(n, (1 << 62) - 1, np.int64)
         self.words = np.zeros((steps + 2, n), np.int64)  # lanes use about as many
-        self.used = np.zeros(n, np.int64)
+        self.flat = self.words.reshape(-1)
+        self.next = np.arange(n)  # where a lane's next word goes
 
     def put(self, n, below, share):
         """Narrow the first n lanes' ranges to [below, below + share) of TOTAL."""
@@ -156,23 +150,22 @@ class Encoder:
         np.multiply(unit, share, out=width)
         thin = np.flatnonzero(width < LOW)
         if len(thin):
-            top, used = start[thin], self.used[thin]
-            self.words[used, thin] = top >> TOTAL_BITS
-            self.used[thin] = used + 1
+            top, at = start.take(thin), self.next.take(thin)
+            self.flat[at] = top >> TOTAL_BITS
+            self.next[thin] = at + len(self.next)
             start[thin] = (top & (LOW - 1)) << 32
-            width[thin] <<= 32
+            width[thin] = width.take(thin) << 32
 
     def finish(self) -> list[bytes]:
-        lane = np.arange(len(self.used))
         # a range holds a number that ends in 30 zeros
-        self.words[self.used, lane] = (self.start + LOW - 1) >> TOTAL_BITS
-        self.used += 1
-        words = self.words[:int(self.used.max(initial=0))]
+        self.flat[self.next] = (self.start + LOW - 1) >> TOTAL_BITS
+        used = self.next // max(len(self.next), 1) + 1
+        words = self.words[:int(used.max(initial=0))]
         for at in range(len(words) - 1, 0, -1):
             words[at - 1] += words[at] >> 32
             words[at] &= 0xFFFFFFFF
         flat = np.ascontiguousarray(words.T).astype("<u4")
-        return [flat[i, :k].tobytes() for i, k in enumerate(self.used.tolist())]
+        return [flat[i, :k].tobytes() for i, k in enumerate(used.tolist())]
 
 
 class Decoder:
@@ -185,14 +178,14 @@ class Decoder:
         self.value = words[0] << 30 | words[1] >> 2
         self.width = np.full(len(payloads), (1 << 62) - 1, np.int64)
         # what follows the first 62 bits, in words of 32
-        self.words = (words[1:-1] & 3) << 30 | words[2:] >> 2
-        self.used = np.zeros(len(payloads), np.int64)
+        self.words = ((words[1:-1] & 3) << 30 | words[2:] >> 2).reshape(-1)
+        self.next = np.arange(len(payloads))  # a lane's next word
 
     def peek(self, n):
         """Where in 0..TOTAL the next id lies."""
         self.unit = self.width[:n] >> TOTAL_BITS
         return np.minimum(self.value[:n].view(np.uint64) // self.unit.view(np.uint64),
-                          np.uint64(TOTAL - 1)).view(np.int64)
+                          np.uint64(TOTAL - 1)).astype(np.int32)
 
     def take(self, n, below, share):
         value, width = self.value[:n], self.width[:n]
@@ -200,11 +193,10 @@ class Decoder:
         np.multiply(self.unit, share, out=width)
         thin = np.flatnonzero(width < LOW)
         if len(thin):
-            used = self.used[thin]
-            value[thin] = value[thin] << 32 | self.words[np.minimum(
-                used, len(self.words) - 1), thin]
-            width[thin] <<= 32
-            self.used[thin] = used + 1
+            at = self.next.take(thin)
+            value[thin] = value.take(thin) << 32 | self.words.take(at, mode="clip")
+            width[thin] = width.take(thin) << 32
+            self.next[thin] = at + len(self.next)
 
 
 def encode_blocks(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
@@ -220,8 +212,7 @@ def encode_blocks(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
         now = ids[t, :n]
         seen = model.predict(n)
         hit2, hit1 = seen[4] == now, seen[5] == now
-        coder.put(n, *interval(hit2, hit1, seen[9], seen[10], shares.below.take(now),
-                               shares.width.take(now)))
+        coder.put(n, *interval(mask(hit2), mask(hit2 | hit1), seen[7], shares.placed.take(now)))
         model.learn(n, seen, hit2, hit1, now)
     return coder.finish()
 
@@ -233,18 +224,16 @@ def decode_blocks(payloads: list[bytes], size: np.ndarray, shares: Shares) -> li
     for t in range(steps):
         n = len(size) if t < size[-1] else int((size > t).sum())
         seen = model.predict(n)
-        two, one, first, second = seen[4], seen[5], seen[9], seen[10]
+        two, one, bounds = seen[4], seen[5], seen[7]
         at = coder.peek(n)
+        first, second = bounds >> 16, bounds & 0xFFFF
         flag = at >> 16
-        order2, order1 = flag < first, flag < second
+        order2, guessed = flag - first >> 31, flag - second >> 31  # masks, by the sign
         # exact: whole numbers below 2 ** 30 by some below 2 ** 14
-        literal = shares.at.take(((at - (second.astype(np.int64) << 16)) / (FLAGS - second))
-                                 .astype(np.int64), mode="clip")
-        now = literal.copy()
-        np.copyto(now, one, where=order1)
-        np.copyto(now, two, where=order2)
-        coder.take(n, *interval(order2, order1, first, second, shares.below.take(literal),
-                                shares.width.take(literal)))
+        literal = shares.at.take(((at - (second << 16)) / (FLAGS - second)).astype(np.int64),
+                                 mode="clip").astype(np.int32)
+        now = literal & ~guessed | one & (guessed ^ order2) | two & order2
+        coder.take(n, *interval(order2, guessed, bounds, shares.placed.take(literal)))
         model.learn(n, seen, two == now, one == now, now)
         ids[t, :n] = now
     by_block = np.ascontiguousarray(ids.T)

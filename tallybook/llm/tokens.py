@@ -30,8 +30,9 @@ END_ID = 2
 FRAME_IDS = 8 << 20
 SHARD_ROWS = 4096
 MAX_SHARDS = 20_000
-CACHE_WORDS = 1_500_000  # of a Python worker, about 40 bytes each
-QUICK_BITS = 20
+CACHE_WORDS = 3_000_000  # of a Python worker, about 16 bytes each and 2 for each id
+CACHE_IDS = 1 << 24
+TOKEN_PIECE = 1 << 20  # text bytes at a time: what one word passes through stays in the cache
 
 TOKENS = "shard int, doc_id long, ids binary"
 FRAMES = ("shard int, frame int, n_ids long, doc_ids array<long>, doc_sizes array<long>, "
@@ -46,10 +47,62 @@ PLAIN = np.zeros(256, bool)
 PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-# Byte-level tokenizers write a byte as this sign.
+# Byte-level tokenizers write a byte as this sign; a space parts words here.
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
-del BYTE_SIGNS[0x20]  # it parts words here
+BYTE_SIGNS = np.arange(256, dtype="<u4")
+BYTE_SIGNS[[b for b in range(256) if b not in SHOWN]] = range(256, 512 - len(SHOWN))
+BYTE_SIGNS[0x20] = 0x20
+
+# In words of letters below U+0100 alone, no byte may be one of these.
+NO_LATIN = np.ones(256, bool)
+NO_LATIN[[0x20, *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC2, 0xC3]] = False
+
+
+class Spans:
+    """A hash table of codes with open places, searched and filled many codes at a time.
+
+    What it holds for a code is a span of an array: its start times 2 ** 32 and its length.
+    """
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.codes = np.zeros(1 << bits, np.uint64)  # no code is 0
+        self.spans = np.zeros(1 << bits, np.int64)
+
+    def home(self, codes: np.ndarray) -> np.ndarray:
+        return (codes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(span of each code, which codes are not here); those have no span yet."""
+        at = self.home(codes)
+        spans, held = self.spans.take(at), self.codes.take(at)
+        rest, missing = np.flatnonzero(held != codes), []
+        at, held, codes = at[rest], held[rest], codes[rest]
+        while len(rest):
+            here = held == codes
+            spans[rest[here]] = self.spans.take(at[here])
+            missing.append(rest[held == 0])
+            on = np.flatnonzero(~here & (held != 0))
+            rest, codes, at = rest[on], codes[on], at[on] + 1 & len(self.codes) - 1
+            held = self.codes.take(at)
+        return spans, np.concatenate(missing) if missing else rest
+
+    def add(self, codes: np.ndarray, spans: np.ndarray):
+        """Codes that differ from each other and are not here."""
+        self.used += len(codes)
+        if 4 * self.used > 3 * len(self.codes):
+            old = np.flatnonzero(self.codes)
+            more = Spans((self.used * 4 // 3).bit_length())
+            more.add(self.codes[old], self.spans[old])
+            self.bits, self.codes, self.spans = more.bits, more.codes, more.spans
+        at = self.home(codes)
+        while len(codes):
+            free = self.codes.take(at) == 0
+            self.codes[at[free]] = codes[free]  # of several, one stays
+            here = self.codes.take(at) == codes
+            self.spans[at[here]] = spans[here]
+            on = np.flatnonzero(~here)
+            codes, spans, at = codes[on], spans[on], at[on] + 1 & len(self.codes) - 1
 
 
 class WordTokenizer:
@@ -59,10 +112,11 @@ class WordTokenizer:
     from signs, the ids of a text are those of its words one after the other,
     and those of a word are those of its stem and of the signs that trail it.
     ``by_word`` probes that; for other tokenizers whole texts are encoded.
-    Spellings of letters below U+0100 alone go to the tokenizer's model, in lower case and
-    with signs for bytes, where ``by_model`` finds that nothing else is done to them. Others of letters alone are
-    encoded many in one text, and parted where a token ends a word. Most words are found in a table with a place for each leading
-    ``QUICK_BITS`` of a code; what is not there is looked up in the sorted codes.
+    Spellings of letters below U+0100 alone go to the tokenizer's model, in lower
+    case and with signs for bytes, where ``by_model`` finds that nothing else is
+    done to them. Others of letters alone are encoded many in one text, and parted
+    where a token ends a word. ``known`` has where in ``ids`` the ids of a spelling
+    are; both start anew once they hold ``CACHE_WORDS`` or ``CACHE_IDS``.
     """
 
     TOGETHER = 2000
@@ -79,13 +133,8 @@ class WordTokenizer:
         self.clear()
 
     def clear(self):
-        # sorted codes of known spellings, ended by one that no slot is asked for
-        self.known = np.array([(1 << 64) - 1], np.uint64)
-        self.slots = np.zeros(1, np.int32)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.int32)
-        self.quick = np.full(1 << QUICK_BITS, (1 << 64) - 1, np.uint64)
-        self.quick_slots = np.zeros(1 << QUICK_BITS, np.int32)
+        self.known, self.n_ids = Spans(), 0
+        self.ids = np.empty(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,34 +151,59 @@ class WordTokenizer:
         probe += [*latin, latin, "Stra\u00dfe", "\u00c9l\u00e8ve", "d\u00e9j\u00e0"]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         rows = self.encode(probe)
-        return not any(t.isalpha() for t in added) and self.model_ids(probe) == (
+        simple, text = self.latin(Words(*text_buffers(pa.array([" ".join(probe)]))))
+        return not any(t.isalpha() for t in added) and simple.all() and self.model_ids(text) == (
             [i for r in rows for i in r], [len(r) for r in rows])
 
-    def model_ids(self, words: list[str]) -> tuple[list[int], list[int]]:
-        """(ids of all words, number of ids of each): words of letters below U+0100."""
-        shown = " ".join(words).lower().encode().decode("latin-1").translate(BYTE_SIGNS)
-        ids, size, tokenize = [], [], self.model.tokenize
-        for word in shown.split(" "):
-            tokens = tokenize(word)
-            ids += [t.id for t in tokens]
-            size.append(len(tokens))
-        return ids, size
-
-    def spellings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def model_ids(self, text: np.ndarray) -> tuple[list[int], list[int]]:
+        """(ids of all words, number of ids of each): lower-case bytes, a space after each word."""
+        shown = BYTE_SIGNS[text].tobytes().decode("utf-32-le")
+        size, tokenize = [], self.model.tokenize
+
+        def tokens(word):
+            found = tokenize(word)
+            size.append(len(found))
+            return found
+
+        return [t.id for word in shown.split(" ")[:-1] for t in tokens(word)], size
+
+    @staticmethod
+    def latin(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(which words are of letters below U+0100 alone, those as ``model_ids`` takes them)."""
+        length = words.ends - words.starts
+        first = np.cumsum(length + 1) - length - 1
+        text = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+        text[ranges(first, length)] = words.data[ranges(words.starts, length)]
+        bad = NO_LATIN[text]
+        # U+0080 to U+00BF follow a byte C2, U+00C0 to U+00FF a byte C3.
+        lead = np.flatnonzero(text == 0xC2)
+        bad[lead] = ~np.isin(text[lead + 1], (0xAA, 0xB5, 0xBA))
+        lead = np.flatnonzero(text == 0xC3)
+        after = text[lead + 1]
+        bad[lead] = (after == 0x97) | (after == 0xB7)
+        text = LOWER[text]
+        text[lead + 1] += (after <= 0x9E).astype(np.uint8) << 5
+        simple = ~np.logical_or.reduceat(bad, first)
+        return simple, text[np.repeat(simple, length + 1)]
+
+    def spellings(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
         ids, size = [], np.zeros(len(words), np.int64)
-        letters = np.array([w.isalpha() for w in words])
-        simple = letters & self.by_model & np.array(
-            [w.isascii() or max(w) < "\u0100" for w in words])
-        plain = np.flatnonzero(letters & ~simple).tolist()
-        other = np.flatnonzero(~letters).tolist()
-        simple = np.flatnonzero(simple).tolist()
-        if simple:
-            row, size[simple] = self.model_ids([words[i] for i in simple])
+        simple, text = self.latin(words)
+        if not self.by_model:
+            simple[:] = False
+        rest = np.flatnonzero(~simple)
+        simple = np.flatnonzero(simple)
+        if len(simple):
+            row, size[simple] = self.model_ids(text)
             ids.append((simple, np.array(row, np.int32)))
+        spelled = {i: words.data[a:b].tobytes().decode() for i, a, b in zip(
+            rest.tolist(), words.starts[rest].tolist(), words.ends[rest].tolist())}
+        plain = [i for i, w in spelled.items() if w.isalpha()]
+        other = [i for i, w in spelled.items() if not w.isalpha()]
         for lo in range(0, len(plain), self.TOGETHER):
             part = plain[lo:lo + self.TOGETHER]
-            row = np.array(self.encode([" ".join([words[i] for i in part])])[0], np.int32)
+            row = np.array(self.encode([" ".join([spelled[i] for i in part])])[0], np.int32)
             stops = np.flatnonzero(self.ends[row]) + 1
             if len(stops) != len(part) or (len(row) and stops[-1] != len(row)):
                 other.extend(part)
@@ -137,7 +211,7 @@ class WordTokenizer:
             size[part] = np.diff(stops, prepend=0)
             ids.append((part, row))
         if other:
-            rows = self.encode([words[i] for i in other])
+            rows = self.encode([spelled[i] for i in other])
             size[other] = [len(r) for r in rows]
             ids.append((other, np.array([i for r in rows for i in r], np.int32)))
         first = np.cumsum(size) - size
@@ -146,21 +220,19 @@ class WordTokenizer:
             out[ranges(first[part], size[part])] = row
         return out, size
 
-    def known_slots(self, parts: Words, spelled: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Slots of sorted codes, which stand at these places; new ones are encoded."""
-        at = np.searchsorted(self.known, spelled)
-        slots = self.slots.take(np.minimum(at, len(self.slots) - 1))
-        new = np.flatnonzero(self.known.take(np.minimum(at, len(self.known) - 1)) != spelled)
-        if len(new):
-            starts, ends = parts.starts[place[new]].tolist(), parts.ends[place[new]].tolist()
-            raw = parts.data.tobytes()
-            ids, size = self.spellings([raw[a:b].decode() for a, b in zip(starts, ends)])
-            slots[new] = len(self.first) - 1 + np.arange(len(new))
-            self.known = np.insert(self.known, at[new], spelled[new])
-            self.slots = np.insert(self.slots, at[new], slots[new])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, ids])
-        return slots
+    def learn(self, codes: np.ndarray, words: Words) -> np.ndarray:
+        """Spans of the ids of words whose codes are not known yet."""
+        ids, size = self.spellings(words)
+        end = self.n_ids + len(ids)
+        if end > len(self.ids):
+            grown = np.empty(max(end, 2 * len(self.ids)), self.ids.dtype)
+            grown[:self.n_ids] = self.ids[:self.n_ids]
+            self.ids = grown
+        self.ids[self.n_ids:end] = ids
+        spans = (self.n_ids + np.cumsum(size) - size) << 32 | size
+        self.n_ids = end
+        self.known.add(codes, spans)
+        return spans
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text), without end ids."""
@@ -186,21 +258,15 @@ class WordTokenizer:
         parts.starts = np.insert(words.starts, at + 1, stem[at])
         parts.ends = np.insert(words.ends, at, stem[at])
         first = np.append(number, len(parts.starts))[words.first]
-        codes = parts.hashes(LOWER)
-        if len(self.known) > CACHE_WORDS:
+        if self.known.used > CACHE_WORDS or self.n_ids > CACHE_IDS:
             self.clear()
-        at = (codes >> np.uint64(64 - QUICK_BITS)).astype(np.int64)
-        slot = self.quick_slots.take(at)
-        rest = np.flatnonzero(self.quick.take(at) != codes)
-        if len(rest):
-            spelled, place, which = np.unique(codes[rest], return_index=True, return_inverse=True)
-            slots = self.known_slots(parts, spelled, rest[place])
-            slot[rest] = slots[which]
-            at = at[rest[place]]  # ascends, as the codes do
-            fresh = np.flatnonzero(np.diff(at, prepend=-1))
-            self.quick[at[fresh]], self.quick_slots[at[fresh]] = spelled[fresh], slots[fresh]
-        size = self.first[slot + 1] - self.first[slot]
-        ids = self.ids[ranges(self.first[slot], size)]
+        codes = np.maximum(parts.codes(), np.uint64(1))
+        spans, new = self.known.find(codes)
+        if len(new):
+            spelled, place, which = np.unique(codes[new], return_index=True, return_inverse=True)
+            spans[new] = self.learn(spelled, parts.select(new[place]))[which]
+        size = spans & 0xFFFFFFFF
+        ids = self.ids.take(ranges(spans >> 32, size))
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, total[first]
 
@@ -218,14 +284,12 @@ def _tokenize(path, bounds, end_id, more=()):
     def run(batches):
         edges = np.array(bounds, np.int64)
         tokenizer = word_tokenizer(path)
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=TOKEN_PIECE):
             ids, first = tokenizer.texts(piece.column("text"))
             n = piece.num_rows
-            out = np.full(len(ids) + n, end_id, "<u2" if ids.max(initial=0) < 1 << 16 else "<u4")
-            if out.dtype.itemsize > 2:
+            if max(ids.max(initial=0), end_id) >= 1 << 16:
                 raise ValueError("ids of 65,536 and more need a wider coder")
-            size = np.diff(first)
-            out[ranges(first[:-1] + np.arange(n), size)] = ids
+            out = np.insert(ids.astype("<u2", copy=False), first[1:], end_id)
             at = (first + np.arange(n + 1)) * 2
             doc = piece.column("doc_id").cast(pa.int64())
             shard = np.searchsorted(edges, pc.fill_null(doc, -1 << 63).to_numpy(), "right") - 1

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 # Text bytes worked on at a time; a longer single text is a piece of its own.
 PIECE_BYTES = 4 << 20
 HASH_BYTES = 1 << 19
+CODE_BYTES = 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -71,7 +72,7 @@ class Words:
 
     def __init__(self, data, offsets, letters=NOT_SPACE):
         n = len(data)
-        inside = letters[data]
+        inside = np.frombuffer(data.tobytes().translate(letters.tobytes()), bool)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
@@ -89,6 +90,37 @@ class Words:
     def __len__(self):
         return len(self.starts)
 
+    def select(self, which: np.ndarray) -> Words:
+        """Some of the words, without their texts."""
+        out = Words.__new__(Words)
+        out.data, out.starts, out.ends = self.data, self.starts[which], self.ends[which]
+        return out
+
+    def codes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, ASCII case aside, taken eight at a time.
+
+        Words above ``CODE_BYTES`` have their hash of ``hashes``.
+        """
+        low = self.data.tobytes().translate(LOWER.tobytes())
+        eight = np.frombuffer(low + bytes(16 - len(low) % 8), "<u8")
+        left = self.ends - self.starts
+        out = left.astype(U64) * GOLDEN
+        long = np.flatnonzero(left > CODE_BYTES)
+        if len(long):
+            out[long] = self.select(long).hashes(LOWER)
+            left[long] = 0
+        which = np.flatnonzero(left)
+        at, left = self.starts[which], left[which]
+        while len(which):
+            shift = (at & 7).astype(U64) << U64(3)
+            word = at >> 3
+            part = eight.take(word) >> shift | eight.take(word + 1) << U64(1) << (shift ^ U64(63))
+            part &= U64((1 << 64) - 1) >> (U64(64) - (np.minimum(left, 8).astype(U64) << U64(3)))
+            out[which] = mix(out[which] ^ part) + GOLDEN
+            more = np.flatnonzero(left > 8)
+            which, at, left = which[more], at[more] + 8, left[more] - 8
+        return out
+
     def hashes(self, fold=None) -> np.ndarray:
         """A 64-bit hash of each word's bytes: a polynomial by prefix sums, mixed."""
         out = np.empty(len(self), U64)

@@ -219,6 +219,71 @@ def test_tasks_of_a_worker_encode_a_spelling_once(table, monkeypatch):
                               "<u2").tobytes() for _, t in rows]
 
 
+def test_known_spellings_are_found_without_a_sort(table, monkeypatch):
+    words = tokens.WordTokenizer(tokenizer_path())
+    column = table("documents").toArrow().column("text").combine_chunks()
+    ids, first = words.texts(column)
+    sort, sorts = np.unique, []
+    monkeypatch.setattr(np, "unique", lambda *a, **k: sorts.append(1) or sort(*a, **k))
+    again, at = words.texts(column)
+    assert not sorts
+    assert (again == ids).all() and (at == first).all()
+
+
+def test_long_spellings_do_not_fill_the_memory(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(tokens, "CACHE_IDS", 1000, raising=False)
+    words = tokens.WordTokenizer(tokenizer_path())
+    for n in range(30):
+        text = "\u6587\u5b57" * 100 + chr(0x4e00 + n)
+        ids, _ = words.texts(pa.array([text, text]))
+        assert ids.tolist() == 2 * words.encode([text])[0]
+        assert words.n_ids <= 1000 + len(ids)
+
+
+def test_spans_are_found_where_codes_collide():
+    rng = np.random.default_rng(9)
+    low = np.arange(1, 3000, dtype=np.uint64)
+    codes = np.unique(np.concatenate([rng.integers(1, 1 << 63, 5000).astype(np.uint64), low, ~low]))
+    rng.shuffle(codes)
+    spans = np.arange(len(codes))
+    known = tokens.Spans(4)
+    for lo in range(0, len(codes), 700):
+        asked = codes[:lo + 700]
+        got, new = known.find(asked)
+        assert sorted(new.tolist()) == list(range(lo, len(asked)))
+        assert (got[:lo] == spans[:lo]).all()
+        known.add(codes[lo:lo + 700], spans[lo:lo + 700])
+    got, new = known.find(np.tile(codes, 2))
+    assert not len(new) and (got == np.tile(spans, 2)).all()
+
+
+def test_words_for_the_model_are_of_letters_below_u0100():
+    import pyarrow as pa
+    from tallybook.llm.words import Words, text_buffers
+    signs = [chr(c) for c in range(0x21, 0x3000) if not chr(c).isspace()]
+    flat = [*signs, *(f"aB{c}Cd" for c in signs), *(c + c for c in signs)]
+    words = Words(*text_buffers(pa.array([" ".join(flat)])))
+    assert len(words) == len(flat)
+    simple, text = tokens.WordTokenizer.latin(words)
+    want = [w.isalpha() and max(w) < "\u0100" for w in flat]
+    assert simple.tolist() == want
+    assert text.tobytes().decode() == "".join(
+        w.lower() + " " for w, is_simple in zip(flat, want) if is_simple)
+
+
+def test_damage_anywhere_in_a_payload_is_named():
+    ids = np.random.default_rng(6).zipf(1.3, 6000) % 3000
+    data = idcoder.encode_frame(ids)
+    for at in np.random.default_rng(7).integers(len(data) - 700, len(data), 60):
+        hurt = bytearray(data)
+        hurt[at] ^= 0x41
+        try:
+            assert (idcoder.decode_frame(bytes(hurt)) == ids).all()  # padding of a word
+        except ValueError as e:
+            assert "block 5" in str(e)
+
+
 def test_token_files_read_back(spark, table, texts, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
     monkeypatch.setattr(tokens, "SHARD_ROWS", 40)

@@ -52,6 +52,25 @@ def test_hashes_do_not_depend_on_place_or_piece(monkeypatch):
     assert (hashes[1:][np.arange(3000) % 50 == 7] == alone).all()
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.one_of(SIGNS, st.text("aB\u00e9 ", max_size=90)), max_size=6))
+def test_codes_are_alike_only_for_words_alike_but_for_case(texts):
+    words = Words(*text_buffers(pa.array(texts, pa.string())))
+    flat = [lower(w) for t in texts for w in SPACED.findall(t)]
+    codes = words.codes().tolist()
+    assert len(codes) == len(flat)
+    assert len(set(flat)) == len(set(codes)) == len(set(zip(flat, codes)))
+
+
+def test_codes_of_each_length_and_place():
+    flat = ["x" * n + e for n in range(140) for e in "ab"]
+    first = Words(*text_buffers(pa.array([" ".join(flat)]))).codes()
+    assert len(set(first.tolist())) == len(flat)
+    for shift in range(1, 9):
+        again = Words(*text_buffers(pa.array([" " * shift + " ".join(flat).upper()]))).codes()
+        assert (again == first).all()
+
+
 def test_pieces_hold_every_row_once_within_the_limit():
     texts = ["a" * n for n in (0, 5, 50, 0, 3, 3, 3, 200, 0)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
