@@ -85,7 +85,7 @@ class Model:
     """
 
     def __init__(self, n: int):
-        row = np.arange(n, dtype=np.int64)
+        row = np.arange(n, dtype=np.int32)  # slots fit 32 bits up to 4 Mi lanes, 4 Gi ids
         self.base2, self.base1 = row * ORDER2, row * ORDER1
         self.base_flag = row * STATES
         self.guess2, self.guess1 = np.zeros(n * ORDER2, np.int32), np.zeros(n * ORDER1, np.int32)
@@ -95,12 +95,13 @@ class Model:
     def predict(self, n: int):
         """Slots, guesses with their trust, the ids guessed, and the bounds of their shares."""
         last = self.last[:n] * 40503  # its high bits may wrap
-        slot2 = ((last + self.before[:n] * 30011) >> 3 & (ORDER2 - 1)) + self.base2[:n]
-        slot1 = (last >> 5 & (ORDER1 - 1)) + self.base1[:n]
+        slot2 = (((last + self.before[:n] * 30011) >> 3 & (ORDER2 - 1))
+                 + self.base2[:n]).astype(np.int64)
+        slot1 = ((last >> 5 & (ORDER1 - 1)) + self.base1[:n]).astype(np.int64)
         held2, held1 = self.guess2.take(slot2), self.guess1.take(slot1)
         two, one = held2 >> 2, held1 >> 2
         trust2, trust1 = held2 & 3, held1 & 3
-        state = (trust2 << 3 | trust1 << 1 | (two == one)) + self.base_flag[:n]
+        state = ((trust2 << 3 | trust1 << 1) + self.base_flag[:n] | (two == one)).astype(np.int64)
         return slot2, slot1, trust2, trust1, two, one, state, self.bounds.take(state)
 
     def learn(self, n, seen, hit2, hit1, ids):

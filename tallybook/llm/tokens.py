@@ -92,13 +92,15 @@ class Spans:
         self.used += len(codes)
         if 4 * self.used > 3 * len(self.codes):
             old = np.flatnonzero(self.codes)
+            # those known first are the frequent ones, and get their places last, for good
+            old = old[np.argsort(-self.spans[old])]
             more = Spans((self.used * 4 // 3).bit_length())
             more.add(self.codes[old], self.spans[old])
             self.bits, self.codes, self.spans = more.bits, more.codes, more.spans
         at = self.home(codes)
         while len(codes):
             free = self.codes.take(at) == 0
-            self.codes[at[free]] = codes[free]  # of several, one stays
+            self.codes[at[free]] = codes[free]  # of several, the last stays
             here = self.codes.take(at) == codes
             self.spans[at[here]] = spans[here]
             on = np.flatnonzero(~here)

@@ -25,6 +25,7 @@ LOWER[0x41:0x5B] += 32
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)  # the first n bytes of eight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,24 +102,20 @@ class Words:
 
         Words above ``CODE_BYTES`` have their hash of ``hashes``.
         """
-        low = self.data.tobytes().translate(LOWER.tobytes())
-        eight = np.frombuffer(low + bytes(16 - len(low) % 8), "<u8")
+        low = self.data.tobytes().translate(LOWER.tobytes()) + bytes(8)
+        eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # from each byte on
         left = self.ends - self.starts
-        out = left.astype(U64) * GOLDEN
-        long = np.flatnonzero(left > CODE_BYTES)
-        if len(long):
-            out[long] = self.select(long).hashes(LOWER)
-            left[long] = 0
-        which = np.flatnonzero(left)
-        at, left = self.starts[which], left[which]
+        out = mix(left.astype(U64) * GOLDEN ^ eight[self.starts] & KEEP.take(left, mode="clip"))
+        which = np.flatnonzero((left > 8) & (left <= CODE_BYTES))
+        at, left = self.starts[which] + 8, left[which] - 8
         while len(which):
-            shift = (at & 7).astype(U64) << U64(3)
-            word = at >> 3
-            part = eight.take(word) >> shift | eight.take(word + 1) << U64(1) << (shift ^ U64(63))
-            part &= U64((1 << 64) - 1) >> (U64(64) - (np.minimum(left, 8).astype(U64) << U64(3)))
-            out[which] = mix(out[which] ^ part) + GOLDEN
+            part = eight[at] & KEEP.take(left, mode="clip")
+            out[which] = mix(out[which] + GOLDEN ^ part)
             more = np.flatnonzero(left > 8)
             which, at, left = which[more], at[more] + 8, left[more] - 8
+        long = np.flatnonzero(self.ends - self.starts > CODE_BYTES)
+        if len(long):
+            out[long] = self.select(long).hashes(LOWER)
         return out
 
     def hashes(self, fold=None) -> np.ndarray:
